@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, jaccard_join, packing, secret_scan, token_counts
+from marginalia.llm import decontaminate, jaccard_join, licenses, packing, secret_scan, token_counts, topk_search
 from marginalia.llm.common import table
+from marginalia.llm.oracle import SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,9 +31,16 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op4_token_counts, op7_ngram_jaccard_join, op10_benchmark_decontamination)}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op4_token_counts, op6_exact_top_k, op7_ngram_jaccard_join, op9_license_scan, op10_benchmark_decontamination)}
