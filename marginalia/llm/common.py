@@ -83,3 +83,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def labelled(labels: DataFrame, label: str, bound: int, id_col: str = "doc_id") -> DataFrame:
+    """``id, y``: labelled ids that may be learned from, at most ``bound`` of each label, first by hash of the id.
+
+    Rows with a null id or label, of the held-out fold, or of contrary labels for one id are left out.
+    """
+    rows = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id")))
+    one = rows.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).where("y = z").select("id", "y")
+    first = [one.where(F.col("y") == k).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(bound) for k in (0, 1)]
+    return first[0].unionByName(first[1])
+
+
+def label_counts(labels: DataFrame, label: str, id_col: str = "doc_id") -> tuple[int, int]:
+    """How many rows that may be learned from have label 0 and 1."""
+    fit = labels.where(~held_out(F.col(id_col)))
+    row = fit.agg(F.count_if(F.col(label) == 0).alias("a"), F.count_if(F.col(label) == 1).alias("b")).first()
+    return row["a"], row["b"]
