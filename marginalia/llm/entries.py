@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, jaccard_join, licenses, packing, quality, secret_scan, token_counts, topk_search, toxicity
+from marginalia.llm import decontaminate, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_counts, topk_search, toxicity
 from marginalia.llm.common import table
 from marginalia.llm.oracle import SQL  # noqa: F401
 
@@ -45,6 +45,10 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op9_license_scan, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op8_substring_dedup, op9_license_scan, op10_benchmark_decontamination)}
