@@ -1,31 +1,76 @@
-"""Connected components of an edge table, by DataFrame steps that never gather a component."""
+"""Connected components of an edge table, by steps that never gather an unbounded component."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import written
 
+#: Forest edges (16 bytes each) that one task finishes; with more, rounds go on over the cluster.
+ONE_TASK = 1_000_000
+
+
+def forest(a: Iterable[int], b: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the least of each component of the edges, with that least node."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while (p := parent.setdefault(root, root)) != root:
+            root = p
+        while (p := parent[x]) != root:
+            parent[x], x = root, p
+        return root
+
+    for x, y in zip(a, b, strict=True):
+        p, q = find(x), find(y)
+        if p < q:
+            parent[q] = p
+        elif q < p:
+            parent[p] = q
+    nodes = [x for x in parent if find(x) != x]
+    return np.array(nodes, np.int64), np.array([parent[x] for x in nodes], np.int64)
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def _forests(batches):
+    a, b = [], []
+    for batch in batches:
+        a += batch.column("u").to_pylist()
+        b += batch.column("p").to_pylist()
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], ["u", "p"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges(a, b)``.
 
-    Every round hangs each node under its smallest neighbour and jumps to that one's own parent; an edge to
-    another neighbour becomes an edge between the two. Each round is written to the shared folder. Minima
-    are taken before the shuffle; the joins leave a hub's rows to the adaptive skew join.
+    Every partition first keeps a forest of its own edges. If few enough are left, one task joins the
+    forests. Otherwise every round hangs each node under its smallest neighbour and jumps to that one's own
+    parent; an edge to another neighbour becomes an edge between the two. Each round is written to the
+    shared folder. Minima are taken before the shuffle; a hub's rows are left to the adaptive skew join.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p")).groupBy("u", "p").agg(F.lit(True).alias("changed")),
-        "edges",
-    )
+    apart = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p"))
+    now = written(apart.mapInArrow(_forests, "u long, p long"), "forests")
+    if now.count() <= one_task:
+        return _stars(written(now.repartition(1).mapInArrow(_forests, "u long, p long"), "forest"))
+    now = now.distinct()
     for _ in range(rounds):
         parent = now.groupBy("u").agg(F.min("p").alias("m"))
         extra = now.join(parent, "u").where("p <> m").select(F.greatest("p", "m").alias("u"), F.least("p", "m").alias("p"), F.lit(True).alias("changed"))
         above = parent.select(F.col("u").alias("m"), F.col("m").alias("top"))
         jump = parent.join(above, "m", "left").select("u", F.coalesce("top", "m").alias("p"), F.col("top").isNotNull().alias("changed"))
-        now = written(jump.unionByName(extra).groupBy("u", "p").agg(F.max("changed").alias("changed")), "edges")
-        if now.where("changed").isEmpty():
-            below = now.select(F.col("u").alias("node"), F.col("p").alias("component"))
-            return below.unionByName(now.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
+        step = written(jump.unionByName(extra).groupBy("u", "p").agg(F.max("changed").alias("changed")), "edges")
+        now = step.select("u", "p")
+        if step.where("changed").isEmpty():
+            return _stars(now)
     raise RuntimeError(f"no end after {rounds} rounds")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    below = edges.select(F.col("u").alias("node"), F.col("p").alias("component"))
+    return below.unionByName(edges.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())

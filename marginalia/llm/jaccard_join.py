@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import mix, slices, texts_of, written
-from marginalia.llm.graph import components
+from marginalia.llm.graph import components, forest
 
 SHINGLE = 4
 THRESHOLD = (85, 100)
@@ -38,7 +38,7 @@ CHUNK_CLASSES = 3000
 CHUNK_SHINGLES = 4_000_000
 PIVOTS = 4
 #: Ids of so many documents at most are broadcast (8 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 500_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
@@ -158,17 +158,20 @@ def survey(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
                 yield _rows(len(full), bucket=full.astype(np.int32), x=[sig[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
 
     def meet(batches):
-        sig, node = [], []
+        sig, node, edges = [], [], []
         for batch in batches:
-            packed = batch.column("x").is_valid()
-            yield batch.filter(pc.invert(packed))
-            packed = batch.filter(packed)
+            is_doc, packed = batch.column("n").is_valid(), batch.column("x").is_valid()
+            yield batch.filter(is_doc)
+            plain, packed = batch.filter(pc.invert(pc.or_(is_doc, packed))), batch.filter(packed)
+            edges.append(np.stack([plain.column(c).to_numpy() for c in ("a", "b")]))
             sig += [np.frombuffer(x, np.uint64) for x in packed.column("x").to_pylist()]
             node += [np.frombuffer(x, np.int64) for x in packed.column("y").to_pylist()]
         if sig:
-            _, _, edges = _hubs(np.concatenate(sig), np.concatenate(node))
-            if edges.shape[1]:
-                yield _rows(edges.shape[1], a=edges[0], b=edges[1])
+            edges.append(_hubs(np.concatenate(sig), np.concatenate(node))[2])
+        if edges:
+            a, b = forest(*np.concatenate(edges, axis=1).tolist())
+            if len(a):
+                yield _rows(len(a), a=a, b=b)
 
     return docs.mapInArrow(sign, _DDL).repartition(partitions, "bucket").mapInArrow(meet, _DDL).select("id", "row", "n", "a", "b")
 
@@ -180,10 +183,10 @@ class Tree:
     shingles by which a set below has more than bits.
     """
 
-    def __init__(self, sets: list[np.ndarray], fan: int = 16):
+    def __init__(self, sets: list[np.ndarray], fan: int = 32):
         self.fan = fan
         sizes = np.array([len(s) for s in sets], np.int64)
-        width = 1 << int(np.clip(int(2 * sizes.max()).bit_length(), 8, 14))
+        width = 1 << int(np.clip(int(8 * sizes.max()).bit_length(), 8, 15))
         order = sorted(range(len(sets)), key=lambda i: (len(sets[i]).bit_length(), int(sets[i][0]), len(sets[i])))
         self.order, self.sets = order, [sets[i] for i in order]
         bits = np.zeros((len(sets), width // 64), np.uint64)
@@ -192,7 +195,7 @@ class Tree:
             np.bitwise_or.at(row, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         self.bits, self.low, self.high = [bits], [sizes[order]], [sizes[order]]
         self.excess = [sizes[order] - np.bitwise_count(bits).sum(1, dtype=np.int64)]
-        while len(self.low[-1]) > 1:
+        while len(self.low) < 2 or len(self.low[-1]) > 1:
             starts = np.arange(0, len(self.low[-1]), fan)
             self.bits.append(np.bitwise_or.reduceat(self.bits[-1], starts, axis=0))
             self.low.append(np.minimum.reduceat(self.low[-1], starts))
@@ -201,35 +204,43 @@ class Tree:
 
 
 class Linker:
-    """Links between sets (or between two lists of them), as few as connect each component."""
+    """Links between sets, as few as connect each component.
 
-    def __init__(self, sets: list[np.ndarray], labels: list[int] | None, threshold: tuple[int, int]):
+    ``labels`` say what is linked already. With ``native``, only a native and another set are compared.
+    """
+
+    def __init__(self, sets: list[np.ndarray], labels: list[int] | None, threshold: tuple[int, int], native: list[bool] | None = None):
         self.tree, (self.num, self.den) = Tree(sets), threshold
-        self.parent = np.arange(len(sets))
+        self.parent = list(range(len(sets)))
         self.links: list[tuple[int, int]] = []
-        if labels is not None:  # what is linked already
+        if labels is not None:
             first: dict[int, int] = {}
             for i, k in enumerate(self.tree.order):
                 self.parent[i] = first.setdefault(labels[k], i)
-        self.whole: dict[tuple[int, int], bool] = {}
+        self.whole: set[tuple[int, int]] = set()
+        self.native = None if native is None else [np.array([native[k] for k in self.tree.order])]
+        self.other = None if native is None else [~self.native[0]]
+        while native is not None and len(self.native) < len(self.tree.low):
+            for flags in (self.native, self.other):
+                flags.append(np.logical_or.reduceat(flags[-1], np.arange(0, len(flags[-1]), self.tree.fan)))
 
     def find(self, i: int) -> int:
         p = self.parent
         while p[i] != i:
             p[i] = p[p[i]]
             i = p[i]
-        return int(i)
+        return i
 
     def run(self) -> list[tuple[int, int]]:
         """Traverse the tree against itself, smaller subtrees first."""
-        top = len(self.tree.low) - 1
-        for level in range(1, top + 1):
+        for i in range(len(self.tree.low[1])):
+            self._pair(1, i, i)
+        for level in range(2, len(self.tree.low)):
             for i in range(len(self.tree.low[level])):
                 below = self._below(level, i)
                 for x in below:
-                    for y in below:
-                        if x < y:
-                            self._pair(level - 1, x, y)
+                    for y in range(x + 1, below.stop):
+                        self._pair(level - 1, x, y)
         return [(self.tree.order[a], self.tree.order[b]) for a, b in self.links]
 
     def _below(self, level: int, i: int) -> range:
@@ -237,23 +248,20 @@ class Linker:
 
     def _single(self, level: int, i: int) -> int:
         """The component of all sets below an entry, or -1 if there are several."""
-        if level == 0:
-            return self.find(i)
-        if not self.whole.get((level, i)):
+        if level and (level, i) not in self.whole:
             below = self._below(level, i)
             first = self._single(level - 1, below[0])
             if first < 0 or any(self._single(level - 1, x) != first for x in below[1:]):
                 return -1
-            self.whole[level, i] = True
-        a = i
-        for _ in range(level):
-            a *= self.tree.fan
-        return self.find(a)
+            self.whole.add((level, i))
+        return self.find(i * self.tree.fan**level)
 
     def _possible(self, level: int, x: int, y: int) -> bool:
         """Whether some sets below x and y can be similar, by sizes and by bits in common."""
         t = self.tree
         low, high = t.low[level], t.high[level]
+        if self.native and not (self.native[level][x] and self.other[level][y] or self.native[level][y] and self.other[level][x]):
+            return False
         if high[x] * self.den < low[y] * self.num or high[y] * self.den < low[x] * self.num:
             return False
         most = int(np.bitwise_count(t.bits[level][x] & t.bits[level][y]).sum()) + int(min(t.excess[level][x], t.excess[level][y]))
@@ -264,47 +272,66 @@ class Linker:
             return
         if not self._possible(level, x, y):
             return
-        if level:
-            for a in self._below(level, x):
-                for b in self._below(level, y):
-                    self._pair(level - 1, a, b)
-            return
-        s, r = self.tree.sets[x], self.tree.sets[y]
+        if level == 1:
+            return self._leaves(self._below(1, x), self._below(1, y))
+        for a in self._below(level, x):
+            for b in self._below(level, y):
+                self._pair(level - 1, a, b)
+
+    def _leaves(self, xs: range, ys: range) -> None:
+        """The same bound for all pairs of sets of two lowest nodes at once, then exact comparison of the rest."""
+        t, a, b = self.tree, slice(xs.start, xs.stop), slice(ys.start, ys.stop)
+        size, excess = t.low[0], t.excess[0]
+        most = np.bitwise_count(t.bits[0][a][:, None] & t.bits[0][b][None]).sum(2, dtype=np.int64) + np.minimum(excess[a][:, None], excess[b][None])
+        can = most * (self.num + self.den) >= (size[a][:, None] + size[b][None]) * self.num
+        can &= np.array([self.find(i) for i in xs])[:, None] != np.array([self.find(i) for i in ys])[None]
+        if self.native:
+            can &= self.native[0][a][:, None] != self.native[0][b][None]
+        for i, j in np.argwhere(can).tolist():
+            i, j = i + xs.start, j + ys.start
+            if self.find(i) != self.find(j) and self._similar(t.sets[i], t.sets[j]):
+                self.parent[self.find(i)] = self.find(j)
+                self.links.append((i, j))
+
+    def _similar(self, s: np.ndarray, r: np.ndarray) -> bool:
         if len(s) > len(r):
             s, r = r, s
         at = np.searchsorted(r, s)
         common = int((r[np.minimum(at, len(r) - 1)] == s).sum())
-        if common * self.den >= self.num * (len(s) + len(r) - common):
-            self.parent[self.find(x)] = self.find(y)
-            self.links.append((x, y))
+        return common * self.den >= self.num * (len(s) + len(r) - common)
 
 
 def _linked(work: DataFrame, threshold: tuple[int, int], partitions: int) -> DataFrame:
-    """``a, b`` of links found in each chunk of ``work(block, chunk, node, label, x)``; label null: not linked yet."""
+    """``a, b`` of links found in each chunk of ``work(block, chunk, node, label, native, x)``.
+
+    A null label means that nothing is linked yet, and all sets of a chunk are compared; else only native
+    sets with others.
+    """
 
     def run(batches):
-        key, node, label, sets = None, [], [], []
+        key, node, label, native, sets = None, [], [], [], []
 
         def out():
             if len(sets) > 1:
-                links = Linker(sets, label if label[0] is not None else None, threshold).run()
+                links = (Linker(sets, None, threshold) if label[0] is None else Linker(sets, label, threshold, native)).run()
                 if links:
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in a], pa.int64()), pa.array([node[i] for i in b], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for k, c, i, g, x in zip(*(batch.column(f).to_pylist() for f in ("block", "chunk", "node", "label", "x")), strict=True):
+            for k, c, i, g, own, x in zip(*(batch.column(f).to_pylist() for f in ("block", "chunk", "node", "label", "native", "x")), strict=True):
                 if key != (k, c):
                     yield from out()
-                    key, node, label, sets = (k, c), [], [], []
+                    key, node, label, native, sets = (k, c), [], [], [], []
                 if not node or node[-1] != i:  # rows come in order of node
                     node.append(i)
                     label.append(g)
+                    native.append(own)
                     sets.append(np.frombuffer(x, np.uint64))
         yield from out()
 
     dealt = work.repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk", "node")
-    return dealt.select("block", "chunk", "node", "label", "x").mapInArrow(run, "a long, b long")
+    return dealt.select("block", "chunk", "node", "label", "native", "x").mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, chunk_classes: int = CHUNK_CLASSES, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -330,24 +357,27 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = written(source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(sets_of, "node long, x binary").join(members, "node"), "sets")
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    work = sets.withColumn("chunk", chunk).withColumn("label", F.lit(None).cast("long"))
+    fresh = lambda df: df.withColumn("label", F.lit(None).cast("long")).withColumn("native", F.lit(True))
+    work = fresh(sets.withColumn("chunk", chunk))
     hot = sets.where("chunks > 1")
+    every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     is_hot = not members.where("chunks > 1").isEmpty()
     if is_hot:
-        firsts = hot.groupBy("block").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")) == 0, F.col("node")))), 1, PIVOTS).alias("first")).select("block", F.explode("first").alias("node"))
-        pivots = hot.join(firsts, ["block", "node"]).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("label", F.lit(None).cast("long"))
-        work = work.unionByName(pivots)
+        some = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")) == 0, F.col("node"))
+        firsts = members.where("chunks > 1").groupBy("block").agg(*[F.min(F.when(F.pmod(F.col("node"), F.lit(PIVOTS)) == i, some)).alias(f"p{i}") for i in range(PIVOTS)])
+        firsts = firsts.select("block", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("node"))
+        pivots = hot.join(firsts, ["block", "node"]).withColumn("chunk", every_chunk)
+        work = work.unionByName(fresh(pivots))
     links = _linked(work, threshold, partitions)
     if is_hot:
         links = written(links, "links")
-        parts = written(components(links).join(hot.select("node"), "node", "left_semi"), "parts")
-        labelled = hot.join(parts, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+        labelled = hot.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component").withColumn("chunk", chunk)
         count = labelled.groupBy("block", "label").agg(F.count("*").alias("n"))
         largest = count.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
         labelled = labelled.join(largest, "block")
-        rest = labelled.where("label <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        touched = rest.select("block").distinct()
-        again = labelled.join(touched, "block", "left_semi").withColumn("chunk", chunk).unionByName(rest)
+        # a class outside the main component meets the native ones of every other chunk; of two such, each meets the other
+        rest = labelled.where("label <> main").withColumn("own", F.col("chunk")).withColumn("chunk", every_chunk).where("chunk <> own").drop("own")
+        again = labelled.withColumn("native", F.lit(True)).unionByName(rest.withColumn("native", F.lit(False)))
         links = links.unionByName(_linked(again, threshold, partitions))
     linked = components(links)
     of = classes.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
