@@ -71,17 +71,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "segment"))
     lines = lines.where(F.length("segment") >= 2 * low + 1)  # low bigrams take low + 1 words
     plain = F.trim(F.regexp_replace(F.lower("segment"), r"[^\p{L}\p{N}]+", " "))
-    lines = lines.select(id_col, "line", F.split(plain, " ").alias("w"))
+    lines = lines.select(id_col, "line", _once(F.split(plain, " ")).alias("w"))
     lines = lines.where((F.size("w") > low) & (F.size(F.array_distinct("w")) <= high + 1))  # no more distinct words than bigrams and one
     rest = F.greatest(F.size("w") - 1, F.lit(0))
     grams = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.select(id_col, "line", F.array_distinct(grams).alias("g")).where(F.size("g").between(low, high))
-    best = F.array_max(F.array(*[_fit(F.col("g"), i, *x[1:], threshold) for i, x in enumerate(kept)]))
+    lines = lines.select(id_col, "line", _once(F.array_distinct(grams)).alias("g")).where(F.size("g").between(low, high))
+    best = _once(F.array_max(F.array(*[_fit(F.col("g"), i, *x[1:], threshold) for i, x in enumerate(kept)])))
     found = lines.select(id_col, "line", best.alias("best")).where("best is not null")
     names = F.array(*[F.lit(x[0]) for x in kept])
     return found.select(id_col, F.col("line").cast("long").alias("line"), F.element_at(names, F.lit(1) - F.col("best.place")).alias("license"), F.round("best.dice", 6).alias("dice"))
 
 
+def _once(value: Column) -> Column:
+    """A value as the only element of an exploded array: filters above use it instead of computing it again."""
+    return F.explode(F.array(value))
+
+
 def _fit(grams: Column, place: int, template: list[str], low: int, high: int, threshold: float) -> Column:
     """The Dice coefficient with a template and its place, greater for earlier ones; null under the threshold or out of bounds."""
     dice = 2.0 * F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in template]))) / (F.size(grams) + len(template))
