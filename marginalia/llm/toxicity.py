@@ -43,6 +43,7 @@ IDENTITY = (
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_NAMED = {w.encode() for w in IDENTITY}
 #: Byte lengths of the word beginnings that count as features beside the words: inflected forms share them.
 BEGINNINGS = (4, 5, 6, 7, 8)
 
@@ -52,9 +53,12 @@ def _hash(word: bytes) -> int:
 
 
 def word_set(text: str) -> np.ndarray:
-    """Sorted hashes of the distinct words (letters only, A-Z lower-cased) of a whole text, and of their beginnings."""
+    """Sorted hashes of the distinct words (letters only, A-Z lower-cased) of a whole text, and of their beginnings.
+
+    Identity terms have no beginnings: these would escape the swaps.
+    """
     words = set(text.encode("utf-8", "replace").translate(_FOLD).split())
-    begun = {w[:k] + b"*" for k in BEGINNINGS for w in words if len(w) > k}
+    begun = {w[:k] + b"*" for w in words - _NAMED for k in BEGINNINGS if len(w) > k}
     return np.unique(np.array([_hash(w) for w in (*words, *begun)], np.uint32))
 
 
