@@ -24,10 +24,11 @@ JACCARD = rf"""
     sets AS (
         SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(1, len(w) - 3) + 1), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w
     ), grams AS (SELECT doc_id, unnest(s) AS g FROM sets),
-    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-    links AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
-    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT doc_id, b FROM reach JOIN links ON a = other)
-    SELECT doc_id, len(any_value(s))::BIGINT AS n_shingles, min(other) AS component_id FROM reach JOIN sets USING (doc_id) GROUP BY doc_id
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    one AS (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+    links AS (SELECT a, b FROM one UNION ALL SELECT b, a FROM one),
+    reach(doc_id, other) AS (SELECT doc_id, doc_id FROM sets UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
+    SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) JOIN sets USING (doc_id)
 """
 
 DECONTAMINATE = rf"""
