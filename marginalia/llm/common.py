@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -13,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.sources.scratch import fresh
+
 #: Rows of one Arrow batch are handled in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
 
@@ -22,17 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or on a plain local master a folder of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if root:
-        return root
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = tempfile.mkdtemp(prefix="marginalia-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root
+def bound_batches(spark: SparkSession) -> None:
+    """Unless the session says otherwise, hand texts to Python a thousand rows at a time: they may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,11 +35,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The files outlive any executor, and go when the application's file system handle closes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(conf).deleteOnExit(hadoop_path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import slices, texts_of
+from marginalia.llm.common import bound_batches, slices, texts_of
 
 WINDOW = 13
 #: Text bytes of a shard, and of the phrases broadcast at once.
@@ -193,6 +193,7 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id_col, n_words, n_hit, items, spans, chars`` for every row: item ids, hit word spans, code point spans."""
     spark = docs.sparkSession
+    bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     total = benchmark.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
@@ -250,6 +251,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without its contaminated rows; the other rows and all columns stay as they are."""
     spark = docs.sparkSession
+    bound_batches(spark)
     total = benchmark.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
     if total > BLOCK_BYTES:
         keyed = docs.withColumn("_row", F.monotonically_increasing_id())

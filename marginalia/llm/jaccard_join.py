@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import mix, slices, texts_of, written
+from marginalia.llm.common import bound_batches, mix, slices, texts_of, written
 from marginalia.llm.graph import components, forest
 
 SHINGLE = 4
@@ -338,6 +338,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     """``id, row, n, part, component`` for every row: row key, size of its set, its group (null without words), smallest id reachable by links."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     seen = written(survey(source, size, threshold), "survey")
     rows = seen.where("n is not null").select("id", "row", "n", F.col("a").alias("node"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import pieces
-from marginalia.llm.common import slices, texts_of
+from marginalia.llm.common import bound_batches, slices, texts_of
 
 WINDOW = 4096
 END_TOKEN = 2
@@ -139,6 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if out:
             yield rows(out, kind)
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import held_out, label_counts, labelled, slices, texts_of
+from marginalia.llm.common import bound_batches, held_out, label_counts, labelled, slices, texts_of
 
 #: Labelled rows learned from, of each label.
 BOUND = 3000
@@ -170,6 +170,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([shared.value.score(x) for x in texts_of(part)], pa.float64())], ["id", "score"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
     return rows.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
@@ -184,4 +185,5 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", cut: float
             for part in slices(batch, text_col):
                 yield part.filter(pa.array([shared.value.score(x) >= cut for x in texts_of(part, text_col)], pa.bool_()))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import slices, texts_of
+from marginalia.llm.common import bound_batches, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "markov")
 # The three patterns of the contract.
@@ -131,6 +131,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
                 sha = [hashlib.sha256(_joined(s for s in x if s[1] < 3).encode()).hexdigest() for x in every]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *counts, pa.array(sha, pa.string()), pa.array([_joined(x) for x in every], pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
 
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
@@ -156,4 +157,5 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
                 at = part.schema.get_field_index(text_col)
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
