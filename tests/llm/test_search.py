@@ -54,6 +54,35 @@ def test_passages(frame, rng, vocabulary):
     assert S.passages(frame([], "doc_id long, text string", 1)).count() == 0
 
 
+def held(text, least=S.LEAST):
+    """The runs of ``least`` words of a text, by place."""
+    w = text.split()
+    return [tuple(w[i : i + least]) for i in range(len(w) - least + 1)]
+
+
+def covered(got, i):
+    return {p for r in got if r.doc_id == i for p in range(r.start, r.end)} | {p for r in got if r.other_id == i for p in range(r.other_start, r.other_end)}
+
+
+def test_passages_of_foreign_hubs(frame, rng, vocabulary):
+    """Against brute force: a passage made of two lines that other texts, first by hash, hold one of each."""
+    words = lambda n: rng.choices(vocabulary, k=n)
+    rows = []
+    for _ in range(12):
+        lines = words(40), words(40)
+        both = lines[0] + lines[1]
+        rows += [(len(rows) + i, " ".join(words(30) + x + words(30))) for i, x in enumerate([both, both, *lines, *lines, *lines, *lines])]
+    got = S.passages(frame(rows, "doc_id long, text string")).collect()
+    texts = {}
+    for i, text in rows:
+        for run in set(held(text)):
+            texts.setdefault(run, set()).add(i)
+    for i, text in rows:
+        want = {p for at, run in enumerate(held(text)) if len(texts[run]) > 1 for p in range(at, at + S.LEAST)}
+        assert want <= covered(got, i)
+    assert {r.doc_id for r in got} | {r.other_id for r in got} == {i for i, _ in rows if i % 10 < 2}
+
+
 def test_chains():
     rng = random.Random(5)
     for _ in range(30):
