@@ -83,6 +83,17 @@ def test_passages_of_foreign_hubs(frame, rng, vocabulary):
     assert {r.doc_id for r in got} | {r.other_id for r in got} == {i for i, _ in rows if i % 10 < 2}
 
 
+def test_repeats_within_a_text(frame, rng, vocabulary):
+    words = lambda n: rng.choices(vocabulary, k=n)
+    twice, inner, block = words(60), words(50), words(100)
+    texts = [words(20) + twice + words(30) + twice + words(10), words(15) + twice, words(7) + inner + words(70) + inner + words(9), words(11) + 5 * block + words(12), words(100), ["one"] * 90]
+    got = S.passages(frame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {*range(20, 80), *range(110, 170)} <= covered(got, 0) and {*range(15, 75)} <= covered(got, 1)
+    assert {*range(7, 57), *range(127, 177)} <= covered(got, 2) and {*range(11, 511)} <= covered(got, 3)
+    assert not covered(got, 4) and covered(got, 5) == {*range(90)}
+    assert all(r.start > r.other_start for r in got if r.doc_id == r.other_id) and len(got) < 12
+
+
 def test_chains():
     rng = random.Random(5)
     for _ in range(30):
