@@ -94,6 +94,17 @@ def test_repeats_within_a_text(frame, rng, vocabulary):
     assert all(r.start > r.other_start for r in got if r.doc_id == r.other_id) and len(got) < 12
 
 
+def test_long_shared_runs(frame, rng, vocabulary):
+    """Runs of a repeated block, whose seeds all lie in its first copy, and of words that go on far beyond the seeds."""
+    words = lambda n: rng.choices(vocabulary, k=n)
+    run = words(100) * 50
+    texts = [words(9) + run + words(700), words(600) + run + words(30)]
+    got = S.passages(frame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).collect()
+    between = [r for r in got if r.doc_id != r.other_id]
+    places = {0: range(9, 5009), 1: range(600, 5600)}
+    assert any({*places[r.doc_id]} <= {*range(r.start, r.end)} and {*places[r.other_id]} <= {*range(r.other_start, r.other_end)} for r in between)
+
+
 def test_chains():
     rng = random.Random(5)
     for _ in range(30):
