@@ -20,8 +20,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of similar documents."""
-    return jaccard_join.keep_one(docs)
+    """Keep one row of each group of similar documents: five-word shingles, a Jaccard coefficient of 0.8 or more."""
+    return jaccard_join.keep_one(docs, size=5, threshold=(80, 100))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

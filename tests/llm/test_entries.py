@@ -28,6 +28,14 @@ def test_registered():
     assert "pipeline" in __spark_entry__.queries()
 
 
+def test_near_copies_go(spark, frame, tmp_path):
+    a, b = ([f"{x}{i}" for i in range(100)] for x in "ab")
+    rows = [(1, " ".join(a)), (2, " ".join(a + [f"more{i}" for i in range(20)])), (3, " ".join(b)), (4, " ".join("new" if i in (30, 60) else w for i, w in enumerate(b)))]
+    frame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.read.parquet(str(tmp_path / "docs")), SF)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     before = docs
