@@ -2,7 +2,8 @@
 
 One model is trained on labelled random strings, one on labelled ordinary identifiers; a run of key
 characters whose mean log-likelihood ratio per character passes a threshold is a secret. The patterns'
-spans (``assign, access, hex``) always stay; the models add spans (``markov``) where no pattern's span is.
+spans (``assign, access, hex``) always stay; the models add spans (``markov``) where no pattern's span is,
+also in what those spans leave of a run.
 Whole texts are scanned, one Arrow function per partition, no shuffle.
 
 Defined cases: a null text counts as empty and has no spans; a null id stays null; repeated rows are
@@ -31,7 +32,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 # A run of 24 or more is the whole run of HEX there.
 LONG_HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Least characters of a candidate, or of what the patterns' spans leave of it.
+LEAST = 20
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Mean log-likelihood ratio in nats a character above which a candidate is a secret.
 THRESHOLD = 0.6
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
@@ -110,9 +113,11 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]
     found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
     base = sorted(found)
     for m in CANDIDATE.finditer(text):
-        a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and llr(m[0]) > threshold:
-            found.append((a, 3, b))
+        a, end = m.span()
+        for s, _, e in [x for x in base if x[0] < end and a < x[2]] + [(end, 0, end)]:
+            if s - a >= LEAST and llr(text[a:s]) > threshold:
+                found.append((a, 3, s))
+            a = max(a, e)
     return sorted(found)
 
 

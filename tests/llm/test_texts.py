@@ -112,6 +112,15 @@ def test_markov():
     assert secret_scan.redact_text(f"key {random_ones[0]} and password=abcdef12!") == "key [REDACTED] and [REDACTED]!"
 
 
+def test_markov_beside_patterns():
+    random_one, digits = "wJalrXUtnFEMIK7MDENGbPxRfiCYEXAM", "0123456789abcdef01234567"
+    assert secret_scan.spans(f"{random_one}_{digits}") == [(0, 3, 33), (33, 2, 57)]
+    assert secret_scan.spans(f"{digits}_{random_one}") == [(0, 2, 24), (24, 3, 57)]
+    assert secret_scan.spans(f"{random_one}_{digits}_{random_one}") == [(0, 3, 33), (33, 2, 57), (57, 3, 90)]
+    assert secret_scan.spans(f"the_quick_brown_fox_jumps_{digits}") == [(26, 2, 50)]
+    assert secret_scan.redact_text(f"x {random_one}_{digits} y") == "x [REDACTED][REDACTED] y"
+
+
 def test_redact(odd_docs):
     got = secret_scan.redact(odd_docs)
     assert got.schema == odd_docs.schema and sorted(map(str, got.collect())) == sorted(map(str, odd_docs.collect()))
