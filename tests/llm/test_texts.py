@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -133,6 +134,17 @@ def test_licenses(frame, odd_docs):
     assert licenses.scan(odd_docs).count() == 0
 
 
+def test_license_windows(frame):
+    full = dict(reversed([(name, text) for name, text in licenses.TEMPLATES if len(text) > 100]))
+    wrapped = {name: "\n".join(textwrap.wrap(text, 72)) for name, text in full.items()}
+    rows = [(i, f"some words before\n# {text.replace(chr(10), chr(10) + '# ')}\nand some more after") for i, text in enumerate(wrapped.values())]
+    rows += [(50, "x Released under the MIT License. All rights reserved."), (51, "x\nLicensed under the\nMIT License. y"), (52, "All rights are reserved under the sun, the license of many words"), (53, None), (54, "")]
+    got = [tuple(r) for r in licenses.scan(frame(rows, "doc_id long, text string")).collect()]
+    want = [(i, 1, name, 1.0) for i, name in enumerate(wrapped)]
+    want += [(50, 0, "mit", 1.0), (50, 0, "all-rights-reserved", 1.0), (51, 1, "mit", 1.0)]
+    assert sorted(got) == sorted(want)
+
+
 def windows(text, n):
     w = [x.decode() for x in decontaminate.words(text or "")]
     return w, [tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1) if w else 0)]
