@@ -112,7 +112,8 @@ def _pairs_of(w: Column) -> Column:
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """Notices that are not a line: windows of a whole text's words, with the line they begin in.
 
-    A window begins and ends with a bigram of its template (others at its ends only lower the coefficient).
+    A window begins and ends with a bigram of its template (others at its ends only lower the coefficient),
+    and has at most twice as many bigrams as distinct ones may be there.
     Of windows that overlap the best stays, of equals that of the first template, then the first, then the
     shortest; none stays that overlaps a line that matches as well or for the same licence.
     """
