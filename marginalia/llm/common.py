@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from marginalia.sources.scratch import fresh
 
 #: Rows of one Arrow batch are handled in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
+#: What an Arrow batch may hold, unless the session says otherwise.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", f"{8 << 20}b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Unless the session says otherwise, hand texts to Python a thousand rows at a time: they may be long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+    """Where the session has Spark's own bound of an Arrow batch's bytes (64 MB), set a smaller one: texts may be long."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -56,6 +58,38 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return [x or "" for x in batch.column(column).to_pylist()]
 
 
+def runs_of_words(folded: bytes, limit: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The words of a text between single bytes of white space, about ``limit`` bytes of it at a time."""
+    at = 0
+    while at < len(folded):
+        end = folded.find(b" ", at + limit) if len(folded) - at > limit else -1
+        end = len(folded) if end < 0 else end
+        yield folded[at:end].split()
+        at = end
+
+
+def hashes_of(folded: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.concatenate([np.zeros(0, np.uint64), *(np.fromiter(map(digest, ws), np.uint64, len(ws)) for ws in runs_of_words(folded))])
+
+
+def groups(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
+    """The rows of one value of ``column`` after the other, of batches in its order."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = batch.column(column).to_numpy()
+        edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                if held and held[-1].column(column)[0].as_py() != key[a]:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold labels are never learned from: CRC-32 of the id's decimal text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

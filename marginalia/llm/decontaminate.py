@@ -34,9 +34,14 @@ _KEPT = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+def folded(text: str) -> bytes:
+    """A text as UTF-8, A-Z lower-cased, all ASCII but digits and letters as spaces."""
+    return text.encode("utf-8", "replace").translate(_FOLD)
+
+
 def words(text: str) -> list[bytes]:
     """Words of a text: A-Z lower-cased, all ASCII but digits and letters separates."""
-    return text.encode("utf-8", "replace").translate(_FOLD).split()
+    return folded(text).split()
 
 
 class Phrases:
