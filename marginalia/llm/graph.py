@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,37 +13,67 @@ from marginalia.llm.common import written
 
 #: Forest edges (16 bytes each) that one task finishes; with more, rounds go on over the cluster.
 ONE_TASK = 1_000_000
+#: Edges that a task holds before it reduces them to a forest.
+HELD = 1_000_000
 
 
-def forest(a: Iterable[int], b: Iterable[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Every node but the least of each component of the edges, with that least node."""
-    parent: dict[int, int] = {}
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node but the least of each component of the edges, with that least node.
 
-    def find(x: int) -> int:
-        root = x
-        while (p := parent.setdefault(root, root)) != root:
-            root = p
-        while (p := parent[x]) != root:
-            parent[x], x = root, p
-        return root
-
-    for x, y in zip(a, b, strict=True):
-        p, q = find(x), find(y)
-        if p < q:
-            parent[q] = p
-        elif q < p:
-            parent[p] = q
-    nodes = [x for x in parent if find(x) != x]
-    return np.array(nodes, np.int64), np.array([parent[x] for x in nodes], np.int64)
+    Each round hangs the larger root of an edge under the smaller and lets all nodes jump to their roots:
+    at least half of the roots that still have an edge go.
+    """
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(root[x], root[y]), np.maximum(root[x], root[y])
+        apart = low != high
+        x, y, low, high = x[apart], y[apart], low[apart], high[apart]
+        np.minimum.at(root, high, low)
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    below = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[below], nodes[root[below]]
+
+
+class Edges:
+    """Edges that are reduced to forests now and then, so that a task holds few; ``add`` and ``rest`` give what leaves it."""
+
+    def __init__(self, held: int = HELD):
+        self.held, self.n = held, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.parts.append((a, b))
+        self.n += len(a)
+        if self.n > self.held:
+            (reduced,) = list(self.rest())
+            if 2 * len(reduced[0]) > self.held:
+                yield reduced
+            else:
+                self.parts, self.n = [reduced], len(reduced[0])
+
+    def rest(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.n:
+            parts, self.parts, self.n = self.parts, [], 0
+            yield forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def _forests(batches):
-    a, b = [], []
+    edges = Edges()
+    names = lambda found: (pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64())], ["u", "p"]) for u, p in found)
     for batch in batches:
-        a += batch.column("u").to_pylist()
-        b += batch.column("p").to_pylist()
-    if a:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in forest(a, b)], ["u", "p"])
+        yield from names(edges.add(batch.column("u").to_numpy(), batch.column("p").to_numpy()))
+    yield from names(edges.rest())
+
+
+def _whole(batches):
+    """The forest of all edges of a task."""
+    parts = [(batch.column("u").to_numpy(), batch.column("p").to_numpy()) for batch in batches]
+    if parts:
+        u, p = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(p, pa.int64())], ["u", "p"])
 
 
 def components(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) -> DataFrame:
@@ -57,7 +87,7 @@ def components(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) ->
     apart = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p"))
     now = written(apart.mapInArrow(_forests, "u long, p long"), "forests")
     if now.count() <= one_task:
-        return _stars(written(now.repartition(1).mapInArrow(_forests, "u long, p long"), "forest"))
+        return _stars(written(now.repartition(1).mapInArrow(_whole, "u long, p long"), "forest"))
     now = now.distinct()
     for _ in range(rounds):
         parent = now.groupBy("u").agg(F.min("p").alias("m"))

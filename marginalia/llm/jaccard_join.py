@@ -1,19 +1,23 @@
 """N-gram Jaccard join by signature trees: groups of documents whose shingle sets are similar.
 
 Documents of one shingle set are one class. Classes that may be similar meet in blocks: a set is cut by
-hash into more parts than two similar sets can differ in, so they agree in some whole part; classes that
-share a part are joined through the part's smallest class, and a block is a component of that graph. In
+hash into more parts than two similar sets can differ in, so they agree in some whole parts; of a set's parts
+just so many are left out that one of those always stays, the parts of the commonest shingles first. Classes
+that share a part are joined through the part's smallest class, and a block is a component of that graph. A
+large block is cut again by other parts, told apart by the shingles common in such blocks. In
 each block a signature tree is built: its nodes hold the OR of their sets' token bitmaps, and the range
 of set sizes; a dual traversal of the tree with itself skips node pairs whose largest possible overlap
 is too small, or whose members are all linked already. What is left is compared exactly.
 
 A block over a bound is dealt into chunks, each with the block's first classes as pivots; classes outside
 its largest component so far are then compared with every chunk. So no link between components is lost,
-no group is gathered whole, and pairs are never listed.
+no group is gathered whole, and pairs are never listed. Which shingles are common is found on a bounded
+sample: it changes the size of blocks, never a link.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing;
 a null id never names a component; repeated rows are one class; fewer words than a shingle make one
-shingle; empty tables give empty results; other columns are not read. Sets are compared by 64-bit hashes
+shingle; a very long text costs memory of about ten times its bytes where it is read, and is one set in its
+block's task; empty tables give empty results; other columns are not read. Sets are compared by 64-bit hashes
 of shingles, classes by a 64-bit hash of the set.
 """
 
@@ -28,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, mix, slices, texts_of, written
-from marginalia.llm.graph import components, forest
+from marginalia.llm.common import bound_batches, groups, hashes_of, mix, slices, texts_of, unused, written
+from marginalia.llm.graph import Edges, components
 
 SHINGLE = 4
 THRESHOLD = (85, 100)
@@ -39,18 +43,27 @@ CHUNK_SHINGLES = 4_000_000
 PIVOTS = 4
 #: Ids of so many documents at most are broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Documents, or classes of large blocks, whose shingles are counted, and how many of them must have a common one; rounds of cutting large blocks again.
+SAMPLE, COMMON, CUTS = 4096, 8, 2
+#: Buckets of signatures for each shuffle partition.
+BUCKETS = 4
+_FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
+_NONE = np.zeros(0, np.uint64)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
+def folded(text: str) -> bytes:
+    """A text as UTF-8, A-Z lower-cased, white space as spaces."""
+    return text.encode("utf-8", "replace").translate(_FOLD)
+
+
 def words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "replace").translate(_FOLD).split()
+    return folded(text).split()
 
 
 def shingle_set(text: str, size: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the text's shingles."""
-    digest = xxhash.xxh3_64_intdigest
-    w = np.array([digest(x) for x in words(text)], np.uint64)
+    w = hashes_of(folded(text))
     if not len(w):
         return w
     n = max(1, len(w) - size + 1)
@@ -75,11 +88,13 @@ def bands(top: int, threshold: tuple[int, int]) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def part_signatures(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD, seed: int = 0) -> np.ndarray:
+def part_signatures(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD, seed: int = 0, common: np.ndarray = _NONE) -> np.ndarray:
     """Hashes of parts such that different sets at the threshold share one.
 
     Two such sets, the larger of a band up to size u, differ in at most d = 2u(1-t)/(1+t) shingles, so of
-    m > d parts m - d agree. Parts too small to tell anything are left out, while fewer than m - d.
+    m > d parts m - d agree. Parts are in one order for all sets: the empty ones, then by their shingles that
+    are not ``common``, by size, by hash. Each set leaves out its first m - d - 1: of the agreeing parts the
+    set that leaves out more keeps one, which stands late enough for the other too.
     """
     num, den = threshold
     n = len(s)
@@ -93,22 +108,24 @@ def part_signatures(s: np.ndarray, threshold: tuple[int, int] = THRESHOLD, seed:
             continue
         if mixed is None:
             mixed = mix(s ^ _ODD[seed])
+            rare = np.ones(n, bool) if not len(common) else common[np.minimum(np.searchsorted(common, s), len(common) - 1)] != s
             place = mix(s + _ODD[seed]) >> np.uint64(32) if seed else s >> np.uint64(32)
             if seed:
                 order = np.argsort(place)
-                place, mixed = place[order], mixed[order]
+                place, mixed, rare = place[order], mixed[order], rare[order]
         m = d + max(2, -(-2 * d // 5))
         part = (place * np.uint64(m)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        size = np.diff(np.append(starts, n))
-        empty = m - len(starts)
-        least = next((t for t in (2, 1, 0) if empty + int((size <= t).sum()) < m - d), -1)
-        total = np.add.reduceat(mixed, starts)
-        sig = mix(total ^ mix(part[starts] + np.uint64((b + 1) << 32)))
-        out.append(sig[size > least])
-        if least < 0 and empty:
-            none = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])
+        sig = mix(np.add.reduceat(mixed, starts) ^ mix(part[starts] + np.uint64((b + 1) << 32)))
+        left_out = m - d - 1 - (m - len(starts))  # besides empty parts
+        if left_out > 0:
+            size = np.diff(np.append(starts, n))
+            order = np.lexsort((sig, size, np.add.reduceat(rare.astype(np.int64), starts)))
+            sig = sig[order[left_out:]]
+        elif left_out < 0:
+            none = np.setdiff1d(np.arange(m, dtype=np.uint64), part[starts])[left_out:]
             out.append(mix(mix(none + np.uint64((b + 1) << 32))))
+        out.append(sig)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -131,49 +148,86 @@ def _rows(count: int, /, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(count, f.type) for f in _CELLS], schema=_CELLS)
 
 
-def survey(docs: DataFrame, size: int, threshold: tuple[int, int]) -> DataFrame:
-    """One pass over the texts: a row ``id, row, n, a = class`` per document, and rows ``a, b`` (no n) of classes that share a part.
+def _signed(sets: dict[int, np.ndarray], buckets: int, threshold: tuple[int, int], seed: int, common: np.ndarray, salt: np.ndarray | None = None):
+    """Signatures of a slice's classes packed by bucket; those seen twice in the slice go as one, with an edge."""
+    sigs = [part_signatures(s, threshold, seed, common) for s in sets.values()]
+    if not sigs:
+        return
+    size = [len(x) for x in sigs]
+    sig = np.concatenate(sigs)
+    sig, hub, edges = _hubs(sig if salt is None else mix(sig ^ np.repeat(salt, size)), np.repeat(np.array(list(sets), np.int64), size))
+    if edges.shape[1]:
+        yield _rows(edges.shape[1], a=edges[0], b=edges[1], bucket=(edges[0] % buckets).astype(np.int32))
+    cut = np.searchsorted((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
+    full = np.flatnonzero(np.diff(cut))
+    yield _rows(len(full), bucket=full.astype(np.int32), x=[sig[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
 
-    Signatures travel packed by bucket; those seen twice in a slice go as one, with an edge.
-    """
+
+def _met(signed: DataFrame, partitions: int) -> DataFrame:
+    """Rows of documents as they are, and a forest of the edges between classes that share a signature, bucket by bucket."""
+
+    def meet(batches):
+        edges = Edges()
+        rows_of = lambda found: (_rows(len(a), a=a, b=b) for a, b in found if len(a))
+        for rows in groups(batches, "bucket"):
+            is_doc, packed = rows.column("n").is_valid(), rows.column("x").is_valid()
+            yield from rows.filter(is_doc).to_batches()
+            plain, packed = rows.filter(pc.invert(pc.or_(is_doc, packed))), rows.filter(packed)
+            yield from rows_of(edges.add(plain.column("a").to_numpy(), plain.column("b").to_numpy()))
+            sig, node = (np.frombuffer(b"".join(packed.column(c).to_pylist()), kind) for c, kind in (("x", np.uint64), ("y", np.int64)))
+            yield from rows_of(edges.add(*_hubs(sig, node)[2]))
+        yield from rows_of(edges.rest())
+
+    return signed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _DDL).select("id", "row", "n", "a", "b")
+
+
+def survey(docs: DataFrame, size: int, threshold: tuple[int, int], common: np.ndarray = _NONE) -> DataFrame:
+    """One pass over the texts: a row ``id, row, n, a = class`` per document, and rows ``a, b`` (no n) of classes that share a part."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = BUCKETS * partitions
+    shared = spark.sparkContext.broadcast(common)
 
     def sign(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = [shingle_set(x, size) for x in texts_of(part)]
                 node = [set_node(s) for s in sets]
-                first = {k: s for k, s in zip(node, sets, strict=True) if len(s)}
-                yield _rows(len(sets), id=part.column("id"), row=part.column("row"), n=[len(s) for s in sets], a=node, bucket=[k % buckets for k in node])
-                sigs = [part_signatures(s, threshold) for s in first.values()]
-                if not sigs:
-                    continue
-                sig, hub, edges = _hubs(np.concatenate(sigs), np.repeat(np.array(list(first), np.int64), [len(x) for x in sigs]))
-                if edges.shape[1]:
-                    yield _rows(edges.shape[1], a=edges[0], b=edges[1], bucket=(edges[0] % buckets).astype(np.int32))
-                cut = np.searchsorted((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
-                full = np.flatnonzero(np.diff(cut))
-                yield _rows(len(full), bucket=full.astype(np.int32), x=[sig[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
+                yield _rows(len(sets), id=part.column("id"), row=part.column("row"), n=[len(s) for s in sets], a=node, bucket=[i % buckets for i in range(len(node))])
+                yield from _signed({k: s for k, s in zip(node, sets, strict=True) if len(s)}, buckets, threshold, 0, shared.value)
 
-    def meet(batches):
-        sig, node, edges = [], [], []
+    return _met(docs.mapInArrow(sign, _DDL), partitions)
+
+
+def cut_again(sets: DataFrame, threshold: tuple[int, int], seed: int, common: np.ndarray) -> DataFrame:
+    """``node, component`` of the classes of ``sets(node, block, x)`` that share a part of another cut within their block."""
+    spark = sets.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared = spark.sparkContext.broadcast(common)
+
+    def sign(batches):
+        for batch in batches:
+            for part in slices(batch, "x"):
+                found = dict(zip(part.column("node").to_pylist(), (np.frombuffer(x, np.uint64) for x in part.column("x").to_pylist()), strict=True))
+                block = dict(zip(part.column("node").to_pylist(), part.column("block").to_pylist(), strict=True))
+                yield from _signed(found, BUCKETS * partitions, threshold, seed, shared.value, mix(np.array([block[k] for k in found], np.int64).view(np.uint64)))
+
+    return components(_met(sets.select("node", "block", "x").mapInArrow(sign, _DDL), partitions).select("a", "b"))
+
+
+def common_shingles(rows: DataFrame, key: str, sets_of, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
+    """Sorted shingles that at least ``least`` of a sample's sets have; the sample is chosen by hash of ``key``, the sets are counted on the executors."""
+    chosen = F.broadcast(rows.select(key).distinct().orderBy(F.xxhash64(key, F.lit(5)), key).limit(sample))
+
+    def count(batches):
         for batch in batches:
-            is_doc, packed = batch.column("n").is_valid(), batch.column("x").is_valid()
-            yield batch.filter(is_doc)
-            plain, packed = batch.filter(pc.invert(pc.or_(is_doc, packed))), batch.filter(packed)
-            edges.append(np.stack([plain.column(c).to_numpy() for c in ("a", "b")]))
-            sig += [np.frombuffer(x, np.uint64) for x in packed.column("x").to_pylist()]
-            node += [np.frombuffer(x, np.int64) for x in packed.column("y").to_pylist()]
-        if sig:
-            edges.append(_hubs(np.concatenate(sig), np.concatenate(node))[2])
-        if edges:
-            a, b = forest(*np.concatenate(edges, axis=1).tolist())
-            if len(a):
-                yield _rows(len(a), a=a, b=b)
-
-    return docs.mapInArrow(sign, _DDL).repartition(partitions, "bucket").mapInArrow(meet, _DDL).select("id", "row", "n", "a", "b")
+            found = [s for s in sets_of(batch) if len(s)]
+            if found:
+                shingle, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n, pa.int64())], ["s", "n"])
+
+    counts = rows.join(chosen, key, "left_semi").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return np.sort(counts.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
 class Tree:
@@ -340,13 +394,11 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    seen = written(survey(source, size, threshold), "survey")
+    texts_sets = lambda batch: (shingle_set(x, size) for part in slices(batch, "text") for x in texts_of(part))
+    seen = written(survey(source, size, threshold, common_shingles(source, "row", texts_sets)), "survey")
     rows = seen.where("n is not null").select("id", "row", "n", F.col("a").alias("node"))
     classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"))
     blocks = written(components(seen.where("n is null").select("a", "b")).join(classes, "node").withColumnRenamed("component", "block"), "blocks")
-    chunks = F.greatest(F.ceil(F.count("*") / chunk_classes), F.ceil(F.sum("n") / chunk_shingles))
-    sizes = blocks.groupBy("block").agg(chunks.alias("chunks"))
-    members = written(blocks.join(sizes, "block"), "members")
 
     def sets_of(batches):
         for batch in batches:
@@ -354,15 +406,28 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 sets = [shingle_set(x, size) for x in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "x"])
 
-    wanted = members.select(F.col("least").alias("wanted")).distinct()
+    wanted = blocks.select(F.col("least").alias("wanted")).distinct()
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = written(source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(sets_of, "node long, x binary").join(members, "node"), "sets")
+    sets = written(source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(sets_of, "node long, x binary"), "sets")
+    chunks = F.greatest(F.ceil(F.count("*") / chunk_classes), F.ceil(F.sum("n") / chunk_shingles))
+    counted = lambda blocks: written(blocks.join(blocks.groupBy("block").agg(chunks.alias("chunks")), "block"), "members")
+    members = counted(blocks)
+    for seed in range(1, CUTS + 1):
+        large = members.where("chunks > 1")
+        if large.isEmpty():
+            break
+        held = written(sets.join(large.select("node", "block"), "node"), "large")
+        common = common_shingles(held.select("node", "x"), "node", lambda batch: (np.frombuffer(x, np.uint64) for x in batch.column("x").to_pylist()))
+        again = cut_again(held, threshold, seed, common).join(large.select("node", "least", "n"), "node").withColumnRenamed("component", "block")
+        members = counted(members.where("chunks = 1").select("node", "block", "least", "n").unionByName(again.select("node", "block", "least", "n")))
+    sets = sets.join(members, "node")
+    if is_hot := not members.where("chunks > 1").isEmpty():
+        sets = written(sets, "members")  # read three times
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     fresh = lambda df: df.withColumn("label", F.lit(None).cast("long")).withColumn("native", F.lit(True))
     work = fresh(sets.withColumn("chunk", chunk))
     hot = sets.where("chunks > 1")
     every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    is_hot = not members.where("chunks > 1").isEmpty()
     if is_hot:
         some = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")) == 0, F.col("node"))
         firsts = members.where("chunks > 1").groupBy("block").agg(*[F.min(F.when(F.pmod(F.col("node"), F.lit(PIVOTS)) == i, some)).alias(f"p{i}") for i in range(PIVOTS)])
@@ -399,7 +464,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     ``docs`` is read twice and must come from files, so that both reads number the rows alike.
     """
     found = similar(docs, id_col, text_col, size, threshold).where("n > 0")
+    key = unused(docs, "row")
     stays = found.groupBy("part").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
-    gone = written(found.join(stays, "part").where("row <> stays").select(F.col("row").alias("_row")), "gone")
+    gone = written(found.join(stays, "part").where("row <> stays").select(F.col("row").alias(key)), "gone")
     gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").select(*docs.columns)
+    return docs.withColumn(key, F.monotonically_increasing_id()).join(gone, key, "left_anti").select(*docs.columns)

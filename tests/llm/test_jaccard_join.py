@@ -1,5 +1,6 @@
 """Groups against all pairs of shingle sets."""
 
+import numpy as np
 import pytest
 
 from marginalia.llm import graph
@@ -62,10 +63,40 @@ def test_groups(frame, rows, chunk):
     assert sorted(((r["id"], r["n"], r["component"]) for r in got), key=str) == brute(rows)
 
 
+@pytest.mark.parametrize(("k", "t"), [(4, (85, 100)), (5, (80, 100))])
+def test_similar_sets_share_a_part(rng, k, t):
+    """Whatever shingles count as common, and for every cut."""
+    shared = 0
+    for _ in range(4000):
+        n = rng.choice([2, 3, 6, 7, 9, 12, 20, 50, 200])
+        s = [rng.getrandbits(64) for _ in range(n)]
+        gone = rng.randint(0, int(n * 0.25))
+        r = s[gone:] + [rng.getrandbits(64) for _ in range(rng.randint(0, int(n * 0.25)))]
+        if set(s) != set(r) and t[1] * len(set(s) & set(r)) >= t[0] * len(set(s) | set(r)):
+            common = np.sort(np.array(rng.sample(s, n // 2) + [rng.getrandbits(64) for _ in range(3)], np.uint64))
+            a, b = (np.sort(np.array(x, np.uint64)) for x in (s, r))
+            for seed, known in ((0, common[:0]), (0, common), (1, common), (2, common[:0])):
+                assert np.intersect1d(J.part_signatures(a, t, seed, known), J.part_signatures(b, t, seed, known)).size
+            shared += 1
+    assert shared > 300
+
+
+def test_large_blocks_are_cut_again(frame, rng, vocabulary):
+    """Texts with a long common line, of which only some are alike, in blocks of at most four classes."""
+    line = rng.choices(vocabulary, k=25)
+    rows = []
+    for _ in range(40):
+        own = rng.choices(vocabulary, k=30)
+        rows += [(len(rows) + i, " ".join(line + own[:i] + own[i + 1 :])) for i in range(rng.choice([1, 2]))]
+    got = J.similar(frame(rows, "doc_id long, text string"), size=5, threshold=(80, 100), chunk_classes=4).collect()
+    assert sorted(((r["id"], r["n"], r["component"]) for r in got), key=str) == brute(rows, 5, (80, 100))
+
+
 def test_keep_one(frame, rows):
-    df = frame([(i, x, "c") for i, x in rows], "doc_id long, text string, part string")
+    df = frame([(i, x, "c", j, j) for j, (i, x) in enumerate(rows)], "doc_id long, text string, part string, _row int, ROW int")
     kept = J.keep_one(df)
     assert kept.columns == df.columns
+    assert all((r.doc_id, r.text) == rows[r._row] and r._row == r.ROW for r in kept.collect())
     groups = {c for i, n, c in brute(rows) if n}
     assert {r.doc_id for r in kept.collect() if J.words(r.text or "")} == groups
     assert kept.where("text is null or trim(text) in ('', '\n')").count() == 3
@@ -78,9 +109,21 @@ def test_empty_and_odd(frame, odd_docs):
     assert J.join(odd_docs).count() == 8
 
 
+def test_edges_leave_in_forests(rng):
+    edges = np.array([(rng.randrange(3000), rng.randrange(3000)) for _ in range(6000)])
+    for held in (10, 700, 10**6):
+        reduced, out = graph.Edges(held), []
+        for part in np.array_split(edges, 50):
+            out += reduced.add(*part.T)
+        out += reduced.rest()
+        nodes, least = graph.forest(*edges.T)
+        again = graph.forest(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        assert (again[0] == nodes).all() and (again[1] == least).all()
+
+
 def test_components(spark, rng):
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)] + [(1000 + i, 1001 + i) for i in range(60)]
-    nodes, least = graph.forest(*zip(*edges, strict=True))
+    nodes, least = graph.forest(*np.array(edges).T)
     want = dict(zip(nodes.tolist(), least.tolist(), strict=True))
     for one_task in (0, 10**6):
         got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=one_task).collect()}
