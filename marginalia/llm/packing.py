@@ -1,15 +1,20 @@
 """Packing: sum-of-squares online packing of documents into fixed windows.
 
 Each partition is packed on its own, in one pass. A document of a window or more fills whole windows; its
-rest, and any shorter document, goes to the fill level that makes the sum over levels of (number of
-partially filled windows at that level) squared smallest; the counts are a level array. At most
-``max_open`` windows stay open: beyond that the rest is cut to fill the fullest window. What is open at
-the end of a partition is cut anew end to end, so no sequence is padded: the last tokens of a partition
-go to sequences whose lengths are powers of two.
+rest, and any shorter document, goes where it makes the sum over fill levels of (number of partially filled
+windows at that level) squared smallest: into a window of some level, into a new one, or, as documents may
+be cut, over the end of one, which costs ``CUT_COST`` squares more. The counts are a level array; a level is
+``WIDTH`` tokens wide, and a window in the last one, almost full, gets the next document's first tokens. As a
+new window costs more the more windows its level has, and a cut does not, few stay open whatever the sizes.
+
+At the end of a partition the fullest open windows are filled up from the emptiest, and the tokens of at most
+one window go to sequences whose lengths are powers of two: no sequence is padded. So all but a few tokens
+of a partition lie where they were placed.
 
 Defined cases: a null or empty text is the end token alone; a null id stays null; repeated rows are packed
-each; an empty table gives an empty result; other columns are not read. A lost executor's partition is
-packed again to the same sequences: ids depend on the partition's rows only.
+each; a very long text fills windows as it comes, and costs memory of about ten times its bytes; an empty
+table gives an empty result; other columns are not read. A lost executor's partition is packed again to
+the same sequences: ids depend on the partition's rows only.
 """
 
 from __future__ import annotations
@@ -24,21 +29,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm import pieces
-from marginalia.llm.common import bound_batches, slices, texts_of
+from marginalia.llm.common import bound_batches, lean, slices, texts_of
 
 WINDOW = 4096
 END_TOKEN = 2
-MAX_OPEN = 256
+#: Tokens of a fill level, and squares that a cut counts for.
+WIDTH, CUT_COST = 64, 4
+#: Text bytes encoded at once.
+SLICE_BYTES = 1 << 20
 
 
 class Packer:
-    """Pieces in, ``(document, start, ids, sequence, offset, length of its document)`` out as windows fill."""
+    """Pieces in, ``(document, start, ids, sequence, offset, length of its document)`` out as windows fill.
+
+    ``moved`` counts the tokens that ``finish`` takes from where they were placed.
+    """
 
-    def __init__(self, window: int = WINDOW, max_open: int = MAX_OPEN, first: int = 0):
-        self.window, self.max_open, self.next = window, max_open, first
-        self.level = np.zeros(window + 1, np.int64)  # open windows by fill
-        self.open: dict[int, list[list]] = {}  # fill to windows, each a list of pieces
-        self.n_open = 0
+    def __init__(self, window: int = WINDOW, width: int = WIDTH, cut_cost: int = CUT_COST, first: int = 0):
+        self.window, self.width, self.cut_cost, self.next = window, width, cut_cost, first
+        self.last = -(-window // width)
+        self.count = np.zeros(self.last + 1, np.int64)  # open windows by level
+        self.top = np.zeros(self.last + 1, np.int64)  # fill of the window to be taken from each level
+        self.open: list[list[tuple[int, list]]] = [[] for _ in range(self.last + 1)]
+        self.moved = 0
 
     def add(self, doc, ids: np.ndarray) -> Iterator[tuple]:
         """Place a document's ids; yields the pieces of windows that this fills."""
@@ -47,61 +60,83 @@ class Packer:
             yield from self._close([(doc, at, ids[at : at + self.window], total)])
             at += self.window
         while at < total:
-            rest = total - at
-            fill = self._best(rest)
-            if fill == 0 and self.n_open >= self.max_open:
-                fill = int(np.flatnonzero(self.level)[-1])  # the fullest; the piece is cut to fill it
-                rest = min(rest, self.window - fill)
-            pieces_in = self._take(fill)
-            pieces_in.append((doc, at, ids[at : at + rest], total))
-            at += rest
-            if fill + rest == self.window:
+            level = self.last if self.count[self.last] else self._best(total - at)
+            fill, pieces_in = self._take(level) if level else (0, [])
+            n = min(total - at, self.window - fill)
+            pieces_in.append((doc, at, ids[at : at + n], total))
+            at += n
+            if fill + n == self.window:
                 yield from self._close(pieces_in)
             else:
-                self._put(fill + rest, pieces_in)
+                self._put(fill + n, pieces_in)
 
     def finish(self) -> Iterator[tuple]:
-        """Cut what is open anew, end to end: whole windows, then powers of two."""
-        rest = [p for fill in sorted(self.open, reverse=True) for window in self.open[fill] for p in window]
+        """Fill the fullest open windows up from the emptiest; cut what is left into powers of two."""
+        windows = sorted((x for level in self.open for x in level), key=lambda x: -x[0])
+        full = sum(fill for fill, _ in windows) // self.window
+        rest = [p for _, window in windows[full:] for p in window]
+        for fill, window in windows[:full]:
+            want = self.window - fill
+            self.moved += want
+            while want:
+                doc, at, ids, total = rest.pop()
+                n = min(want, len(ids))
+                window.append((doc, at + len(ids) - n, ids[len(ids) - n :], total))
+                if n < len(ids):
+                    rest.append((doc, at, ids[: len(ids) - n], total))
+                want -= n
+            yield from self._close(window)
         left = sum(len(p[2]) for p in rest)
-        want, filled, now = 0, 0, []
-        for doc, at, ids, total in rest:
-            used = 0
-            while used < len(ids):
-                if not want:
-                    want, filled, now = self.window if left >= self.window else 1 << (left.bit_length() - 1), 0, []
-                n = min(want - filled, len(ids) - used)
-                now.append((doc, at + used, ids[used : used + n], total))
-                used, filled, left = used + n, filled + n, left - n
-                if filled == want:
-                    yield from self._close(now)
-                    want = 0
+        rest.reverse()
+        while left:
+            want, now = 1 << (left.bit_length() - 1), []
+            left -= want
+            while want:
+                doc, at, ids, total = rest.pop()
+                n = min(want, len(ids))
+                now.append((doc, at, ids[:n], total))
+                if n < len(ids):
+                    rest.append((doc, at + n, ids[n:], total))
+                want -= n
+            yield from self._close(now)
+
+    def _level(self, fill: np.ndarray) -> np.ndarray:
+        return -(-fill // self.width)
 
     def _best(self, size: int) -> int:
-        """The fill level whose use makes the sum of squared level counts smallest; 0 opens a window."""
-        top = self.window - size
-        before = self.level[1 : top + 1]
-        after = self.level[1 + size : self.window + 1]
-        change = 2 * (after - before) + 2
-        if top >= 1:
-            change[-1] = 1 - 2 * before[-1]  # a full window leaves the levels
-            change[before == 0] = np.iinfo(np.int64).max
-            k = top - 1 - int(np.argmin(change[::-1]))  # of equals the fullest
-            if before[k] and change[k] <= 2 * self.level[size] + 1:
-                return k + 1
-        return 0
-
-    def _take(self, fill: int) -> list:
-        if not fill:
-            return []
-        self.level[fill] -= 1
-        self.n_open -= 1
-        return self.open[fill].pop()
+        """The level whose use makes the sum of squared level counts smallest, cuts included; 0 opens a window.
+
+        Of equals a placement without a cut comes first, then the fullest.
+        """
+        at = np.flatnonzero(self.count)[::-1]
+        new = 2 * int(self.count[-(-size // self.width)]) + 1
+        if not len(at):
+            return 0
+        before, end = self.count[at], self.top[at] + size
+        over = end > self.window
+        to = self._level(np.where(over, end - self.window, end))
+        after = self.count[to]
+        change = np.where(to == at, 0, 2 * (after - before) + 2)
+        change[end == self.window] = 1 - 2 * before[end == self.window]  # a full window leaves the levels
+        # a cut: the window leaves the levels, and the rest opens one
+        rest = np.where(to == at, after - 1, after)
+        change[over] = (1 - 2 * before + 2 * rest + 1 + self.cut_cost)[over]
+        k = int(np.lexsort((over, change))[0])
+        return int(at[k]) if change[k] < new or change[k] == new and not over[k] else 0
+
+    def _take(self, level: int) -> tuple[int, list]:
+        self.count[level] -= 1
+        windows = self.open[level]
+        out = windows.pop()
+        if windows:
+            self.top[level] = windows[-1][0]
+        return out
 
     def _put(self, fill: int, window: list) -> None:
-        self.level[fill] += 1
-        self.n_open += 1
-        self.open.setdefault(fill, []).append(window)
+        level = -(-fill // self.width)
+        self.count[level] += 1
+        self.top[level] = fill
+        self.open[level].append((fill, window))
 
     def _close(self, window: list) -> Iterator[tuple]:
         sequence, offset = self.next, 0
@@ -111,7 +146,7 @@ class Packer:
             offset += len(ids)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_token: int = END_TOKEN, max_open: int = MAX_OPEN, with_ids: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_token: int = END_TOKEN, with_ids: bool = True) -> DataFrame:
     """One row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with ``with_ids``, ``ids``."""
 
     def rows(pieces_out, kind) -> pa.RecordBatch:
@@ -125,10 +160,10 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         coder, kind, out = pieces.encoder(tokenizer), pa.int64(), []
-        packer = Packer(window, max_open, TaskContext.get().partitionId() << 33)
+        packer = Packer(window, first=TaskContext.get().partitionId() << 33)
         for batch in batches:
             kind = batch.schema.field("id").type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE_BYTES):
                 flat, bounds = coder.encode(texts_of(part))
                 for i, doc in enumerate(part.column("id").to_pylist()):
                     out += packer.add(doc, np.append(flat[bounds[i] : bounds[i + 1]], np.uint32(end_token)))
@@ -143,4 +178,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return source.mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

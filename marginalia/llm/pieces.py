@@ -76,7 +76,7 @@ class PieceEncoder:
     encoded whole). ``limit`` bounds the remembered pieces; beyond it the less used half is forgotten.
     """
 
-    def __init__(self, path: str, limit: int = 200_000):
+    def __init__(self, path: str, limit: int = 300_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
