@@ -9,8 +9,8 @@ MANIFEST = """
         SELECT d.doc_id, n_chars, 'val' AS split, source || '.mp4' AS video, sha256(source || '.mp4') AS video_sha256,
             CASE WHEN d.doc_id % 2 = 0 THEN 'nextqa:val:' || source || ':' || d.doc_id ELSE 'star:val:' || d.doc_id END AS id,
             CASE WHEN d.doc_id % 2 = 0 THEN 'nextqa' ELSE 'star' END AS dataset,
-            trim(replace(substr(text, 1, 80), chr(10), ' '), ' ') AS question,
-            list_slice(['Sit', 'Stand', 'Walk', 'Run', 'Stop'], 1, 2 + d.doc_id % 4) AS choices,
+            trim(replace(text, chr(10), ' '), ' ') AS question,
+            list_slice(['Open', 'Close', 'Lift', 'Drop', 'Turn'], 1, 2 + d.doc_id % 4) AS choices,
             ((d.doc_id + 2 * quality + toxic) % (2 + d.doc_id % 4))::INT AS answer,
             CASE WHEN d.doc_id % 2 = 0 THEN ['CW', 'CH', 'TN', 'TC', 'TP', 'DC', 'DL', 'DO'][1 + (d.doc_id // 2) % 8]
                 ELSE ['Interaction', 'Sequence', 'Prediction', 'Feasibility'][1 + (d.doc_id // 2) % 4] END AS question_type,
@@ -213,7 +213,7 @@ SQL: dict[str, str] = {
     "paired_cluster_diff": f"{_paired()} SELECT * FROM k",
     "delta_accuracy": f"{_paired()} SELECT round(sum(diff) / sum(n), 6) AS delta_accuracy, sum(n)::BIGINT AS questions, count(*) AS videos FROM k",
     "bootstrap_ci_portable": f"""{_paired()}, o AS (SELECT *, row_number() OVER (ORDER BY first_id) - 1 AS slot, count(*) OVER () AS total FROM k),
-        d AS (SELECT it, ('0x' || substr(sha256('{SEED}:' || it || ':' || slot), 1, 8))::BIGINT % total AS pick FROM o, range(0, 400) r(it)),
+        d AS (SELECT it, ('0x' || substr(sha256('{SEED}:' || it || ':' || slot), 1, 8))::BIGINT % total AS pick FROM o, range(0, 2000) r(it)),
         s AS (SELECT it, sum(diff) / sum(n) AS delta FROM d JOIN o ON o.slot = pick GROUP BY it), v AS (SELECT list(delta ORDER BY delta) AS v, count(*) AS n FROM s)
         SELECT round(v[{nearest("n", 0.025)}], 6) AS ci_low, round(v[{nearest("n", 0.975)}], 6) AS ci_high FROM v""",
     "export_predictions_csv_shape": f"""{run("uniform")} SELECT id, video, dataset, split, question_type, prediction, answer, CASE WHEN correct THEN 'True' WHEN NOT correct THEN 'False' END AS correct,

@@ -421,7 +421,7 @@ def delta_accuracy(spark, sf_dir):
 
 @query
 def bootstrap_ci_portable(spark, sf_dir):
-    return compare.portable_interval(compare.clusters(_pairs(spark, sf_dir)), 400).select(six("ci_low"), six("ci_high"))
+    return compare.portable_interval(compare.clusters(_pairs(spark, sf_dir))).select(six("ci_low"), six("ci_high"))
 
 
 @query

@@ -9,7 +9,7 @@ from marginalia.config import Config
 from marginalia.plans import inference
 
 TYPES = {"nextqa": ("CW", "CH", "TN", "TC", "TP", "DC", "DL", "DO"), "star": ("Interaction", "Sequence", "Prediction", "Feasibility")}
-CHOICES = ("Sit", "Stand", "Walk", "Run", "Stop")
+CHOICES = ("Open", "Close", "Lift", "Drop", "Turn")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("val").alias("split"),
         video.alias("video"),
         F.sha2(video.cast("binary"), 256).alias("video_sha256"),
-        F.trim(F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))).alias("question"),
+        F.trim(F.replace("text", F.lit("\n"), F.lit(" "))).alias("question"),
         F.slice(F.array(*[F.lit(x) for x in CHOICES]), 1, n).alias("choices"),
         ((F.col("doc_id") + 2 * F.col("quality") + F.col("toxic")) % n).cast("int").alias("answer"),
         F.when(even, pick("nextqa")).otherwise(pick("star")).alias("question_type"),
@@ -53,5 +53,4 @@ def run(spark: SparkSession, sf_dir: str, method: str = "uniform", labelled: boo
     rows = manifest(spark, sf_dir)
     rows = rows.where("answer is not null") if labelled else rows
     config = Config(backend="mock", method=method, margin_threshold=1.0, limit=0)
-    timed = inference.results(rows.drop("doc_id"), config)
-    return timed.drop("elapsed_seconds").join(rows.select("id", (F.col("n_chars") / 1000).alias("elapsed_seconds")), "id")
+    return inference.results(rows.drop("doc_id"), config, F.col("n_chars") / 1000)
