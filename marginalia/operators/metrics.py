@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.answers import argmax
 
+
 def labelled(df: DataFrame) -> DataFrame:
     return df.where("answer is not null")
 
@@ -16,25 +17,34 @@ def rate(x: Column) -> Column:
     return F.avg(x.cast("int"))
 
 
+#: Of a group with more values only those about a rank are ranked; approximate percentiles, right to one in so many, tell which.
+RANKED = 10_000
+
+
 def nearest_rank(df: DataFrame, value: str, fractions: dict[str, float], *by: str) -> DataFrame:
     """Values at index ``round((n - 1) * fraction)`` (halves to even) of each group's sorted values.
 
-    No interpolation. Ranks come from a window, so no group is gathered into an array.
+    No interpolation. Approximate percentiles, two steps of their precision apart on either side, bound each
+    value; values below are counted, and those between are counted by value and ranked, so a task sees a few
+    ten-thousandths of a large group.
     """
-    some = df.where(F.col(value).isNotNull())
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = some.select(*by, F.col(value).alias("v"), (F.row_number().over(group.orderBy(value)) - 1).alias("i"), F.count("*").over(group).alias("n"))
-    picks = [F.max(F.when(F.col("i") == F.bround((F.col("n") - 1) * F.lit(f)), F.col("v"))).alias(name) for name, f in fractions.items()]
-    return ranked.groupBy(*by).agg(*picks) if by else ranked.agg(*picks)
+    some = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("v"))
+    edges = [F.struct(*[F.when(F.count("v") > RANKED, F.percentile_approx("v", F.lit(min(1.0, max(0.0, f + 2 * side / RANKED))), F.lit(RANKED))).otherwise(end("v")).alias(name) for side, end, name in ((-1, F.min, "low"), (1, F.max, "high"))]) for f in fractions.values()]
+    bounds = some.groupBy(*by).agg(F.count("v").alias("n"), F.array(*edges).alias("edges"))
+    beside = some.join(bounds, list(by)) if by else some.join(F.broadcast(bounds))
+    k, edge = F.col("k"), F.get("edges", F.col("k"))
+    near = beside.select(*by, "v", "n", "edges", F.explode(F.sequence(F.lit(0), F.lit(len(fractions) - 1))).alias("k")).where(F.col("v") <= edge["high"])
+    counts = near.groupBy(*by, "k", "n", F.when(F.col("v") >= edge["low"], F.col("v")).alias("v")).agg(F.count("*").alias("c"))  # a null value: all below
+    upto = F.sum("c").over(Window.partitionBy(*by, "k").orderBy(F.col("v").asc_nulls_first()))
+    wanted = F.bround((F.col("n") - 1) * F.get(F.array(*[F.lit(f) for f in fractions.values()]), k))
+    found = counts.withColumn("upto", upto).where(F.col("upto") > wanted).groupBy(*by, "k").agg(F.min("v").alias("v"))
+    picks = [F.max(F.when(k == i, F.col("v"))).alias(name) for i, name in enumerate(fractions)]
+    return found.groupBy(*by).agg(*picks)
 
 
 def percentiles(df: DataFrame, value: str, fractions: dict[str, float]) -> DataFrame:
-    """``nearest_rank`` over a whole table of any size: value counts are summed first, so only distinct values are ranked."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("n"))
-    running = counts.select("v", "c", F.sum("c").over(Window.orderBy("v")).alias("upto")).join(F.broadcast(total))
-    picks = [F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(f)), F.col("v"))).alias(name) for name, f in fractions.items()]
-    return running.agg(*picks)
+    """``nearest_rank`` over a whole table."""
+    return nearest_rank(df, value, fractions)
 
 
 def accuracy(results: DataFrame) -> DataFrame:
