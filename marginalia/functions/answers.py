@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from marginalia.functions.selectors import finite, indices
+from marginalia.functions.selectors import finite, indices, let
 
 
 def argmax(scores: Column) -> Column:
@@ -32,22 +32,20 @@ def valid(scores: Column, n_choices) -> Column:
 
 
 def normalised(values: Column) -> Column:
-    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(values, lambda x: x / total)
+    sum_of = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    return let(values, lambda xs: let(sum_of(xs), lambda total: F.transform(xs, lambda x: x / total)))
 
 
 def softmax(logits: Column, n) -> Column:
     """Probabilities over the first n logits."""
-    some = F.slice(logits, 1, n)
-    top = F.array_max(some)
-    return normalised(F.transform(some, lambda x: F.exp(x - top)))
+    return normalised(let(F.slice(logits, 1, n), lambda some: let(F.array_max(some), lambda top: F.transform(some, lambda x: F.exp(x - top)))))
 
 
 def mock_scores(id: Column, n_choices: Column, n_frames) -> Column:
     """The stand-in answerer: choice i scores by byte i of the SHA-256 of ``id:frames``."""
     digest = F.sha2(F.concat_ws(":", id, F.lit(n_frames).cast("string") if not isinstance(n_frames, Column) else n_frames.cast("string")).cast("binary"), 256)
-    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, F.lit(2)), 16, 10).cast("double")
-    return normalised(F.transform(indices(n_choices), lambda i: 1 + byte(i) / 255))
+    byte = lambda text, i: F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("double")
+    return normalised(let(digest, lambda text: F.transform(indices(n_choices), lambda i: 1 + byte(text, i) / 255)))
 
 
 def mock_tokens(n_frames: Column) -> Column:
@@ -56,7 +54,7 @@ def mock_tokens(n_frames: Column) -> Column:
 
 def mock_relevance(text: Column, n) -> Column:
     """The stand-in scorer: a wave over frames, shifted by the text's length in code points."""
-    return F.transform(indices(n), lambda i: F.sin(i * F.lit(0.7).cast("double") + F.length(text)))
+    return let(F.length(text), lambda size: F.transform(indices(n), lambda i: F.sin(i * F.lit(0.7).cast("double") + size)))
 
 
 def cosine(a: Column, b: Column) -> Column:

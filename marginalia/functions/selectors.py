@@ -50,12 +50,19 @@ def gap_fill(n, initial: Column, budget) -> Column:
     """Add the index farthest from all chosen ones, of equals the smallest, until ``budget`` are chosen."""
     n, budget = _int(n), F.least(_int(n), _int(budget))
 
-    def add(chosen: Column, _: Column) -> Column:
-        gap = lambda i: F.array_min(F.transform(chosen, lambda j: F.abs(i - j)))
-        far = F.transform(F.array_except(indices(n), chosen), lambda i: F.struct(gap(i).alias("gap"), (-i).alias("minus")))
-        return F.when(F.size(chosen) < budget, F.concat(chosen, F.array(-F.array_max(far)["minus"]))).otherwise(chosen)
+    # the state has each index's distance to the nearest chosen one, 0 for those
+    def add(state: Column, _: Column) -> Column:
+        def grown(new: Column) -> Column:
+            return F.struct(F.concat(state["chosen"], F.array(new)).alias("chosen"), F.transform(state["gap"], lambda g, i: F.least(g, F.abs(i - new))).alias("gap"))
 
-    return F.array_sort(F.aggregate(indices(budget), F.array_distinct(initial.cast("array<int>")), add))
+        far = -F.array_max(F.transform(state["gap"], lambda g, i: F.struct(g.alias("gap"), (-i).alias("minus"))))["minus"]
+        return F.when(F.size(state["chosen"]) < budget, let(far, grown)).otherwise(state)
+
+    def filled(chosen: Column) -> Column:
+        gap = F.transform(indices(n), lambda i: F.coalesce(F.array_min(F.transform(chosen, lambda j: F.abs(i - j))), n))
+        return F.aggregate(indices(budget), F.struct(chosen.alias("chosen"), gap.alias("gap")), add, lambda done: F.array_sort(done["chosen"]))
+
+    return let(F.array_distinct(initial.cast("array<int>")), filled)
 
 
 def evidence(times: Column, initial: Column, budget, question: Column, first: Column, second: Column, neighbor_seconds, weight) -> Column:
@@ -128,12 +135,13 @@ def _level(scores: Column, k, t1, t2, parts: Column, depth: Column) -> Column:
     return F.flatten(F.transform(parts, split))
 
 
-def segment_quota(scores: Column, k, t1: float = 0.8, t2: float = -100.0, depth: int = 5) -> Column:
+def segment_quota(scores: Column, k, t1: float = 0.8, t2: float = -100.0, depth: int = 5, splitter: Callable[[Column, Column], Column] | None = None) -> Column:
     """Top frames of adaptive segments, as ``struct(ids, status)``.
 
     The splitter is this engine's own: a segment of min-max scores is halved, to at most ``depth`` levels (and
     the whole part of log2 n), unless its quota's mean stands more than ``t1`` above its own mean and its
-    deviation above ``t2``. A segment at level d gives its best ``floor(k / 2^d)`` frames. Short or constant
+    deviation above ``t2``. Another ``splitter`` takes the scaled scores and the number of levels, and returns an
+    array of ``struct(lo, hi, depth)``. A segment at level d gives its best ``floor(k / 2^d)`` frames. Short or constant
     scores, and quotas of no frame at all, fall back to uniform.
     """
     n = F.size(scores)
@@ -145,7 +153,7 @@ def segment_quota(scores: Column, k, t1: float = 0.8, t2: float = -100.0, depth:
         return F.transform(F.slice(by_score(F.slice(scaled, p["lo"] + 1, p["hi"] - p["lo"])), 1, quota), lambda i: i + p["lo"])
 
     def chosen(scaled: Column) -> Column:
-        parts = F.aggregate(indices(deepest), whole, lambda parts, d: _level(scaled, k, t1, t2, parts, d))
+        parts = splitter(scaled, deepest) if splitter else F.aggregate(indices(deepest), whole, lambda parts, d: _level(scaled, k, t1, t2, parts, d))
         return F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: best(scaled, p)))))
 
     flat = (n <= _int(k)) | (F.array_max(scores) == F.array_min(scores))

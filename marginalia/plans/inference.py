@@ -44,12 +44,20 @@ def with_mock_pool(manifest: DataFrame, candidates: int) -> DataFrame:
     return manifest.withColumn("times", F.transform(selectors.indices(candidates), lambda i: F.col("start") + 0.25 * i))
 
 
-def _call(name: str, answerer: Answerer, df: DataFrame, ids: str) -> DataFrame:
+def _relevance(scorer: Scorer, text: Column, name: str) -> Column:
+    """A scorer's row for a text; it must have a finite score for each frame."""
+    fits = lambda row: F.coalesce((F.size(row) == F.size("times")) & selectors.finite(row), F.lit(False))
+    return selectors.let(scorer.relevance(text, F.col("times")), lambda row: F.when(fits(row), row).otherwise(F.raise_error(F.lit(f"scores of {name} must be finite, one for each frame"))))
+
+
+def _call(name: str, answerer: Answerer, df: DataFrame, ids: str, max_tokens: int) -> DataFrame:
     """Add the call record of answering with the frames of column ``ids``."""
     stamps = F.transform(F.col(ids), lambda i: F.get(F.col("times"), i))
     scores = answerer.scores(F.col("id"), F.col("question"), F.col("choices"), F.col(ids), stamps)
-    checked = F.when(answers.valid(scores, F.size("choices")), scores).otherwise(F.raise_error(F.lit("an answerer must return one finite probability per choice, together 1")))
-    record = F.struct(checked.alias("scores"), answerer.tokens(F.col(ids)).alias("input_tokens"), F.col(ids).alias("frame_indices"), stamps.alias("timestamps"))
+    checked = selectors.let(scores, lambda s: F.when(answers.valid(s, F.size("choices")), s).otherwise(F.raise_error(F.lit("an answerer must return one finite probability per choice, together 1"))))
+    tokens = answerer.tokens(F.col(ids))
+    tokens = F.when(tokens <= max_tokens, tokens).otherwise(F.raise_error(F.lit(f"an input has more than {max_tokens} tokens")))  # never cut
+    record = F.struct(checked.alias("scores"), tokens.alias("input_tokens"), F.col(ids).alias("frame_indices"), stamps.alias("timestamps"))
     return df.withColumn(name, F.when(F.col(ids).isNotNull(), record))
 
 
@@ -58,8 +66,7 @@ def _first(df: DataFrame, config: Config, scorer: Scorer) -> DataFrame:
     if config.method in ("uniform", "evidence", "uniform_refine"):
         frames = config.frames if config.method == "uniform" else config.initial_frames
         return df.withColumn("ids1", selectors.uniform(n, frames)).withColumn("aks_status", none)
-    relevance = scorer.relevance(F.col("question"), F.col("times"))
-    df = df.withColumn("relevance", F.when(selectors.finite(relevance), relevance).otherwise(F.raise_error(F.lit("scores must be finite"))))
+    df = df.withColumn("relevance", _relevance(scorer, F.col("question"), "the question"))
     if config.method == "clip_topk":
         return df.withColumn("ids1", selectors.topk(F.col("relevance"), config.frames)).withColumn("aks_status", none)
     found = selectors.segment_quota(F.col("relevance"), config.frames, config.aks_t1, config.aks_t2, config.aks_depth)
@@ -76,7 +83,7 @@ def _second(df: DataFrame, config: Config, scorer: Scorer) -> DataFrame:
         df = df.withColumn("competitors", F.when(F.col("refined"), answers.competitors(F.col("call1.scores"))))
         text = lambda i: F.concat_ws(" ", "question", F.get(F.col("choices"), F.get(F.col("competitors"), F.lit(i))))
         for name, of in (("rq", F.col("question")), ("ra", text(0)), ("rb", text(1))):
-            df = df.withColumn(name, F.when(F.col("refined"), scorer.relevance(of, F.col("times"))))
+            df = df.withColumn(name, F.when(F.col("refined"), _relevance(scorer, of, {"rq": "the question", "ra": "the first option", "rb": "the second option"}[name])))
         found = selectors.evidence(F.col("times"), F.col("ids1"), config.frames, F.col("rq"), F.col("ra"), F.col("rb"), config.neighbor_seconds, config.relevance_weight)
         df = df.withColumn("found", F.when(F.col("refined"), found))
         return df.withColumn("ids2", F.col("found.ids")).withColumn("anchors", F.coalesce("found.anchors", empty))
@@ -89,10 +96,10 @@ def infer(pool: DataFrame, config: Config, answerer: Answerer | None = None, sco
     At most two calls. The answer column, if there, is never read.
     """
     answerer, scorer = answerer or MockAnswerer(), scorer or MockScorer()
-    df = _call("call1", answerer, _first(pool, config, scorer), "ids1").withColumn("initial_margin", answers.margin(F.col("call1.scores")))
+    df = _call("call1", answerer, _first(pool, config, scorer), "ids1", config.max_input_tokens).withColumn("initial_margin", answers.margin(F.col("call1.scores")))
     gate = (F.col("initial_margin") < config.margin_threshold) & (F.size("ids1") < F.least(F.lit(config.frames), F.size("times")))
     df = df.withColumn("refined", gate if config.method in ("evidence", "uniform_refine") else F.lit(False))
-    df = _call("call2", answerer, _second(df, config, scorer), "ids2")
+    df = _call("call2", answerer, _second(df, config, scorer), "ids2", config.max_input_tokens)
     df = df.withColumn("calls", F.filter(F.array("call1", "call2"), lambda c: c.isNotNull())).withColumn("scores", F.element_at("calls", -1)["scores"])
     queries = F.lit(1 if config.method in ("clip_topk", "aks") else 0)
     if config.method == "evidence":
