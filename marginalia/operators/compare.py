@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators.metrics import percentiles
 
+# Settings that two comparable runs share.
 SAME = ("backend", "model_id", "revision", "prompt_version", "max_image_pixels", "candidate_frames")
 ITERATIONS, SEED = 2000, 18
 #: Clusters that the driver draws from at most; more go through ``portable_interval``.

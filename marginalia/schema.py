@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 _S, _I, _L, _D, _B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
 
+# Fields of the file formats, in their order.
 MANIFEST = T.StructType(
     [
         T.StructField("id", _S, False),

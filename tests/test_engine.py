@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia import cli
 from marginalia.config import Config, preset
-from marginalia.functions import text
+from marginalia.functions import selectors, text
 from marginalia.operators import compare, frames, metrics, rules, subset
 from marginalia.plans import inference
 from marginalia.schema import MANIFEST
@@ -156,4 +156,41 @@ def test_config(broken):
 
 def test_demo(spark, tmp_path):
     summary = cli.demo(spark, str(tmp_path / "demo"))
-    assert summary["completed_count"] == 12 and summary["per_type"]["TN"]["n"] == 12
+    assert summary["completed_count"] == 10 and {k: v["n"] for k, v in summary["per_type"].items()} == {"Sequence": 5, "Prediction": 5}
+
+
+def test_scores_are_checked(spark):
+    """Of the evidence selector's three rows each must have a finite score for every frame; an input over the token cap is refused."""
+    df = inference.with_mock_pool(spark.createDataFrame([("q", "what?", ["yes", "no"], 0.0)], "id string, question string, choices array<string>, start double"), 64)
+
+    class Scores:
+        def __init__(self, broken):
+            self.broken = broken
+
+        def relevance(self, text, times):
+            return F.when(F.element_at(F.split(text, " "), -1) == self.broken, F.array(F.lit(float("nan")))).otherwise(F.transform(times, lambda x: x))
+
+    config = Config(backend="mock", method="evidence", margin_threshold=1.0)
+    assert inference.infer(df, config, Fixed(0.51, 0.49), Scores("nothing")).first().refined
+    for broken in ("what?", "yes", "no"):
+        with pytest.raises(Exception, match="must be finite"):
+            inference.infer(df, config, Fixed(0.51, 0.49), Scores(broken)).collect()
+    with pytest.raises(Exception, match="more than 100 tokens"):
+        inference.infer(df, Config(backend="mock", method="uniform", max_input_tokens=100), Fixed(0.9, 0.1)).collect()
+
+
+def test_other_splitter(spark):
+    halves = lambda scores, levels: F.array(*[F.struct(F.lit(a).alias("lo"), F.lit(b).alias("hi"), F.lit(1).alias("depth")) for a, b in ((0, 4), (4, 8))])
+    df = spark.createDataFrame([([9.0, 8.0, 7.0, 6.0, 1.0, 2.0, 3.0, 4.0],)], "s array<double>")
+    assert df.select(selectors.segment_quota(F.col("s"), 4, depth=3, splitter=halves)["ids"].alias("ids")).first().ids == [0, 1, 6, 7]
+
+
+def test_percentiles_of_many_values(spark):
+    """Above the size where all values are ranked, per group and over all."""
+    df = spark.range(60_000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(7919)).cast("double").alias("v"))
+    values = sorted((r.g, r.v) for r in df.collect())
+    fractions = {"a": 0.025, "b": 0.5, "c": 0.95, "d": 0.0, "e": 1.0}
+    at = lambda xs: {k: xs[round((len(xs) - 1) * f)] for k, f in fractions.items()}
+    assert metrics.percentiles(df, "v", fractions).first().asDict() == at(sorted(v for _, v in values))
+    for row in metrics.nearest_rank(df, "v", fractions, "g").collect():
+        assert row.asDict() == {"g": row.g} | at([v for g, v in values if g == row.g])
