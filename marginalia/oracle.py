@@ -220,6 +220,11 @@ SQL: dict[str, str] = {
         round(elapsed_seconds, 6) AS elapsed_seconds, input_tokens, final_frames, 'False' AS refined, NULL::VARCHAR AS peak_vram_allocated_gib FROM t""",
     "resume_equals_whole": f"{run('evidence')} SELECT id, prediction, correct, refined, input_tokens, final_frames, {digits('scores')} AS scores FROM t",
 }
+SQL["manifest_json_lines"] = SQL["manifest_build"]
+SQL["annotations_csv"] = SQL["annotations_parquet"] = f"""WITH {MANIFEST} SELECT 'nextqa:val:' || video || ':' || doc_id AS id, video AS video_key, 'say "' || doc_id || '", then?' AS question,
+        'choice, 0|choice, 1|choice, 2|choice, 3|choice, 4' AS choices, answer, question_type FROM m WHERE dataset = 'nextqa'"""
+SQL["annotations_json_array"] = SQL["adapter_nested_choices"]
+SQL["journal_sorted_scan"] = f"{run('uniform')} SELECT id, prediction, correct, input_tokens, final_frames FROM t"
 _CLIP_EVIDENCE = f"""WITH {CLIPS}, x AS (SELECT clip, n, t, score, list_reverse(score) AS other, {uniform("n", "8")} AS i FROM c),
     y AS (SELECT *, list_transform(range(0, n), lambda u: other[(u * 7 + 3) % n + 1]) AS question FROM x),
     e AS (SELECT clip, {evidence("n", "t", "i", "16", "question", "score", "other", "12.0", "0.25")} AS ev FROM y)"""

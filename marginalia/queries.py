@@ -14,6 +14,8 @@ from marginalia.operators import compare, frames, metrics, rules, subset
 from marginalia.plans import inference
 from marginalia.schema import EXPORT, MANIFEST
 from marginalia.sources import annotations, journal, scratch
+from marginalia.sources import manifest as manifests
+from marginalia.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -441,22 +443,67 @@ def export_predictions_csv_shape(spark, sf_dir):
 
 @query
 def resume_equals_whole(spark, sf_dir):
-    """Rows of a run committed by two streaming sessions; the first takes one file of two."""
+    """Rows of a run committed by two streaming sessions; the second meets the first one's rows again."""
     folder = scratch.fresh(spark, "resume")
     rows = views.manifest(spark, sf_dir).drop("doc_id", "n_chars")
     config = Config(backend="mock", method="evidence", margin_threshold=1.0, limit=0)
-    schema = inference.results(rows, config).schema
-    whole, results_path = f"{folder}/manifest", f"{folder}/results"
+    book = journal.Journal(spark, f"{folder}/run", inference.results(rows, config).schema)
     half = F.substring(text.subset_key(F.col("id"), SEED), 1, 1) < "8"
+    for part in (rows.where(half), rows):
+        part.write.mode("append").parquet(f"{folder}/manifest")
+        source = spark.readStream.schema(MANIFEST).parquet(f"{folder}/manifest")
+        resume.stream(source, config, book, f"{folder}/checkpoint").awaitTermination()
+    return book.results().select("id", "prediction", "correct", "refined", "input_tokens", "final_frames", numbers(F.col("scores")).alias("scores"))
 
-    def commit(batch, _):
-        done = spark.read.schema(schema).parquet(results_path).select("id")
-        inference.results(batch, config).join(done, "id", "left_anti").write.mode("append").parquet(results_path)
-
-    spark.createDataFrame([], schema).write.parquet(results_path)
-    for part in (rows.where(half), rows):  # the second session meets the first one's rows again
-        part.write.mode("append").parquet(whole)
-        stream = spark.readStream.schema(MANIFEST).parquet(whole)
-        stream.writeStream.foreachBatch(commit).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    committed = spark.read.schema(schema).parquet(results_path)
-    return committed.select("id", "prediction", "correct", "refined", "input_tokens", "final_frames", numbers(F.col("scores")).alias("scores"))
+
+@query
+def manifest_json_lines(spark, sf_dir):
+    """A manifest written as JSON lines and read again with its checks."""
+    folder = scratch.fresh(spark, "manifest")
+    views.manifest(spark, sf_dir).select(*MANIFEST.names).write.option("ignoreNullFields", "false").json(folder)
+    return manifests.read(spark, folder).select(*[F.array_join("choices", "|").alias("choices") if c == "choices" else F.col(c) for c in MANIFEST.names])
+
+
+def _flat_file(spark, sf_dir, kind):
+    """Flat annotations as a file of a kind: questions are the documents' ids here, as line ends don't survive all dialects."""
+    folder = scratch.fresh(spark, "annotations")
+    rows = views.manifest(spark, sf_dir).where("dataset = 'nextqa'")
+    flat = rows.select("video", F.col("doc_id").cast("string").alias("qid"), F.concat(F.lit('say "'), "doc_id", F.lit('", then?')).alias("question"), F.coalesce(F.col("answer").cast("string"), F.lit("")).alias("answer"), F.col("question_type").alias("type"), *[F.lit(f"choice, {i}").alias(f"a{i}") for i in range(5)])
+    if kind == "csv":
+        flat.write.csv(folder, header=True, quote='"', escape='"', emptyValue="")
+        found = annotations.read_csv(spark, folder)
+    else:
+        flat.write.parquet(folder)
+        found = annotations.read_parquet(spark, folder)
+    return annotations.flat(found, "val").select("id", "video_key", "question", F.array_join("choices", "|").alias("choices"), "answer", "question_type")
+
+
+@query
+def annotations_csv(spark, sf_dir):
+    return _flat_file(spark, sf_dir, "csv")
+
+
+@query
+def annotations_parquet(spark, sf_dir):
+    return _flat_file(spark, sf_dir, "parquet")
+
+
+@query
+def annotations_json_array(spark, sf_dir):
+    """Nested annotations written as one JSON array, with a field that must not be read."""
+    folder = scratch.fresh(spark, "annotations")
+    rows = _nested(spark, sf_dir).withColumn("situations", F.struct(F.lit(1).alias("leak")))
+    one = rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    one.write.text(folder)  # a fixture: an array is one file
+    found = annotations.nested(annotations.read_nested(spark, folder), "val")
+    return found.select("id", "video_key", F.array_join("choices", "|").alias("choices"), "answer", "question_type", "start", "end")
+
+
+@query
+def journal_sorted_scan(spark, sf_dir):
+    """Results committed twice, the second time all of them, and read in order of id."""
+    rows = views.run(spark, sf_dir)
+    book = journal.Journal(spark, scratch.fresh(spark, "journal"), rows.schema)
+    book.put(rows.where("dataset = 'star'"))
+    book.put(rows)
+    return book.results().orderBy("id").select("id", "prediction", "correct", "input_tokens", "final_frames")

@@ -1,4 +1,8 @@
-"""Run folders: a contract, a Parquet journal of results, an event log, and exports."""
+"""Run folders: a contract, a Parquet journal of results, an event log, and exports.
+
+A folder may be in any store that Spark writes to. On a local path one writer at a time is ensured by a file
+lock, elsewhere by a lock file that only one can create (after a crash of its writer it must be deleted).
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ import contextlib
 import fcntl
 import json
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -15,12 +20,20 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import metrics
 from marginalia.schema import EVENT, EXPORT
+from marginalia.sources import scratch
+
+
+def elsewhere(path: str | Path) -> bool:
+    """Whether a path is in a store that Python's own files do not reach."""
+    return bool(re.match("(?!file:)[a-zA-Z][a-zA-Z0-9+.-]+://", str(path)))
 
 
 def atomic_json(path: str | Path, value: object) -> None:
     """Write a small JSON file whole or not at all; NaN and infinity raise."""
-    path = Path(path)
     text = json.dumps(value, indent=2, sort_keys=True, ensure_ascii=False, allow_nan=False)
+    if elsewhere(path):
+        return scratch.write_whole(SparkSession.active(), str(path), text + "\n")
+    path = local(path)
     handle, name = tempfile.mkstemp(dir=path.parent, prefix=f".{path.name}.")
     try:
         with os.fdopen(handle, "w", encoding="utf-8") as out:
@@ -34,11 +47,26 @@ def atomic_json(path: str | Path, value: object) -> None:
         raise
 
 
+def local(path: str | Path) -> Path:
+    return Path(re.sub("^file:(//)?", "", str(path)))
+
+
 @contextlib.contextmanager
 def lock(folder: str | Path) -> Iterator[None]:
     """Hold a run folder for one writer."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    with open(Path(folder) / ".lock", "a") as handle:
+    if elsewhere(folder):
+        store, at = scratch.place(SparkSession.active(), f"{folder}/.lock")
+        try:
+            store.create(at, False).close()
+        except Exception as error:
+            raise RuntimeError(f"{folder} has a writer already") from error
+        try:
+            yield
+        finally:
+            store.delete(at, False)
+        return
+    local(folder).mkdir(parents=True, exist_ok=True)
+    with open(local(folder) / ".lock", "a") as handle:
         try:
             fcntl.flock(handle, fcntl.LOCK_EX | fcntl.LOCK_NB)
         except BlockingIOError:
@@ -53,16 +81,17 @@ class Journal:
     """Results by id, each committed once, under one contract."""
 
     def __init__(self, spark: SparkSession, folder: str, schema):
-        self.spark, self.folder, self.schema = spark, Path(folder), schema
+        self.spark, self.folder, self.schema = spark, str(folder), schema
         self.path, self.events_path = f"{folder}/results", f"{folder}/events"
 
     def open(self, contract: dict, resume: bool) -> None:
         """Start a run, or go on with one of the same contract."""
-        at = self.folder / "contract.json"
-        if not at.exists():
+        at = f"{self.folder}/contract.json"
+        if not scratch.exists(self.spark, at):
             if resume:
                 raise FileNotFoundError("no run to resume")
-            self.folder.mkdir(parents=True, exist_ok=True)
+            store, folder = scratch.place(self.spark, self.folder)
+            store.mkdirs(folder)
             atomic_json(at, contract)
         elif not resume:
             raise FileExistsError(f"{self.folder} holds a run; resume it")
@@ -70,10 +99,10 @@ class Journal:
             raise ValueError("the contract has changed: start a new run")
 
     def contract(self) -> dict:
-        return json.loads((self.folder / "contract.json").read_text(encoding="utf-8"))
+        return json.loads(self.spark.read.text(f"{self.folder}/contract.json", wholetext=True).first()[0])
 
     def results(self) -> DataFrame:
-        if not Path(self.path).exists():
+        if not scratch.exists(self.spark, self.path):
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
@@ -98,7 +127,7 @@ def read_run(spark: SparkSession, folder: str, schema) -> tuple[dict, DataFrame]
 def export(folder: str, contract: dict, results: DataFrame) -> dict:
     """Summary as JSON, predictions as JSON lines and as CSV of fixed columns, in order of id."""
     summary = metrics.summary(results, contract)
-    atomic_json(Path(folder) / "summary.json", summary)
+    atomic_json(f"{folder}/summary.json", summary)
     ordered = results.orderBy("id")
     ordered.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{folder}/predictions_jsonl")
     csv_shape(ordered).write.mode("overwrite").csv(f"{folder}/predictions_csv", header=True)

@@ -21,9 +21,34 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def place(spark: SparkSession, path: str):
+    """A path in whatever store it names, as Spark's file system and path objects."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(str(path))
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, at = place(spark, path)
+    return store.exists(at)
+
+
+def write_whole(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file whole or not at all, over one of the same name."""
+    store, at = place(spark, path)
+    new = place(spark, f"{path}.{uuid.uuid4().hex}.new")[1]
+    out = store.create(new, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.exists(at):
+        store.delete(at, False)
+    if not store.rename(new, at):
+        store.delete(new, False)
+        raise OSError(f"{path} could not be written")
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; its files go when the application's file system handle closes."""
     path = f"{shared_dir(spark)}/marginalia/{name}-{uuid.uuid4().hex}"
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    store, at = place(spark, path)
+    store.deleteOnExit(at)
     return path
