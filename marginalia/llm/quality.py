@@ -9,12 +9,15 @@ of the sample is kept out to turn margins into probabilities, weighted back to t
 Texts are turned into indicators on the executors, for the sample and for all rows alike; the driver gets
 the sample's indicators only. Defined cases: a null or empty text has the score of a text without
 indicators; a null id is not held out; repeated rows are scored each; without rows of both labels every
-score is the share of label 1 (0.5 without any); labels, language, source and id are never inputs.
+score is the share of label 1 (0.5 without any); a very long text is taken in blocks of ``BLOCK`` bytes, so it
+costs its own bytes twice and no more; an empty table gives an empty result; labels, language, source and id
+are never inputs.
 """
 
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, held_out, label_counts, labelled, slices, texts_of
+from marginalia.llm.common import bound_batches, held_out, label_counts, labelled, lean, slices, texts_of
 
 #: Labelled rows learned from, of each label.
 BOUND = 3000
@@ -30,45 +33,82 @@ CUT = 0.3
 _TRIGRAMS, _CLASSES, _LAGS = 1 << 16, 1 << 12, 9**3
 LEVELS = (0.0, 0.01, 0.05, 0.2)
 SIZE = _TRIGRAMS + len(LEVELS) * (_CLASSES + 2 * _LAGS)
-_CLASS = np.array([0 if b == 32 else 1 if b == 10 else 2 if 97 <= b <= 122 else 3 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 5 if b >= 128 else 6 + b % 58 for b in range(256)], np.int64)
-
-
-def _levels(grams: np.ndarray, size: int, at: int) -> list[np.ndarray]:
-    """Indicators of the grams at each level of their share of all."""
-    if not len(grams):
-        return []
-    share = np.bincount(grams, minlength=size) / len(grams)
-    return [np.flatnonzero(share > level) + at + k * size for k, level in enumerate(LEVELS)]
-
-
-def _lags(ids: np.ndarray) -> np.ndarray:
-    """Trigrams of how many places back (up to 8) each id stood before, 0 for not at all."""
-    lag = np.zeros(len(ids), np.int64)
-    for k in range(8, 0, -1):
-        lag[k:][ids[k:] == ids[:-k]] = k
-    return lag[:-2] * 81 + lag[1:-1] * 9 + lag[2:] if len(ids) > 2 else lag[:0]
-
-
-def indicators(text: str) -> np.ndarray:
+#: Bytes of a text that are looked at together.
+BLOCK = 1 << 18
+_CLASS = np.array([0 if b == 32 else 1 if b == 10 else 2 if 97 <= b <= 122 else 3 if 65 <= b <= 90 else 4 if 48 <= b <= 57 else 5 if b >= 128 else 6 + b % 58 for b in range(256)], np.uint8)
+_FACTORS = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)
+#: What a class adds to a 4-gram's hash at each of its places.
+_ADDS = [np.arange(64, dtype=np.int64) * x for x in _FACTORS]
+_SPACE, _LINE_END = re.compile(rb"[ \t\n\r\x0b\x0c]"), re.compile(rb"\n")
+
+
+def _levels(counts: np.ndarray, at: int) -> list[np.ndarray]:
+    """Indicators of grams at each level of their share of all."""
+    n = counts.sum()
+    return [np.flatnonzero(counts > level * n) + at + k * len(counts) for k, level in enumerate(LEVELS)] if n else []
+
+
+def _class_grams(raw: bytes, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which byte trigrams there are, and how often each 4-gram of character classes (runs of one class as one) occurs."""
+    seen, counts = np.zeros(_TRIGRAMS, bool), np.zeros(_CLASSES, np.int64)
+    tail, last = np.zeros(0, np.uint8), 255
+    for at in range(0, len(raw), block):
+        b = np.frombuffer(raw[at : at + block + 2], np.uint8)
+        h = b.astype(np.uint32)
+        if len(h) > 2:
+            seen[(h[:-2] | h[1:-1] << np.uint32(8) | h[2:] << np.uint32(16)) * np.uint32(_FACTORS[0]) >> np.uint32(16)] = True
+        c = _CLASS[b[:block]]
+        c = c[np.concatenate([[c[0] != last or c[0] > 5], (c[1:] != c[:-1]) | (c[1:] > 5)])]
+        last = c[-1] if len(c) else last
+        c = np.concatenate([tail, c])
+        if len(c) > 3:
+            n = len(c) - 3
+            h = _ADDS[0][c[:n]]
+            for k in (1, 2, 3):
+                h ^= _ADDS[k][c[k : n + k]]
+            counts += np.bincount(h % 0xFFFFFFFB % _CLASSES, minlength=_CLASSES)
+        tail = c[-3:]
+    return seen, counts
+
+
+def _unit_ids(raw: bytes, end: re.Pattern, split, block: int):
+    """Hashes of a text's words or lines, about ``block`` bytes of it at a time."""
+    at, digest = 0, xxhash.xxh3_64_intdigest
+    while at <= len(raw):
+        found = end.search(raw, at + block) if len(raw) - at > block else None
+        stop = found.start() if found else len(raw)
+        units = split(raw[at:stop])
+        yield np.fromiter(map(digest, units), np.uint64, len(units))
+        at = stop + 1
+
+
+def _lag_grams(blocks) -> np.ndarray:
+    """How often each trigram of lags occurs: how many places back (up to 8) a unit stood before, 0 for not at all."""
+    counts = np.zeros(_LAGS, np.int64)
+    before, lags = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for ids in blocks:
+        known = len(before)
+        ids = np.concatenate([before, ids])
+        lag = np.zeros(len(ids), np.int64)
+        for k in range(8, 0, -1):
+            lag[k:][ids[k:] == ids[:-k]] = k
+        lags = np.concatenate([lags, lag[known:]])
+        if len(lags) > 2:
+            counts += np.bincount(lags[:-2] * 81 + lags[1:-1] * 9 + lags[2:], minlength=_LAGS)
+        before, lags = ids[-8:], lags[-2:]
+    return counts
+
+
+def indicators(text: str, block: int = BLOCK) -> np.ndarray:
     """Sorted distinct indicators of a whole text."""
     raw = text.encode("utf-8", "replace")
-    b = np.frombuffer(raw, np.uint8).astype(np.int64)
-    parts = []
-    if len(b) > 2:
-        h = b[:-2] | b[1:-1] << 8 | b[2:] << 16
-        seen = np.zeros(_TRIGRAMS, bool)
-        seen[(h * 0x9E3779B1 & 0xFFFFFFFF) >> 16] = True
-        parts.append(np.flatnonzero(seen))
-        c = _CLASS[b]
-        c = c[np.concatenate([[True], (c[1:] != c[:-1]) | (c[1:] > 5)])]
-        if len(c) > 3:
-            parts += _levels((c[:-3] * 0x9E3779B1 ^ c[1:-2] * 0x85EBCA6B ^ c[2:-1] * 0xC2B2AE35 ^ c[3:] * 0x27D4EB2F) % 0xFFFFFFFB % _CLASSES, _CLASSES, _TRIGRAMS)
-    digest = xxhash.xxh3_64_intdigest
+    seen, classes = _class_grams(raw, block)
+    parts = [np.flatnonzero(seen), *_levels(classes, _TRIGRAMS)]
     at = _TRIGRAMS + len(LEVELS) * _CLASSES
-    for units in (raw.split(), raw.split(b"\n")):
-        parts += _levels(_lags(np.array([digest(x) for x in units], np.uint64)), _LAGS, at)
+    for end, split in ((_SPACE, bytes.split), (_LINE_END, lambda x: x.split(b"\n"))):
+        parts += _levels(_lag_grams(_unit_ids(raw, end, split, block)), at)
         at += len(LEVELS) * _LAGS
-    return np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+    return np.concatenate(parts).astype(np.int32)
 
 
 def coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: np.ndarray, epochs: int = 30, seed: int = 1) -> np.ndarray:
@@ -157,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([indicators(x).tobytes() for x in texts_of(part)], pa.binary())], ["id", "y", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    found = rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    found = rows.select("id", "y", "text").mapInArrow(lean(run), "id long, y int, x binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
     return Model([np.frombuffer(x, np.int32) for x in found["x"].to_pylist()], found["y"].to_pylist(), label_counts(labels, "quality"))
 
 
@@ -172,7 +212,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return rows.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
@@ -186,4 +226,4 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", cut: float
                 yield part.filter(pa.array([shared.value.score(x) >= cut for x in texts_of(part, text_col)], pa.bool_()))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
