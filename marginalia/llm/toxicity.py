@@ -2,14 +2,16 @@
 
 In every labelled text of the sample that names a group, each identity term is swapped for other terms
 and for none; the squared change of the score is part of the loss, so naming a group moves a score little,
-whichever group it is. Words are kept if their share differs clearly between the labels; near copies in
-the sample (same least word pairs) count once. The sample is bounded (``bound`` rows of each label) and is
-weighted back to the labels' real shares.
+whichever group it is. Words are kept if their share differs clearly between the labels (the ``WORDS`` clearest
+at most). The sample is bounded (``bound`` rows of each label) and is weighted back to the labels' real
+shares; every row of it is learned from, near copies (of one label, found by minima over word pairs and
+checked by their words) with one row's weight together.
 
 Words are extracted on the executors; the driver gets the sample's word hashes only. Defined cases: a null
 or empty text has the score of a text without known words; a null id is not held out; repeated rows are
-scored each; without rows of both labels every score is the share of label 1 (0 without any); labels,
-language, source and id are never inputs.
+scored each; without rows of both labels every score is the share of label 1 (0 without any); a very long
+text costs its bytes twice and its distinct words; an empty table gives an empty result; labels, language,
+source and id are never inputs.
 """
 
 from __future__ import annotations
@@ -22,13 +24,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, held_out, label_counts, labelled, mix, slices, texts_of
+from marginalia.llm.common import bound_batches, hashes_of, held_out, label_counts, labelled, lean, mix, runs_of_words, slices, texts_of
 
 #: Labelled rows learned from, of each label.
 BOUND = 3000
 CUT = 0.5
 #: Words kept: at most so many, in at least so many texts, with at least so clear a difference.
 WORDS, LEAST, CLEAR = 3000, 3, 3.5
+#: Minima of a text's word pairs of which near copies share one, and the least Jaccard coefficient of their words.
+MINIMA, COPY = 8, 0.8
 PENALTY = 10.0
 # Terms that name groups of people, to be swapped for one another.
 IDENTITY = (
@@ -48,6 +52,11 @@ _NAMED = {w.encode() for w in IDENTITY}
 BEGINNINGS = (4, 5, 6, 7, 8)
 
 
+def folded(text: str) -> bytes:
+    """A text as UTF-8, A-Z lower-cased, all ASCII but letters as spaces."""
+    return text.encode("utf-8", "replace").translate(_FOLD)
+
+
 def _hash(word: bytes) -> int:
     return xxhash.xxh32_intdigest(word)
 
@@ -57,43 +66,66 @@ def word_set(text: str) -> np.ndarray:
 
     Identity terms have no beginnings: these would escape the swaps.
     """
-    words = set(text.encode("utf-8", "replace").translate(_FOLD).split())
+    words = set().union(*runs_of_words(folded(text)))
     begun = {w[:k] + b"*" for w in words - _NAMED for k in BEGINNINGS if len(w) > k}
     return np.unique(np.array([_hash(w) for w in (*words, *begun)], np.uint32))
 
 
-def copy_key(text: str) -> int:
-    """The least of the text's mixed word pairs: near copies mostly have the same."""
-    w = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in text.encode("utf-8", "replace").translate(_FOLD).split()], np.uint64)
-    return int(mix(w[:-1] * np.uint64(3) + w[1:]).min() >> np.uint64(1)) if len(w) > 1 else int(w.sum())
+def copy_keys(text: str) -> np.ndarray:
+    """The least of the text's word pairs by each of ``MINIMA`` hashes: near copies mostly share some."""
+    w = hashes_of(folded(text))
+    pairs = w[:-1] * np.uint64(3) + w[1:] if len(w) > 1 else w
+    return np.array([mix(pairs ^ mix(np.array([k], np.uint64))).min() for k in range(MINIMA)], np.uint64) if len(w) else np.zeros(0, np.uint64)
+
+
+def shares_of_copies(rows: list[np.ndarray], y: list[int], keys: list[np.ndarray], least: float = COPY) -> np.ndarray:
+    """Each row's weight: one divided by the number of near copies of it, itself included, among the rows of its label."""
+    group, firsts, by_key = [], [], {}
+    for i, (x, label, ks) in enumerate(zip(rows, y, keys, strict=True)):
+        found = -1
+        for g in sorted({g for k in ks.tolist() for g in by_key.get((label, k), ())}):
+            other = rows[firsts[g]]
+            common = len(np.intersect1d(x, other, assume_unique=True))
+            if common >= least * (len(x) + len(other) - common):
+                found = g
+                break
+        if found < 0:
+            found = len(firsts)
+            firsts.append(i)
+            for k in ks.tolist():
+                by_key.setdefault((label, k), []).append(found)
+        group.append(found)
+    return 1 / np.bincount(group)[group] if group else np.zeros(0)
 
 
 class Model:
     """Weights by word hash."""
 
-    def __init__(self, rows: list[np.ndarray], y: list[int], totals: tuple[int, int], penalty: float = PENALTY, seed: int = 3):
+    def __init__(self, rows: list[np.ndarray], y: list[int], totals: tuple[int, int], penalty: float = PENALTY, seed: int = 3, share: np.ndarray | None = None):
         y = np.array(y, np.int64)
+        copies = np.ones(len(y)) if share is None else share
         self.words, self.weights = np.zeros(0, np.uint32), np.zeros(0)
         share = (totals[1] + 0.5) / (sum(totals) + 1) if sum(totals) else 0.0
         self.offset = math.log(share / (1 - share)) if share else -30.0
         if len(set(y.tolist())) < 2:
             return
         self.identity = np.array(sorted({_hash(w.encode()) for w in IDENTITY}), np.uint32)
-        self.words = self._choose(rows, y)
+        self.words = self._choose(rows, y, copies)
         columns = [np.searchsorted(self.words, x[np.isin(x, self.words)]) for x in rows]
         row = np.repeat(np.arange(len(rows)), [len(c) for c in columns])
         column = np.concatenate([*columns, np.zeros(0, np.int64)]).astype(np.int64)
-        weight = (np.array([totals[0], totals[1]]) / np.bincount(y, minlength=2))[y]
+        weight = copies * (np.array([totals[0], totals[1]]) / np.bincount(y, copies, 2))[y]
         weight = weight / weight.mean()
         plus, minus = self._swaps(columns, np.random.default_rng(seed))
         self._fit(row, column, y, weight, plus, minus, penalty)
 
-    def _choose(self, rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    def _choose(self, rows: list[np.ndarray], y: np.ndarray, copies: np.ndarray) -> np.ndarray:
         """Words whose smoothed log odds differ clearly between the labels, and the identity terms that occur."""
-        n = np.bincount(y, minlength=2)
+        n = np.bincount(y, copies, 2)
         every, at = np.unique(np.concatenate(rows), return_inverse=True)
-        label = np.repeat(y, [len(x) for x in rows])
-        c = np.stack([np.bincount(at[label == k], minlength=len(every)) for k in (0, 1)]) + 0.5
+        size = [len(x) for x in rows]
+        label, weight = np.repeat(y, size), np.repeat(copies, size)
+        c = np.stack([np.bincount(at[label == k], weight[label == k], len(every)) for k in (0, 1)]) + 0.5
         z = (np.log(c[1] / (n[1] + 1 - c[1])) - np.log(c[0] / (n[0] + 1 - c[0]))) / np.sqrt((1 / c).sum(0))
         clear = np.flatnonzero((c.sum(0) >= LEAST + 1) & (np.abs(z) >= CLEAR))
         clear = clear[np.argsort(-np.abs(z[clear]), kind="stable")][:WORDS]
@@ -141,14 +173,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part)
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([word_set(x).tobytes() for x in texts], pa.binary()), pa.array([copy_key(x) for x in texts], pa.int64())], ["id", "y", "x", "key"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("y"), pa.array([word_set(x).tobytes() for x in texts], pa.binary()), pa.array([copy_keys(x).tobytes() for x in texts], pa.binary())], ["id", "y", "x", "keys"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(chosen, "id")
-    found = rows.select("id", "y", "text").mapInArrow(run, "id long, y int, x binary, key long").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
-    first: dict[tuple[int, int], bytes] = {}
-    for key, y, x in zip(found["key"].to_pylist(), found["y"].to_pylist(), found["x"].to_pylist(), strict=True):
-        first.setdefault((key, y), x)
-    return Model([np.frombuffer(x, np.uint32) for x in first.values()], [y for _, y in first], label_counts(labels, "toxic"))
+    found = rows.select("id", "y", "text").mapInArrow(lean(run), "id long, y int, x binary, keys binary").toArrow().sort_by([("id", "ascending"), ("x", "ascending")])
+    words, keys = ([np.frombuffer(x, kind) for x in found[c].to_pylist()] for c, kind in (("x", np.uint32), ("keys", np.uint64)))
+    y = found["y"].to_pylist()
+    return Model(words, y, label_counts(labels, "toxic"), share=shares_of_copies(words, y, keys))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,5 +193,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return rows.select(F.col("id").alias(id_col), F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
