@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import written
+from marginalia.llm.common import lean, written
 
 #: Forest edges (16 bytes each) that one task finishes; with more, rounds go on over the cluster.
 ONE_TASK = 1_000_000
@@ -85,9 +85,9 @@ def components(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) ->
     shared folder. Minima are taken before the shuffle; a hub's rows are left to the adaptive skew join.
     """
     apart = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p"))
-    now = written(apart.mapInArrow(_forests, "u long, p long"), "forests")
+    now = written(apart.mapInArrow(lean(_forests), "u long, p long"), "forests")
     if now.count() <= one_task:
-        return _stars(written(now.repartition(1).mapInArrow(_whole, "u long, p long"), "forest"))
+        return _stars(written(now.repartition(1).mapInArrow(lean(_whole), "u long, p long"), "forest"))
     now = now.distinct()
     for _ in range(rounds):
         parent = now.groupBy("u").agg(F.min("p").alias("m"))

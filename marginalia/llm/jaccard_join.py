@@ -32,16 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, groups, hashes_of, mix, slices, texts_of, unused, written
+from marginalia.llm.common import bound_batches, groups, hashes_of, lean, mix, slices, texts_of, unused, written
 from marginalia.llm.graph import Edges, components
 
 SHINGLE = 4
 THRESHOLD = (85, 100)
 #: Bounds of a chunk: classes, and shingles of all its sets.
-CHUNK_CLASSES = 3000
+CHUNK_CLASSES = 1000
 CHUNK_SHINGLES = 4_000_000
 PIVOTS = 4
-#: Ids of so many documents at most are broadcast (8 bytes each); more are joined by shuffle.
+#: Rows of a few numbers (at most 40 bytes each) that are broadcast; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Documents, or classes of large blocks, whose shingles are counted, and how many of them must have a common one; rounds of cutting large blocks again.
 SAMPLE, COMMON, CUTS = 4096, 8, 2
@@ -178,7 +178,7 @@ def _met(signed: DataFrame, partitions: int) -> DataFrame:
             yield from rows_of(edges.add(*_hubs(sig, node)[2]))
         yield from rows_of(edges.rest())
 
-    return signed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(meet, _DDL).select("id", "row", "n", "a", "b")
+    return signed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), _DDL).select("id", "row", "n", "a", "b")
 
 
 def survey(docs: DataFrame, size: int, threshold: tuple[int, int], common: np.ndarray = _NONE) -> DataFrame:
@@ -196,7 +196,7 @@ def survey(docs: DataFrame, size: int, threshold: tuple[int, int], common: np.nd
                 yield _rows(len(sets), id=part.column("id"), row=part.column("row"), n=[len(s) for s in sets], a=node, bucket=[i % buckets for i in range(len(node))])
                 yield from _signed({k: s for k, s in zip(node, sets, strict=True) if len(s)}, buckets, threshold, 0, shared.value)
 
-    return _met(docs.mapInArrow(sign, _DDL), partitions)
+    return _met(docs.mapInArrow(lean(sign), _DDL), partitions)
 
 
 def cut_again(sets: DataFrame, threshold: tuple[int, int], seed: int, common: np.ndarray) -> DataFrame:
@@ -212,7 +212,7 @@ def cut_again(sets: DataFrame, threshold: tuple[int, int], seed: int, common: np
                 block = dict(zip(part.column("node").to_pylist(), part.column("block").to_pylist(), strict=True))
                 yield from _signed(found, BUCKETS * partitions, threshold, seed, shared.value, mix(np.array([block[k] for k in found], np.int64).view(np.uint64)))
 
-    return components(_met(sets.select("node", "block", "x").mapInArrow(sign, _DDL), partitions).select("a", "b"))
+    return components(_met(sets.select("node", "block", "x").mapInArrow(lean(sign), _DDL), partitions).select("a", "b"))
 
 
 def common_shingles(rows: DataFrame, key: str, sets_of, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
@@ -226,7 +226,7 @@ def common_shingles(rows: DataFrame, key: str, sets_of, sample: int = SAMPLE, le
                 shingle, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n, pa.int64())], ["s", "n"])
 
-    counts = rows.join(chosen, key, "left_semi").mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = rows.join(chosen, key, "left_semi").mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(counts.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
@@ -385,7 +385,7 @@ def _linked(work: DataFrame, threshold: tuple[int, int], partitions: int) -> Dat
         yield from out()
 
     dealt = work.repartition(partitions, "block", "chunk").sortWithinPartitions("block", "chunk", "node")
-    return dealt.select("block", "chunk", "node", "label", "native", "x").mapInArrow(run, "a long, b long")
+    return dealt.select("block", "chunk", "node", "label", "native", "x").mapInArrow(lean(run), "a long, b long")
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD, chunk_classes: int = CHUNK_CLASSES, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
@@ -397,7 +397,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     texts_sets = lambda batch: (shingle_set(x, size) for part in slices(batch, "text") for x in texts_of(part))
     seen = written(survey(source, size, threshold, common_shingles(source, "row", texts_sets)), "survey")
     rows = seen.where("n is not null").select("id", "row", "n", F.col("a").alias("node"))
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n"))
+    classes = written(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n")), "classes")
     blocks = written(components(seen.where("n is null").select("a", "b")).join(classes, "node").withColumnRenamed("component", "block"), "blocks")
 
     def sets_of(batches):
@@ -407,8 +407,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "x"])
 
     wanted = blocks.select(F.col("least").alias("wanted")).distinct()
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = written(source.join(wanted, F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(sets_of, "node long, x binary"), "sets")
+    sets = written(source.join(_small(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(lean(sets_of), "node long, x binary"), "sets")
     chunks = F.greatest(F.ceil(F.count("*") / chunk_classes), F.ceil(F.sum("n") / chunk_shingles))
     counted = lambda blocks: written(blocks.join(blocks.groupBy("block").agg(chunks.alias("chunks")), "block"), "members")
     members = counted(blocks)
@@ -416,19 +415,18 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         large = members.where("chunks > 1")
         if large.isEmpty():
             break
-        held = written(sets.join(large.select("node", "block"), "node"), "large")
+        held = sets.join(_small(large.select("node", "block")), "node")
         common = common_shingles(held.select("node", "x"), "node", lambda batch: (np.frombuffer(x, np.uint64) for x in batch.column("x").to_pylist()))
         again = cut_again(held, threshold, seed, common).join(large.select("node", "least", "n"), "node").withColumnRenamed("component", "block")
         members = counted(members.where("chunks = 1").select("node", "block", "least", "n").unionByName(again.select("node", "block", "least", "n")))
-    sets = sets.join(members, "node")
-    if is_hot := not members.where("chunks > 1").isEmpty():
-        sets = written(sets, "members")  # read three times
+    sets = sets.join(_small(members), "node")
+    is_hot = not members.where("chunks > 1").isEmpty()
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
     fresh = lambda df: df.withColumn("label", F.lit(None).cast("long")).withColumn("native", F.lit(True))
     work = fresh(sets.withColumn("chunk", chunk))
-    hot = sets.where("chunks > 1")
     every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     if is_hot:
+        hot = written(sets.where("chunks > 1"), "hot")  # read twice more
         some = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")) == 0, F.col("node"))
         firsts = members.where("chunks > 1").groupBy("block").agg(*[F.min(F.when(F.pmod(F.col("node"), F.lit(PIVOTS)) == i, some)).alias(f"p{i}") for i in range(PIVOTS)])
         firsts = firsts.select("block", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("node"))
@@ -445,14 +443,20 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         rest = labelled.where("label <> main").withColumn("own", F.col("chunk")).withColumn("chunk", every_chunk).where("chunk <> own").drop("own")
         again = labelled.withColumn("native", F.lit(True)).unionByName(rest.withColumn("native", F.lit(False)))
         links = links.unionByName(_linked(again, threshold, partitions))
-    linked = components(links)
-    of = classes.join(linked, "node", "left").select("node", "least", F.coalesce("component", "node").alias("part"))
-    least = of.groupBy("part").agg(F.min("least").alias("component"))
-    of = of.join(least, "part").select("node", "part", "component")
+    linked = written(components(links).join(classes, "node").select("node", F.col("component").alias("part"), "least"), "linked")
+    least = written(linked.groupBy("part").agg(F.min("least").alias("component")), "least")
+    linked = linked.join(_small(least), "part").select("node", "part", "component")
+    # written, so that a join with the many rows of one class can be split
+    of = written(classes.join(linked, "node", "left").select("node", F.coalesce("part", "node").alias("part"), F.coalesce("component", F.when(F.col("part").isNull(), F.col("least"))).alias("component")), "groups")
     found = rows.where("n > 0").join(of, "node").select("id", "row", "n", "part", "component")
     return found.unionByName(rows.where("n = 0").select("id", "row", "n", F.lit(None).cast("long").alias("part"), F.col("id").alias("component")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """``df`` to be broadcast, if it has few rows (of a few numbers each)."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
     return similar(docs, id_col, text_col, size, threshold).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -465,7 +469,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
     found = similar(docs, id_col, text_col, size, threshold).where("n > 0")
     key = unused(docs, "row")
-    stays = found.groupBy("part").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("stays"))
-    gone = written(found.join(stays, "part").where("row <> stays").select(F.col("row").alias(key)), "gone")
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.withColumn(key, F.monotonically_increasing_id()).join(gone, key, "left_anti").select(*docs.columns)
+    first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("stays")
+    stays = written(found.groupBy("part").agg(first, F.count("*").alias("copies")).where("copies > 1").drop("copies"), "stays")
+    gone = written(found.join(_small(stays), "part").where("row <> stays").select(F.col("row").alias(key)), "gone")
+    return docs.withColumn(key, F.monotonically_increasing_id()).join(_small(gone), key, "left_anti").select(*docs.columns)
