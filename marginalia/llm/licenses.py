@@ -1,17 +1,18 @@
 """License scans: segments of normalised text compared to templates by the Dice coefficient over word bigrams.
 
-DataFrame functions only. A text is cut into lines; a line is lower-cased and all but letters and digits
-become single spaces. A line and a template with a and b distinct bigrams can only have a Dice
-coefficient of t if a/b lies between t/(2-t) and (2-t)/t; templates outside those bounds are pruned before
-any bigram is compared, and lines that fit no template are dropped by their word count alone. The
+DataFrame functions only. Text is lower-cased, all but letters and digits separates words. A segment and a
+template with a and b distinct bigrams can only have a Dice coefficient of t if a/b lies between t/(2-t) and
+(2-t)/t, and has at least b t/(2-t) of the template's bigrams. So a text is dropped if it holds too few
+bigrams of each template, and templates out of those bounds are pruned before any segment is compared. The
 templates are a literal of fixed size, so nothing is joined or shuffled.
 
-Notices wrapped over lines or inside a line are found as windows of the whole text's words, compared in the
-same way, in texts that have a word without which no template fits. ``sql`` gives the lines only.
+Segments are the text's lines, and, for notices wrapped over lines or inside a line, windows of the whole text's
+words. ``sql`` gives the lines only.
 
 Defined cases: a null or empty text has no notices; a null id stays null; repeated rows are scanned each;
-a segment that fits several templates gets the best, of equals the first by name; an empty table gives
-an empty result; other columns are not read.
+a segment that fits several templates gets the best, of equals the first by name; a very long text costs about
+twenty times its bytes while its words are an array; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -67,36 +68,9 @@ def known(templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float =
     return [(name, g, max(1, math.ceil(len(g) * t / (2 - t))), math.floor(len(g) * (2 - t) / t)) for name, g in out if g]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """``id_col, line, license, dice`` for every line that matches a template, and every window of words beside; lines count from 0."""
-    kept = known(templates, threshold)
-    low, high = min(x[2] for x in kept), max(x[3] for x in kept)
-    lines = docs.select(F.col(id_col), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("line", "segment"))
-    lines = lines.where(F.length("segment") >= 2 * low + 1)  # low bigrams take low + 1 words
-    plain = F.trim(F.regexp_replace(F.lower("segment"), r"[^\p{L}\p{N}]+", " "))
-    lines = lines.select(id_col, "line", _once(F.split(plain, " ")).alias("w"))
-    lines = lines.where((F.size("w") > low) & (F.size(F.array_distinct("w")) <= high + 1))  # no more distinct words than bigrams and one
-    rest = F.greatest(F.size("w") - 1, F.lit(0))
-    grams = F.zip_with(F.slice("w", 1, rest), F.slice("w", 2, rest), lambda a, b: F.concat_ws(" ", a, b))
-    lines = lines.select(id_col, "line", _once(F.array_distinct(grams)).alias("g")).where(F.size("g").between(low, high))
-    best = _once(F.array_max(F.array(*[_fit(F.col("g"), i, *x[1:], threshold) for i, x in enumerate(kept)])))
-    found = lines.select(id_col, "line", best.alias("best")).where("best is not null")
-    names = F.array(*[F.lit(x[0]) for x in kept])
-    whole = found.select(id_col, F.col("line").cast("long").alias("line"), F.element_at(names, F.lit(1) - F.col("best.place")).alias("license"), F.round("best.dice", 6).alias("dice"))
-    return whole.unionByName(windows(docs, id_col, text_col, threshold, templates))
-
-
-def signal_words(kept: list[tuple[str, list[str], int, int]]) -> list[str]:
-    """Words of which a segment that fits a template has one: without them more bigrams are missing than may be."""
-    out: dict[str, None] = {}
-    for _, grams, low, _ in kept:
-        touched: set[str] = set()
-        for word in sorted({x for g in grams for x in g.split()}, key=lambda x: (-len(x), x)):
-            if len(touched) > len(grams) - low:
-                break
-            touched |= {g for g in grams if word in g.split()}
-            out[word] = None
-    return list(out)
+def _words(text: Column) -> Column:
+    """Words of lower-cased text."""
+    return F.filter(F.split(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), " "), lambda x: x != "")
 
 
 def _dice(grams: Column, t: Column) -> Column:
@@ -109,32 +83,28 @@ def _pairs_of(w: Column) -> Column:
     return F.zip_with(F.slice(w, 1, rest), F.slice(w, 2, rest), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """Notices that are not a line: windows of a whole text's words, with the line they begin in.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
+    """``id_col, line, license, dice`` for every line that matches a template, and every window of words beside, with the line it begins in; lines count from 0.
 
     A window begins and ends with a bigram of its template (others at its ends only lower the coefficient),
-    and has at most twice as many bigrams as distinct ones may be there.
-    Of windows that overlap the best stays, of equals that of the first template, then the first, then the
-    shortest; none stays that overlaps a line that matches as well or for the same licence.
+    and has at most twice as many bigrams as distinct ones may be there. Of windows that overlap the best
+    stays, of equals that of the first template, then the first, then the shortest; none stays that overlaps
+    a line that matches as well or for the same licence.
     """
     kept = known(templates, threshold)
     every = sorted({g for x in kept for g in x[1]})
     known_ones = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("license"), F.array(*[F.lit(g) for g in grams]).alias("grams"), F.lit(low).alias("low"), F.lit(high).alias("high")) for i, (name, grams, low, high) in enumerate(kept)])
-    text = F.lower(F.col(text_col).cast("string"))
-    some = docs.select(F.col(id_col), _once(text).alias("t"))
-    has = F.lit(False)
-    for word in signal_words(kept):
-        has = has | F.contains("t", F.lit(word))
-    some = some.where(has)
-    line_words = lambda x: F.filter(F.split(F.regexp_replace(x, r"[^\p{L}\p{N}]+", " "), " "), lambda y: y != "")
-    some = some.select(id_col, _once(F.transform(F.split("t", "\n"), line_words)).alias("lines"))
-    some = some.select(id_col, "lines", _once(_pairs_of(F.flatten("lines"))).alias("g")).where(F.size("g") > 0)
-    hits = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i).isin(every))
-    some = some.select(id_col, "lines", "g", _once(hits).alias("hits"))
-    seen = F.array_distinct(F.transform("hits", lambda i: F.get("g", i)))
-    some = some.select(id_col, "lines", "g", "hits", _once(seen).alias("seen"))
+    least = min(x[2] for x in kept)
+    some = docs.select(F.col(id_col), _once(F.lower(F.col(text_col).cast("string"))).alias("t"))
+    words = F.split(F.trim(F.regexp_replace("t", r"[^\p{L}\p{N}]+", " ")), " ")
+    some = some.select(id_col, "t", _once(words).alias("w")).where(F.size("w") > least)
+    some = some.select(id_col, "t", _once(F.array_intersect(_pairs_of(F.col("w")), F.array(*[F.lit(g) for g in every]))).alias("seen")).where(F.size("seen") >= least)
     asked = F.filter(known_ones, lambda t: F.size(F.array_intersect("seen", t["grams"])) >= t["low"])
-    some = some.select(id_col, "lines", "g", "hits", _once(asked).alias("asked")).where(F.size("asked") > 0)
+    some = some.select(id_col, "t", _once(asked).alias("asked")).where(F.size("asked") > 0)
+    some = some.select(id_col, "asked", _once(F.transform(F.split("t", "\n"), _words)).alias("lines"))
+    some = some.select(id_col, "asked", "lines", _once(_pairs_of(F.flatten("lines"))).alias("g"))
+    hits = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i).isin(every))
+    some = some.select(id_col, "asked", "lines", "g", _once(hits).alias("hits"))
 
     def of_template(t: Column) -> Column:
         at = F.filter("hits", lambda i: F.array_contains(t["grams"], F.get("g", i)))
@@ -142,18 +112,21 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         window = lambda i, j: F.named_struct(F.lit("less"), -_dice(F.array_distinct(F.slice("g", i + 1, j - i + 1)), t), F.lit("place"), t["place"], F.lit("start"), i, F.lit("end"), j, F.lit("license"), t["license"])
         return F.filter(F.flatten(F.transform(at, lambda i: F.transform(ends(i), lambda j: window(i, j)))), lambda x: x["less"] <= -threshold)
 
-    some = some.select(id_col, "lines", _once(F.array_sort(F.flatten(F.transform("asked", of_template)))).alias("found")).where(F.size("found") > 0)
-    fit = lambda w: F.array_max(F.transform(known_ones, lambda t: F.named_struct(F.lit("dice"), _dice(F.array_distinct(_pairs_of(w)), t), F.lit("later"), -t["place"], F.lit("license"), t["license"])))
+    some = some.select(id_col, "asked", "lines", _once(F.array_sort(F.flatten(F.transform("asked", of_template)))).alias("found"))
+    # what fits a line fits the text, so only the templates asked for can
+    fit = lambda w: F.array_max(F.transform("asked", lambda t: F.named_struct(F.lit("dice"), _dice(F.array_distinct(_pairs_of(w)), t), F.lit("later"), -t["place"], F.lit("license"), t["license"])))
     some = some.select(id_col, "found", _once(F.transform("lines", fit)).alias("fits"), _once(F.flatten(F.transform("lines", lambda w, k: F.array_repeat(k, F.size(w))))).alias("line_of"))
 
     def free(x: Column) -> Column:
         first, last = F.get("line_of", x["start"]), F.get("line_of", x["end"] + 1)
         return ~F.exists(F.slice("fits", first + 1, last - first + 1), lambda f: F.coalesce((f["dice"] >= threshold) & ((f["dice"] >= -x["less"]) | (f["license"] == x["license"])), F.lit(False)))
 
-    some = some.select(id_col, "line_of", _once(F.filter("found", free)).alias("found")).where(F.size("found") > 0)
+    some = some.select(id_col, "fits", "line_of", _once(F.filter("found", free)).alias("found"))
     apart = F.aggregate("found", F.slice("found", 1, 0), lambda out, x: F.when(F.exists(out, lambda y: (y["start"] <= x["end"] + 1) & (x["start"] <= y["end"] + 1)), out).otherwise(F.concat(out, F.array(x))))
-    some = some.select(id_col, "line_of", F.explode(apart).alias("best"))
-    return some.select(id_col, F.get("line_of", F.col("best.start")).cast("long").alias("line"), F.col("best.license").alias("license"), F.round(-F.col("best.less"), 6).alias("dice"))
+    row = lambda line, license, dice: F.struct(line.cast("long").alias("line"), license.alias("license"), F.round(dice, 6).alias("dice"))
+    whole = F.filter(F.transform("fits", lambda f, k: row(k, f["license"], F.when(f["dice"] >= threshold, f["dice"]))), lambda x: x["dice"].isNotNull())
+    beside = F.transform(apart, lambda x: row(F.get("line_of", x["start"]), x["license"], -x["less"]))
+    return some.select(id_col, F.explode(F.concat(whole, beside)).alias("one")).select(id_col, "one.line", "one.license", "one.dice")
 
 
 def _once(value: Column) -> Column:
@@ -161,12 +134,6 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _fit(grams: Column, place: int, template: list[str], low: int, high: int, threshold: float) -> Column:
-    """The Dice coefficient with a template and its place, greater for earlier ones; null under the threshold or out of bounds."""
-    dice = 2.0 * F.size(F.array_intersect(grams, F.array(*[F.lit(x) for x in template]))) / (F.size(grams) + len(template))
-    return F.when(F.size(grams).between(low, high), F.when(dice >= threshold, F.struct(dice.alias("dice"), F.lit(-place).alias("place"))))
-
-
 def sql(threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> str:
     """The same result over the view ``documents``, in DuckDB's SQL."""
     rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(x) for x in grams)}])" for i, (name, grams, _, _) in enumerate(known(templates, threshold)))
