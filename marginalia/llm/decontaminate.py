@@ -1,12 +1,14 @@
 """Benchmark decontamination: an FM-index for each shard of the training texts.
 
-A shard is a run of rows of one partition, of bounded bytes. Its words are coded by the phrases'
-vocabulary; a run of other words becomes one separator, which no phrase holds, as does the end of a
-document. The shard's suffixes are sorted; the last column goes into a wavelet matrix; all phrases are
-searched backward at once through its ranks; occurrences are located by walking to sampled suffix
-positions; spans are merged per document. No shuffle: a document lies whole in one shard. Phrases go to
-the executors by broadcast in blocks of at most ``block_bytes`` of text; with more than one block the
-spans of a row are merged by its row key.
+A shard is a run of rows of one partition, of bounded bytes, or a bounded piece of a very long text (pieces
+overlap by a window less a word). Its words are coded by the phrases' vocabulary; a run of other words
+becomes one separator, which no phrase holds, as does the end of a document. The shard's suffixes are
+sorted; the last column goes into a wavelet matrix; all phrases are searched backward at once through its
+ranks; occurrences are located by walking to sampled suffix positions; spans are merged per document. No
+shuffle: a document lies whole in one partition. A phrase is a place in its item's word codes. Items go to
+the executors by broadcast in blocks of at most ``block_bytes`` of text (an item lies whole in one); with more
+than one block, one after the other is collected, searched and dropped, and the spans of a row are merged by
+its row key.
 
 Defined cases: a null or empty text has no words and no hits, a null benchmark text no windows; a null
 item id marks words but isn't listed; a null document id stays null; repeated rows are judged each; an
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, slices, texts_of
+from marginalia.llm.common import bound_batches, lean, runs_of_words, slices, texts_of, unused, written
 
 WINDOW = 13
-#: Text bytes of a shard, and of the phrases broadcast at once.
-SHARD_BYTES = 6 << 20
-BLOCK_BYTES = 16 << 20
+#: Text bytes of a shard, words of one, and text bytes of the items broadcast at once.
+SHARD_BYTES, SHARD_WORDS = 4 << 20, 1 << 20
+BLOCK_BYTES = 8 << 20
 SAMPLE = 16
+_END = np.ones(1, np.int32)
 _KEPT = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,25 +47,35 @@ def words(text: str) -> list[bytes]:
     return folded(text).split()
 
 
+class _Codes(dict):
+    """Words to codes; 1 for any other word."""
+
+    def __missing__(self, word: bytes) -> int:
+        return 1
+
+
 class Phrases:
-    """Distinct windows of the items, coded by their own vocabulary (0 ends a shard, 1 separates)."""
+    """The windows of items, as places in their words' codes (0 ends a shard, 1 separates)."""
 
     def __init__(self, items: list[tuple[str | None, str]], window: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str | None]] = {}
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                owners.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.lengths = np.array([len(x) for x in owners], np.int64)
-        self.codes = np.zeros((len(owners), window), np.int64)  # from the last word back
-        for row, x in zip(self.codes, owners, strict=True):
-            row[: len(x)] = x[::-1]
-        self.names = sorted({x for xs in owners.values() for x in xs if x is not None})
+        self.window, self.vocabulary = window, _Codes()
+        self.names = sorted({x for x, _ in items if x is not None})
         at = {x: i for i, x in enumerate(self.names)}
-        listed = [sorted(at[x] for x in xs if x is not None) for xs in owners.values()]
-        self.item_ends = np.concatenate([[0], np.cumsum([len(x) for x in listed], dtype=np.int64)])
-        self.items = np.array([i for x in listed for i in x], np.int64)
+        coded = []
+        for _, text in items:
+            ids = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 2) for w in ws], np.int32) for ws in runs_of_words(folded(text))]
+            coded.append(np.concatenate([np.zeros(0, np.int32), *ids]))
+        size = np.array([len(x) for x in coded], np.int64)
+        count = np.where(size > 0, np.maximum(1, size - window + 1), 0)
+        begin = np.cumsum(size) - size
+        self.codes = np.concatenate([np.zeros(0, np.int32), *coded])
+        self.starts = (np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())).astype(np.int32)
+        self.lengths = np.repeat(np.minimum(size, window), count).astype(np.int16)
+        self.items = np.repeat(np.array([at.get(x, -1) for x, _ in items], np.int32), count)  # -1: without a name
+
+    def coded(self, text: str) -> np.ndarray:
+        get = self.vocabulary.__getitem__
+        return np.concatenate([np.zeros(0, np.int32), *(np.fromiter(map(get, ws), np.int32, len(ws)) for ws in runs_of_words(folded(text)))])
 
 
 def suffix_array(text: np.ndarray, bits: int) -> np.ndarray:
@@ -120,13 +133,14 @@ class FMIndex:
         """How often each code stands in the last column before each row."""
         return self._down(code, at) - self.first[code]
 
-    def search(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Backward search of all phrases: those that occur, with their first row and the row after their last."""
-        live = np.arange(len(codes))
-        low, high = np.zeros(len(codes), np.int64), np.full(len(codes), int(self.before[-1]), np.int64)
-        for k in range(codes.shape[1]):
+        n, lengths = len(phrases.starts), phrases.lengths
+        live = np.arange(n)
+        low, high = np.zeros(n, np.int64), np.full(n, int(self.before[-1]), np.int64)
+        for k in range(phrases.window):
             todo = live[lengths[live] > k]
-            c = codes[todo, k]
+            c = phrases.codes[phrases.starts[todo] + lengths[todo] - 1 - k].astype(np.int64)
             low[todo] = self.before[c] + self.rank(c, low[todo])
             high[todo] = self.before[c] + self.rank(c, high[todo])
             live = live[low[live] < high[live]]
@@ -150,41 +164,60 @@ class FMIndex:
         return found
 
 
-def search_shard(texts: list[str], phrases: Phrases) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
-    """Of each text the number of words, the merged spans of hit words, and the items with occurring windows."""
-    get, coded, n_words = phrases.vocabulary.get, [], []
-    for text in texts:
-        ws = words(text)
-        n_words.append(len(ws))
-        coded += [get(w, 1) for w in ws]
-        coded.append(1)
-    spans, items = [[] for _ in texts], [[] for _ in texts]
-    counts = np.array(n_words, np.int64)
-    full = np.array(coded, np.int32)
-    if not len(phrases.lengths) or not len(full):
-        return counts, spans, items
+def _pieces(coded: list[np.ndarray], window: int, most: int):
+    """Runs of words of at most ``most`` in all, as ``(text, first word, codes)``; longer texts in pieces that overlap."""
+    held, n = [], 0
+    for d, x in enumerate(coded):
+        for at in range(0, max(1, len(x) - window + 1), most):
+            piece = x[at : at + most + window - 1]
+            if held and n + len(piece) > most:
+                yield held
+                held, n = [], 0
+            held.append((d, at, piece))
+            n += len(piece) + 1
+    if held:
+        yield held
+
+
+def _hits(pieces: list[tuple[int, int, np.ndarray]], phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the phrases' occurrences the text, the first word, and the phrase."""
+    full = np.concatenate([y for _, _, x in pieces for y in (x, _END)])
     kept = np.flatnonzero(np.concatenate([[True], (full[1:] != 1) | (full[:-1] != 1)]))
     index = FMIndex(np.append(full[kept], np.int32(0)), len(phrases.vocabulary) + 2)
-    which, low, high = index.search(phrases.codes, phrases.lengths)
+    which, low, high = index.search(phrases)
     n = high - low
     ends = np.cumsum(n)
-    if not len(which):
+    rows = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - ends + n, n)
+    at = kept[index.locate(rows)]  # among all words and ends of pieces
+    size = np.array([len(x) + 1 for _, _, x in pieces])
+    piece = np.searchsorted(np.cumsum(size), at, "right")
+    first, text = (np.array([x[k] for x in pieces]) for k in (1, 0))
+    return text[piece], at - (np.cumsum(size) - size)[piece] + first[piece], np.repeat(which, n)
+
+
+def search_shard(texts: list[str], phrases: Phrases, most: int = SHARD_WORDS) -> tuple[np.ndarray, list[list[tuple[int, int]]], list[list[str]]]:
+    """Of each text the number of words, the merged spans of hit words, and the items with occurring windows."""
+    coded = [phrases.coded(x) for x in texts]
+    counts = np.array([len(x) for x in coded], np.int64)
+    spans, items = [[] for _ in texts], [[] for _ in texts]
+    if not len(phrases.starts) or not len(texts):
+        return counts, spans, items
+    text, at, which = (np.concatenate(x) for x in zip(*(_hits(x, phrases) for x in _pieces(coded, phrases.window, most)), strict=True))
+    if not len(text):
         return counts, spans, items
-    rows = np.arange(ends[-1]) + np.repeat(low - ends + n, n)
-    window = np.repeat(which, n)
-    at = kept[index.locate(rows)]  # of the first word, among all words and ends of documents
-    cover = np.zeros(len(full) + 1, np.int64)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + phrases.lengths[window], -1)
-    edge = np.diff(np.concatenate([[0], np.cumsum(cover) > 0, [0]]).astype(np.int8))
-    begins, stops = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    starts = np.concatenate([[0], np.cumsum(counts + 1)])
-    for d, a, b in zip((np.searchsorted(starts, begins, "right") - 1).tolist(), begins.tolist(), stops.tolist(), strict=True):
-        spans[d].append((a - int(starts[d]), b - int(starts[d])))
-    pairs = np.unique(np.stack([np.searchsorted(starts, at, "right") - 1, window]), axis=1)
-    for d, w in pairs.T.tolist():
-        items[d].extend(phrases.items[phrases.item_ends[w] : phrases.item_ends[w + 1]].tolist())
-    return counts, spans, [sorted({phrases.names[i] for i in set(x)}) for x in items]
+    starts = np.cumsum(counts + 1) - counts - 1
+    begin = starts[text] + at
+    order = np.argsort(begin)
+    begin, end = begin[order], np.maximum.accumulate((begin + phrases.lengths[which])[order])
+    new = np.append(True, begin[1:] > end[:-1])
+    of = text[order][new]
+    stop = end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]
+    for d, a, b in zip(of.tolist(), (begin[new] - starts[of]).tolist(), (stop - starts[of]).tolist(), strict=True):
+        spans[d].append((a, b))
+    for d, i in np.unique(np.stack([text, phrases.items[which]]), axis=1).T.tolist():
+        if i >= 0:
+            items[d].append(phrases.names[i])
+    return counts, spans, [sorted(x) for x in items]
 
 
 def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -195,22 +228,29 @@ def char_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    total = benchmark.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
+    return max(1, -(-total // block_bytes))
+
+
+def _shared(benchmark: DataFrame, item_col: str, n_blocks: int, k: int, window: int):
+    """A block's phrases, broadcast."""
+    part = benchmark if n_blocks == 1 else benchmark.where(F.pmod(F.xxhash64(F.col(item_col)), F.lit(n_blocks)) == k)
+    items = [(r[0], r[1] or "") for r in part.select(F.col(item_col).cast("string"), F.col("text").cast("string")).collect()]
+    return benchmark.sparkSession.sparkContext.broadcast(Phrases(items, window))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``id_col, n_words, n_hit, items, spans, chars`` for every row: item ids, hit word spans, code point spans."""
     spark = docs.sparkSession
     bound_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
-    total = benchmark.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-total // block_bytes))
+    n_blocks = _blocks(benchmark, block_bytes)
     span = "array<struct<start:bigint,end:bigint>>"
-    found = []
-    for k in range(n_blocks):
-        part = benchmark if n_blocks == 1 else benchmark.where(F.pmod(F.xxhash64(F.col(item_col)), F.lit(n_blocks)) == k)
-        items = [(r[0], r[1] or "") for r in part.select(F.col(item_col).cast("string"), F.col("text").cast("string")).collect()]
-        shared = spark.sparkContext.broadcast(Phrases(items, window))
 
-        def run(batches, shared=shared):
+    def searched(shared):
+        def run(batches):
             for batch in batches:
                 for part in slices(batch, "text", SHARD_BYTES):
                     texts = texts_of(part)
@@ -221,12 +261,16 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
                     pairs = [pa.array([[{"start": a, "end": b} for a, b in s] for s in x], kinds) for x in (spans, chars)]
                     yield pa.RecordBatch.from_arrays([part.column("id"), part.column("row"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), *pairs], ["id", "row", "n_words", "n_hit", "items", "spans", "chars"])
 
-        found.append(source.mapInArrow(run, f"id {kind}, row long, n_words long, n_hit long, items array<string>, spans {span}, chars {span}"))
+        return source.mapInArrow(lean(run), f"id {kind}, row long, n_words long, n_hit long, items array<string>, spans {span}, chars {span}")
+
     if n_blocks == 1:
-        return found[0].drop("row").withColumnRenamed("id", id_col)
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
+        return searched(_shared(benchmark, item_col, 1, 0, window)).drop("row").withColumnRenamed("id", id_col)
+    every = None
+    for k in range(n_blocks):
+        shared = _shared(benchmark, item_col, n_blocks, k, window)
+        part = written(searched(shared), "hits")
+        shared.destroy()
+        every = part if every is None else every.unionByName(part)
 
     def merged(name: str):
         """Spans of all blocks in order, those that touch made one."""
@@ -253,16 +297,16 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without its contaminated rows; the other rows and all columns stay as they are."""
     spark = docs.sparkSession
     bound_batches(spark)
-    total = benchmark.agg(F.sum(F.octet_length(F.col("text"))).alias("n")).first()["n"] or 0
-    if total > BLOCK_BYTES:
-        keyed = docs.withColumn("_row", F.monotonically_increasing_id())
-        bad = find(keyed.select(F.col("_row").alias("id"), text_col), benchmark, "id", text_col, window=window).where(contaminated(F.col("n_hit"), F.col("n_words")))
-        return keyed.join(bad.select(F.col("id").alias("_row")), "_row", "left_anti").select(*docs.columns)
-    shared = spark.sparkContext.broadcast(Phrases([(r[0], r[1] or "") for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()], window))
+    if _blocks(benchmark, block_bytes) > 1:
+        key = unused(docs, "row")
+        keyed = docs.withColumn(key, F.monotonically_increasing_id())
+        bad = find(keyed.select(F.col(key).alias("id"), F.col(text_col).alias("text")), benchmark, "id", window=window, block_bytes=block_bytes).where(contaminated(F.col("n_hit"), F.col("n_words")))
+        return keyed.join(bad.select(F.col("id").alias(key)), key, "left_anti").select(*docs.columns)
+    shared = _shared(benchmark, "item_id", 1, 0, window)
 
     def run(batches):
         for batch in batches:
@@ -271,4 +315,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
                 hit = np.array([sum(b - a for a, b in s) for s in spans], np.int64)
                 yield part.filter(pa.array((hit == 0) | (20 * hit < counts)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
