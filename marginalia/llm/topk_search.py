@@ -2,24 +2,31 @@
 
 Vectors become sparse rows of integer weights. Candidates are held in blocks as postings by term; for
 each block of queries the postings of every term are scattered, times the query's weight, into a dense
-array of scores; the best k of each row are selected by partition and merged. Queries are broadcast in
-blocks of bounded size, one pass over the candidates for each block, so any number of queries is exact.
+array of scores; the best k of each row are selected by partition and merged. Queries of at most
+``QUERY_BYTES`` as a dense matrix are broadcast, one pass over the candidates. More of them stay on the
+executors: queries and candidates are dealt into blocks, every pair of blocks is one group of a shuffle, and
+in each group the queries come first and the candidates stream past them. Any number of queries is exact.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part, nor does a
-row with a null id; vectors of unlike length are scored over the terms both have; ties go to the smaller
-id; repeated rows are candidates each, and a query's own id is never one; empty tables give no rows;
-other columns are not read.
+row with a null id; vectors of unlike length are scored over the terms both have; weights whose scores might
+not fit 64 bits are refused with an error; ties go to the smaller id; repeated rows are candidates each, and
+a query's own id is never one; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import bound_batches, lean
+
 SCALE = 64
-QUERY_BLOCK = 65_536
+#: Bytes of a block of queries as a dense matrix, and candidates of a block where both are dealt.
+QUERY_BYTES, CANDIDATES = 32 << 20, 1 << 18
 ROWS, COLUMNS = 128, 4096
 
 
@@ -96,45 +103,87 @@ def _select(scores: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray,
     return np.nonzero(chosen)
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k best other rows of every row where ``is_query``."""
+def _searched(ids: np.ndarray, q: np.ndarray, batches, k: int):
+    """The best k candidates of each query, of batches ``id, w``."""
+    best = _Best(len(ids), k)
+    for batch in batches:
+        names, held = batch.column("id").to_numpy(), _matrix(batch.column("w"), q.shape[1])
+        order = np.argsort(names, kind="stable")
+        names, held = names[order], held[order]
+        for c in range(0, len(names), COLUMNS):
+            some, block = names[c : c + COLUMNS], held[c : c + COLUMNS]
+            picked = []
+            for a in range(0, len(ids), ROWS):
+                s = accumulate(q[a : a + ROWS], block)
+                s[ids[a : a + ROWS, None] == some] = -np.inf if s.dtype == np.float32 else np.iinfo(np.int64).min
+                i, j = _select(s, k, best.least[a : a + ROWS])
+                picked.append((i + a, some[j], s[i, j].astype(np.int64)))
+            best.add(*(np.concatenate(x) for x in zip(*picked, strict=True)))
+    if len(best.row):
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[best.row], best.id, best.score)], ["query_id", "vec_id", "score"])
+
+
+def _dealt(rows: DataFrame, query_blocks: int, candidate_blocks: int, width: int, k: int) -> DataFrame:
+    """Each block of queries against each block of candidates, on the executors."""
+    queries = rows.where("q").select("id", "w", F.pmod(F.xxhash64("id"), F.lit(query_blocks)).alias("a"), _each(candidate_blocks).alias("b"), F.lit(0).alias("side"))
+    candidates = rows.select("id", "w", _each(query_blocks).alias("a"), F.pmod(F.xxhash64("id", "w"), F.lit(candidate_blocks)).alias("b"), F.lit(1).alias("side"))
+
+    def run(batches):
+        parts = (batch.slice(a, b - a) for batch in batches for a, b in _cells(batch))
+        for _, cell in itertools.groupby(parts, lambda x: _cell(x)[:2]):
+            ids, matrix = [], []
+            for part in cell:
+                if _cell(part)[2]:
+                    if ids:
+                        yield from _searched(np.concatenate(ids), np.concatenate(matrix), itertools.chain([part], cell), k)
+                    break
+                ids.append(part.column("id").to_numpy())
+                matrix.append(_matrix(part.column("w"), width))
+
+    every = queries.unionByName(candidates)
+    tasks = min(query_blocks * candidate_blocks, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return every.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "side").mapInArrow(lean(run), "query_id long, vec_id long, score long")
+
+
+def _each(n: int) -> Column:
+    """A row for each number under n."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+
+
+def _cell(batch: pa.RecordBatch) -> tuple[int, int, int]:
+    return tuple(batch.column(c)[0].as_py() for c in ("a", "b", "side"))
+
+
+def _cells(batch: pa.RecordBatch):
+    """Runs of rows of one pair of blocks and one side."""
+    if batch.num_rows:
+        key = np.stack([batch.column(c).to_numpy() for c in ("a", "b", "side")])
+        edges = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        yield from zip(edges, edges[1:], strict=False)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, query_block: int | None = None, candidate_block: int = CANDIDATES) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k best other rows of every row where ``is_query``.
+
+    ``query_block`` is the number of queries of a block, by default as many as ``QUERY_BYTES`` hold.
+    """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), weights(F.col(vector_col), scale).alias("w"), is_query.alias("q")).where("w is not null and id is not null")
-    queries = rows.where("q").select("id", "w")
-    n_blocks = max(1, -(-queries.count() // query_block))
-    found = []
-    for block in range(n_blocks):
-        part = queries if n_blocks == 1 else queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == block)
-        asked = part.toArrow()
-        width = max((len(x) for x in asked["w"].to_pylist()), default=0)
-        if not asked.num_rows:
-            continue
+    bound_batches(spark)
+    largest = F.array_max(F.transform(F.col(vector_col), lambda x: F.abs(F.lit(scale) * x.cast("double")) + 1))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), weights(F.col(vector_col), scale).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"), largest.alias("largest")).where("w is not null and id is not null")
+    known = rows.agg(F.count_if("q").alias("queries"), F.count("*").alias("rows"), F.max(F.size("w")).alias("width"), F.max("largest").alias("largest")).first()
+    width = max(1, known["width"] or 0)
+    if (known["largest"] or 0.0) ** 2 * width >= 2.0**62:
+        raise ValueError(f"components as large as {known['largest'] / scale:.3g} can have scores beyond 64 bits")
+    block = query_block or max(1, QUERY_BYTES // (8 * width))
+    rows = rows.drop("largest")
+    if known["queries"] > block:
+        every = _dealt(rows, -(-known["queries"] // block), max(1, -(-known["rows"] // candidate_block)), width, k)
+    elif known["queries"]:
+        asked = rows.where("q").select("id", "w").toArrow()  # at most a block
         shared = spark.sparkContext.broadcast((asked["id"].to_numpy(), np.concatenate([_matrix(x, width) for x in asked["w"].chunks])))
-
-        def run(batches, shared=shared, width=width):
-            ids, q = shared.value
-            best = _Best(len(ids), k)
-            for batch in batches:
-                names, held = batch.column("id").to_numpy(), _matrix(batch.column("w"), width)
-                order = np.argsort(names, kind="stable")
-                names, held = names[order], held[order]
-                for c in range(0, len(names), COLUMNS):
-                    some, block = names[c : c + COLUMNS], held[c : c + COLUMNS]
-                    picked = []
-                    for a in range(0, len(ids), ROWS):
-                        s = accumulate(q[a : a + ROWS], block)
-                        s[ids[a : a + ROWS, None] == some] = -np.inf if s.dtype == np.float32 else np.iinfo(np.int64).min
-                        i, j = _select(s, k, best.least[a : a + ROWS])
-                        picked.append((i + a, some[j], s[i, j].astype(np.int64)))
-                    best.add(*(np.concatenate(x) for x in zip(*picked, strict=True)))
-            if len(best.row):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids[best.row], best.id, best.score)], ["query_id", "vec_id", "score"])
-
-        found.append(rows.select("id", "w").mapInArrow(run, "query_id long, vec_id long, score long"))
-    if not found:
+        every = rows.select("id", "w").mapInArrow(lean(lambda batches: _searched(*shared.value, batches, k)), "query_id long, vec_id long, score long")
+    else:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
