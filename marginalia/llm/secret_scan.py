@@ -7,7 +7,9 @@ also in what those spans leave of a run.
 Whole texts are scanned, one Arrow function per partition, no shuffle.
 
 Defined cases: a null text counts as empty and has no spans; a null id stays null; repeated rows are
-scanned each; an empty table gives an empty result; other columns pass through ``redact`` untouched.
+scanned each; a very long text is scanned in one pass, in time and memory in proportion to its length (runs of
+key characters are scored in blocks); an empty table gives an empty result; other columns pass through
+``redact`` untouched.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, slices, texts_of
+from marginalia.llm.common import bound_batches, lean, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "markov")
 # The three patterns of the contract.
@@ -94,13 +96,15 @@ _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
 
 
-def llr(text: str, order: int = 2) -> float:
+def llr(text: str, order: int = 2, block: int = 1 << 16) -> float:
     """Mean log-likelihood ratio per character, random strings over ordinary identifiers."""
-    ratio = models(order)
-    x = np.concatenate([np.zeros(order, np.int64), _CODE[np.frombuffer(text.encode(), np.uint8)]])
-    size = len(ALPHABET) + 1
-    context = sum(x[i : len(x) - order + i] * size ** (order - 1 - i) for i in range(order))
-    return float(ratio[context, x[order:]].mean())
+    ratio, size, total = models(order), len(ALPHABET) + 1, 0.0
+    before = np.zeros(order, np.int64)
+    for at in range(0, len(text), block):
+        x = np.concatenate([before, _CODE[np.frombuffer(text[at : at + block].encode(), np.uint8)]])
+        context = sum(x[i : len(x) - order + i] * size ** (order - 1 - i) for i in range(order))
+        total, before = total + float(ratio[context, x[order:]].sum()), x[len(x) - order :]
+    return total / len(text)
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -111,14 +115,25 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 20]
     found += [(m.start(), 2, m.end()) for m in LONG_HEX.finditer(text)]
-    base = sorted(found)
+    found.sort()
+    added, i = [], 0
+    base: list[tuple[int, int]] = []  # spans of patterns, those that touch made one
+    for a, _, b in found:
+        if base and a <= base[-1][1]:
+            base[-1] = (base[-1][0], max(b, base[-1][1]))
+        else:
+            base.append((a, b))
     for m in CANDIDATE.finditer(text):
         a, end = m.span()
-        for s, _, e in [x for x in base if x[0] < end and a < x[2]] + [(end, 0, end)]:
+        while i < len(base) and base[i][1] <= a:
+            i += 1
+        j = i
+        while a < end:
+            s, e = base[j] if j < len(base) and base[j][0] < end else (end, end)
             if s - a >= LEAST and llr(text[a:s]) > threshold:
-                found.append((a, 3, s))
-            a = max(a, e)
-    return sorted(found)
+                added.append((a, 3, s))
+            a, j = e, j + 1
+    return sorted(found + added)
 
 
 def _joined(found) -> str:
@@ -139,7 +154,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def redact_text(text: str, threshold: float = THRESHOLD, mark: str = "[REDACTED]") -> str:
@@ -163,4 +178,4 @@ def redact(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD
                 yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
 
     bound_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
