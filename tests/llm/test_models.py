@@ -1,6 +1,10 @@
 """Classifiers on held-out rows, and defined cases."""
 
+import math
+import tracemalloc
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import quality, toxicity
@@ -52,12 +56,106 @@ def test_counterfactuals(rng):
     assert fair.score("awful trash n1 n2") > 0.5
 
 
+def objective(w, rows, y, cost):
+    return 0.5 * w @ w + sum(c * max(0.0, 1 - k * (w[at] @ v)) for (at, v), k, c in zip(rows, y, cost, strict=True))
+
+
 def test_dual_coordinate_descent():
+    """The primal objective against that of the dual optimum found by projected gradient steps on all variables at once."""
     gen = np.random.default_rng(0)
-    y = np.array([-1, 1] * 40)
-    rows = [(np.array([0, 1, 2]), np.array([1.0, k + gen.normal(0, 0.3), gen.normal()])) for k in y]
-    w = quality.coordinate_descent(rows, y, 3, np.full(80, 1.0))
-    assert all(np.sign(w @ v) == k for (_, v), k in zip(rows, y, strict=True))
+    for size, n in ((3, 80), (12, 60), (40, 30)):
+        y = np.where(np.arange(n) % 2, 1, -1)
+        rows = [(np.sort(gen.choice(size, 3, replace=False)), gen.normal(0, 1, 3) + 0.4 * k) for k in y]
+        cost = gen.uniform(0.2, 3, n)
+        x = np.zeros((n, size))
+        for i, (at, v) in enumerate(rows):
+            x[i, at] = v
+        q = (y[:, None] * x) @ (y[:, None] * x).T
+        alpha, step = np.zeros(n), 1 / np.linalg.eigvalsh(q)[-1]
+        for _ in range(20_000):
+            alpha = np.clip(alpha - step * (q @ alpha - 1), 0, cost)
+        best = alpha.sum() - 0.5 * alpha @ q @ alpha  # no primal value is less
+        found = objective(quality.coordinate_descent(rows, y, size, cost, epochs=500), rows, y, cost)
+        assert best - 1e-6 <= found <= best + 1e-2 * (1 + best)
+
+
+def test_log_count_ratios():
+    gen = np.random.default_rng(2)
+    rows = [np.sort(gen.choice(30, gen.integers(3, 12), replace=False)).astype(np.int32) for _ in range(60)]
+    y = [int(i % 3 == 0) for i in range(60)]
+    model = quality.Model(rows, y, (40, 20))
+    fit = [i for i in range(60) if i % 4 != 3]
+    n = [sum(y[i] == k for i in fit) for k in (0, 1)]
+    for f in range(30):
+        c = [sum(y[i] == k and f in rows[i] for i in fit) for k in (0, 1)]
+        want = math.log((c[1] + 1) / (n[1] + 2)) - math.log((c[0] + 1) / (n[0] + 2)) if sum(c) >= 3 else 0.0
+        assert model.ratio[f] == pytest.approx(want)
+
+
+def test_indicators_in_blocks(rng):
+    """A text in small blocks, and a long one: the same indicators, in little memory."""
+    alphabet = ["a", "ab", " ", "  ", "\n", "A", "9", "é", "日本", "\x1c", "<b>", "\t"]
+    for _ in range(300):
+        text = "".join(rng.choices(alphabet, k=rng.randint(0, 200)))
+        for block in (1, 7, 64):
+            assert quality.indicators(text, block).tolist() == quality.indicators(text).tolist(), (text, block)
+    long = " ".join(rng.choices(["some", "words", "and\nlines"], k=900_000))
+    tracemalloc.start()
+    quality.indicators(long)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * len(long) + (32 << 20)
+
+
+def test_penalised_loss():
+    """The fitted weights against Newton's method on the same loss: weighted logistic, ridge, squared changes under swaps."""
+    gen = np.random.default_rng(4)
+    n, k, penalty = 200, 8, 3.0
+    x = (gen.random((n, k)) < 0.3).astype(float)
+    y = (gen.random(n) < 1 / (1 + np.exp(-(x @ gen.normal(0, 1.5, k) - 0.5)))).astype(int)
+    weight = gen.uniform(0.5, 2, n)
+    plus, minus = np.array([0, 0, 1, 1]), np.array([-1, 1, -1, 0])
+    row, column = np.nonzero(x)
+    model = toxicity.Model([], [], (0, 0))
+    model.words, model.offset = np.arange(k, dtype=np.uint32), 0.0
+    model._fit(row, column, y, weight, plus, minus, penalty)
+
+    def loss(w):
+        s = x @ w[:k] + w[k]
+        change = w[plus] - np.where(minus < 0, 0, w[minus])
+        return (weight * (np.logaddexp(0, s) - y * s)).sum() / n + 1e-5 * w[:k] @ w[:k] + penalty * (change**2).mean()
+
+    full = np.hstack([x, np.ones((n, 1))])
+    swap = np.zeros((4, k + 1))
+    swap[np.arange(4), plus] += 1
+    swap[np.arange(4)[minus >= 0], minus[minus >= 0]] -= 1
+    w = np.zeros(k + 1)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-full @ w))
+        ridge = np.append(np.full(k, 2e-5), 0)
+        gradient = full.T @ (weight * (p - y)) / n + ridge * w + 2 * penalty / 4 * swap.T @ (swap @ w)
+        w -= np.linalg.solve((full * (weight * p * (1 - p) / n)[:, None]).T @ full + np.diag(ridge) + 2 * penalty / 4 * swap.T @ swap, gradient)
+    assert loss(np.append(model.weights, model.offset)) <= loss(w) + 1e-4
+
+
+def test_near_copies_share_a_weight(rng):
+    text = " ".join(rng.choices([f"v{k}" for k in range(500)], k=60))
+    near = text.replace(text.split()[7], "another")
+    texts = [text, near, "quite another text about " + text[:40], text, " ".join(rng.choices([f"u{k}" for k in range(500)], k=60)), ""]
+    letters = [x.translate(str.maketrans("0123456789", "abcdefghij")) for x in texts]
+    share = toxicity.shares_of_copies([toxicity.word_set(x) for x in letters], [0, 0, 0, 1, 0, 0], [toxicity.copy_keys(x) for x in letters])
+    assert share.tolist() == [0.5, 0.5, 1, 1, 1, 1]
+
+
+def test_odd_texts_with_a_trained_model(spark, frame, odd_docs):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    for module in (quality, toxicity):
+        model = module.train(docs, labels, bound=200)
+        rows = module.score(odd_docs, model)
+        assert rows.count() == 8 and rows.where("score is null or isnan(score) or score < 0 or score > 1 or held_out is null").count() == 0
+        assert module.score(frame([], "doc_id long, text string", 1), model).count() == 0
+        nothing = module.train(frame([], "doc_id long, text string", 1), labels)
+        assert module.score(odd_docs, nothing).count() == 8
 
 
 def test_folds(spark):

@@ -10,13 +10,13 @@ from marginalia.llm import substring_dedup as S
 from marginalia.llm import topk_search
 
 
-@pytest.mark.parametrize("block", [topk_search.QUERY_BLOCK, 3])
-def test_top_k(frame, block):
+@pytest.mark.parametrize(("block", "candidates"), [(None, 1), (3, 50), (1, 7), (7, 10**6)])
+def test_top_k(frame, block, candidates):
     gen = np.random.default_rng(3)
     rows = [(i, [float(x) for x in gen.choice([0.0, 0.0, 0.1, -0.2, 0.5], 8)]) for i in range(300)]
     rows += [(300 + i, rows[0][1]) for i in range(40)]
     rows += [(400, None), (420, [float("nan")] * 8), (440, [1.0, None]), (None, [1.0] * 8), (460, [100.0] * 8), (480, [0.5, 0.5]), (500, [])]
-    got = topk_search.top_k(frame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0, 5, query_block=block).collect()
+    got = topk_search.top_k(frame([(*r, "x", 1, 2.0) for r in rows], "vec_id long, embedding array<float>, id string, q int, w double"), F.col("vec_id") % 20 == 0, 5, query_block=block, candidate_block=candidates).collect()
     fit = {i: np.floor(64 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
     for q in fit:
@@ -26,6 +26,11 @@ def test_top_k(frame, block):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_refuses_what_64_bits_cannot_hold(frame):
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.top_k(frame([(0, [1e30]), (1, [1.0])], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0)
+
+
 def test_top_k_empty(frame):
     assert topk_search.top_k(frame([], "vec_id long, embedding array<float>", 1), F.col("vec_id") % 20 == 0).count() == 0
 
@@ -105,6 +110,35 @@ def test_long_shared_runs(frame, rng, vocabulary):
     assert any({*places[r.doc_id]} <= {*range(r.start, r.end)} and {*places[r.other_id]} <= {*range(r.other_start, r.other_end)} for r in between)
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.05])
+def test_recall_of_passages_made_of_common_runs(frame, rng, vocabulary, rate):
+    """Pairs that share a passage, edited at a rate, whose every 5-word run stands in up to twelve other texts: all that plant it know it."""
+    words = lambda n: rng.choices(vocabulary, k=n)
+    rows, want = [], []
+    for _ in range(25):
+        passage = words(rng.randint(60, 160))
+        copy = [rng.choice(vocabulary) if rng.random() < rate else w for w in passage]
+        for x in (passage, copy):
+            want.append((len(rows), range(40, 40 + len(passage))))
+            rows.append((len(rows), " ".join(words(40) + x + words(40))))
+        for _ in range(12):
+            runs = [passage[i : i + 5] + words(1) for i in range(len(passage) - 4) if rng.random() < 0.35]
+            rows.append((len(rows), " ".join(w for run in runs for w in run)))
+    got = S.passages(frame(rows, "doc_id long, text string")).collect()
+    found = [len(covered(got, i) & set(places)) >= 0.8 * len(places) for i, places in want]
+    assert sum(found) >= (len(found) if not rate else 0.9 * len(found)), sum(found) / len(found)
+
+
+def test_odd_passages(frame, odd_docs, rng, vocabulary):
+    """Clashing columns, and a long text that holds a short one's passage far inside."""
+    assert S.passages(odd_docs).where("doc_id <> 4 or other_id <> 4").count() == 0
+    words = lambda n: rng.choices(vocabulary, k=n)
+    passage = words(80)
+    rows = [(1, " ".join(words(150_000) + passage + words(150_000)), 0, "a"), (2, " ".join(words(20) + passage), 1, "b")]
+    got = S.passages(frame(rows, "doc_id long, text string, node long, start string")).collect()
+    assert {*range(150_000, 150_080)} <= covered(got, 1) and {*range(20, 100)} <= covered(got, 2)
+
+
 def test_chains():
     rng = random.Random(5)
     for _ in range(30):
