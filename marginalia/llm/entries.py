@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_counts, topk_search, toxicity
+from marginalia.llm import decontaminate, hard_negatives, jaccard_join, licenses, packing, quality, secret_scan, substring_dedup, token_counts, topk_search, toxicity
 from marginalia.llm.common import table
 from marginalia.llm.oracle import SQL  # noqa: F401
 
@@ -57,4 +57,9 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.digest(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op8_substring_dedup, op9_license_scan, op10_benchmark_decontamination)}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op8_substring_dedup, op9_license_scan, op10_benchmark_decontamination, op11_hard_negatives)}

@@ -47,4 +47,17 @@ DECONTAMINATE = rf"""
     FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-SQL: dict[str, str] = {"op6_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD, "op9_license_scan": licenses.sql(), "op10_benchmark_decontamination": DECONTAMINATE}
+HARD_NEGATIVES = """
+    WITH v AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS w FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+        SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_sum(list_transform(range(1, 1 + least(len(a.w), len(c.w))), lambda i: a.w[i] * c.w[i]))::BIGINT AS score
+        FROM v a JOIN v c ON a.vec_id <> c.vec_id WHERE a.vec_id % 50 = 0
+    ), p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM s JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY rank <= 3
+"""
+
+SQL: dict[str, str] = {"op6_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD, "op9_license_scan": licenses.sql(), "op10_benchmark_decontamination": DECONTAMINATE, "op11_hard_negatives": HARD_NEGATIVES}
