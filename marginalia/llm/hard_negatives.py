@@ -198,6 +198,8 @@ def _searcher(width: int, k: int, band: tuple[int, int] | None, n_bands: int):
     """A function of a block of anchors and batches of candidates; ``band`` None looks for positives."""
 
     def run(anchors: pa.Table, batches):
+        if not anchors.num_rows:
+            return
         ids, labels = (anchors[c].to_numpy() for c in ("id", "label"))
         w = np.concatenate([dense(x, width) for x in anchors["w"].chunks])
         tree = Tree(ids, labels, w, LEAF // 2)
