@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import hard_negatives
+from marginalia.llm import hard_negatives, mixing
 
 NEGATIVES = "vec_id long, embedding array<double>, label int, id string, w double, q int"
 
@@ -70,3 +70,88 @@ def test_intervals_hold():
             low, high = trees[0].interval(a, trees[1], c)
             some = scores[trees[0].start[a] : trees[0].end[a], trees[1].start[c] : trees[1].end[c]]
             assert low <= some.min() and some.max() <= high
+
+
+def shared(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """Targets by sharing anew what those above their bound leave over, round by round."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, left = {}, share * sum(sizes.values())
+    while True:
+        rest = [s for s in names if s not in full]
+        level = left / sum(weight[s] for s in rest) if rest else 0
+        above = [s for s in rest if weight[s] * level > most * sizes[s]]
+        if not above:
+            return {s: float(full[s]) if s in full else weight[s] * level for s in names}
+        for s in above:
+            full[s] = most * sizes[s]
+            left -= full[s]
+
+
+MIXED = "doc_id long, text string, source string, number int, size string, tilt int"
+
+
+def mixture(gen, n=600):
+    out = []
+    for i in range(n):
+        source = gen.choice(["hot", "hot", "hot", "b", "É", "\U0001f600", "", None, "tiny"]) if i > 5 else "tiny"
+        size = int(gen.choice([0, 1, 2, 3, 5, 9, 40])) if source != "tiny" else 1
+        out.append((i if i % 50 else None, None if i % 41 == 0 else " \t".join(f"w{gen.integers(99)}" for _ in range(size)) + "\n", source, 1, "x", None))
+    out += [(1000, "word " * 3000, "b", 1, "x", None), (1001, "one two", "b", 1, "x", None), (1001, "one two", "b", 1, "x", None), (1002, "", "void", 1, "x", None)]
+    return out + [(2000, "five words are in here", "copies", 1, "x", None)] * 40
+
+
+def test_mix(frame):
+    rows = mixture(np.random.default_rng(4))
+    size = lambda t: len((t or "").split())
+    got = mixing.mix(frame(rows, MIXED)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "", r[2])
+    assert sorted(((r.doc_id, r.source, r.size) for r in got), key=key) == sorted(((r[0], r[2], size(r[1])) for r in rows), key=key)
+    sizes = {}
+    for r in rows:
+        sizes[r[2]] = sizes.get(r[2], 0) + size(r[1])
+    want = shared(sizes)
+    for s, total in sizes.items():
+        mine = [r for r in got if r.source == s]
+        assert all(r.source_size == total and abs(r.target - want[s]) < 1e-6 and 0 <= r.taken <= 2 * r.size and r.taken == r.copies * r.size + r.part for r in mine)
+        # where repeated rows stand at the end each gives an equal part
+        assert abs(sum(r.taken for r in mine) - want[s]) <= (40 if s == "copies" else 2), s
+        # the dual optimum: rates are one tilt's, and meet the target
+        assert abs(sum(r.rate * r.size for r in mine) - want[s]) <= 1e-6 * want[s] + 1e-6, s
+        tilts = [np.log(r.rate) / r.size for r in mine if r.size and 0 < r.rate < 2]
+        assert not tilts or max(tilts) - min(tilts) < 1e-9, s
+        assert all(r.copies in (int(np.floor(r.rate)), int(np.floor(r.rate)) + 1) for r in mine if r.size and 0 < r.rate < 2 and not r.part) or s == "copies"
+    again = mixing.mix(frame(sorted(rows, key=key, reverse=True), MIXED, 7)).collect()
+    every = lambda rs: sorted(str(r) for r in rs)
+    assert every(got) == every(again)
+
+
+def test_mix_edges(frame):
+    assert mixing.mix(frame([], MIXED, 1)).count() == 0
+    only = mixing.mix(frame([(1, None, None, 1, "x", None), (2, " ", "a", 1, "x", None)], MIXED)).collect()
+    assert [(r.size, r.target, r.taken) for r in only] == [(0, 0.0, 0), (0, 0.0, 0)]
+    one = mixing.mix(frame([(1, "a b c d", "a", 1, "x", None)], MIXED)).first()
+    assert (one.target, one.taken, one.copies, one.part) == (6.0, 6, 1, 2)
+
+
+def test_mixed_texts(frame):
+    """The documents that come out have the words that the plan says."""
+    rows = [r for r in mixture(np.random.default_rng(8)) if r[0] is not None]
+    df = frame(rows, MIXED)
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    taken = {}
+    for r in out.collect():
+        taken[r.doc_id] = taken.get(r.doc_id, 0) + len(r.text.split())
+    plan = {}
+    for r in mixing.mix(df).collect():
+        plan[r.doc_id] = plan.get(r.doc_id, 0) + r.taken
+    assert {k: v for k, v in plan.items() if v} == taken
+
+
+def test_words(spark):
+    texts = ["", " ", "a", " a\tb\n", "a\x0bb\x0cc\rd", "a\x1cb c d", "\U0001f600 x", None, "é" * 9]
+    import re
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.words(F.col("t")).alias("n")).collect()
+    assert [r.n for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
