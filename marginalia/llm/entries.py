@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontaminate, hard_negatives, jaccard_join, licenses, mixing, packing, quality, secret_scan, substring_dedup, token_counts, topk_search, toxicity
+from marginalia.llm import decontaminate, hard_negatives, jaccard_join, lexical_search, licenses, mixing, packing, quality, secret_scan, substring_dedup, token_counts, topk_search, toxicity
 from marginalia.llm.common import table
 from marginalia.llm.oracle import SQL  # noqa: F401
 
@@ -66,4 +66,8 @@ def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op8_substring_dedup, op9_license_scan, op10_benchmark_decontamination, op11_hard_negatives, op12_source_mix)}
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_secret_scan, op2_packing, op3_quality_classifier, op4_token_counts, op5_toxicity, op6_exact_top_k, op7_ngram_jaccard_join, op8_substring_dedup, op9_license_scan, op10_benchmark_decontamination, op11_hard_negatives, op12_source_mix, op13_lexical_search)}

@@ -60,4 +60,15 @@ HARD_NEGATIVES = """
     QUALIFY rank <= 3
 """
 
-SQL: dict[str, str] = {"op6_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD, "op9_license_scan": licenses.sql(), "op10_benchmark_decontamination": DECONTAMINATE, "op11_hard_negatives": HARD_NEGATIVES}
+LEXICAL = rf"""
+    WITH words AS (SELECT doc_id, regexp_extract_all({FOLD}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
+    asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({FOLD}, '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+    whole AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS l FROM words WHERE len(w) > 0),
+    postings AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM postings, whole GROUP BY term, n_docs),
+    impacts AS (SELECT doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // l))) AS impact FROM postings JOIN weights USING (term), whole),
+    scores AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM impacts JOIN asked USING (term) GROUP BY ALL)
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+SQL: dict[str, str] = {"op6_exact_top_k": TOP_K, "op7_ngram_jaccard_join": JACCARD, "op9_license_scan": licenses.sql(), "op10_benchmark_decontamination": DECONTAMINATE, "op11_hard_negatives": HARD_NEGATIVES, "op13_lexical_search": LEXICAL}

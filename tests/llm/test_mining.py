@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import hard_negatives, mixing
+from marginalia.llm import hard_negatives, lexical_search, mixing
 
 NEGATIVES = "vec_id long, embedding array<double>, label int, id string, w double, q int"
 
@@ -155,3 +155,64 @@ def test_words(spark):
 
     got = spark.createDataFrame([(t,) for t in texts], "t string").select(mixing.words(F.col("t")).alias("n")).collect()
     assert [r.n for r in got] == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+
+
+def split(text):
+    import re
+
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def searched(docs, items, k=50):
+    from math import floor, log
+
+    held = [(i, split(t)) for i, t in docs]
+    n_docs, length = sum(1 for _, w in held if w), sum(len(w) for _, w in held)
+    asked = {}
+    for i, t in items:
+        if i is not None:
+            asked.setdefault(i, set()).update(split(t))
+    out = []
+    for item, terms in asked.items():
+        weight = {t: floor(1000 * log((2 * n_docs + 2) / (2 * sum(1 for _, w in held if t in w) + 1))) for t in terms}
+        scored = []
+        for i, w in held:
+            m = 50 + 50 * len(w) * n_docs // max(1, length)
+            s = sum(weight[t] * (10**9 * w.count(t) // (1000 * w.count(t) + 20 * m)) for t in terms if t in w)
+            if s > 0 and i is not None:
+                scored.append((-s, i))
+        out += [(item, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("block", "matches", "k"), [(1 << 22, 1, 200), (2000, 10, 3)])
+def test_lexical_search(frame, monkeypatch, block, matches, k):
+    monkeypatch.setattr(lexical_search, "MATCHES", matches)
+    gen = np.random.default_rng(2)
+    pick = lambda n: [f"{'Wé日'[x % 3]}{x}" for x in np.minimum(gen.geometric(0.04, n), 90)]
+    docs = [(i, "-".join(pick(int(gen.integers(0, 60))))) for i in range(150)]
+    docs += [(150 + i, docs[3][1]) for i in range(70)]  # ties
+    docs += [(300, None), (301, ""), (302, " .,;\x00"), (None, docs[4][1]), (303, "Wé " * 4000), docs[5], docs[5], (304, "KK w1 W1")]
+    items = [(i, " ".join(pick(12))) for i in range(30)] + [(30, None), (31, ""), (None, "w1 w2"), (32, "nothing here"), (5, "W1, w1! w3"), (5, "W1, w1! w3"), (33, "K")]
+    got = lexical_search.search(frame([(*r, "a", 1, 2) for r in docs], "doc_id long, text string, id string, n int, score int"), frame([(*r, 1) for r in items], "item_id long, text string, rank int"), k, block_bytes=block)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert sorted(map(tuple, got.collect())) == searched(docs, items, k)
+
+
+def test_lexical_search_edges(frame):
+    docs, items = frame([(1, "a b")], "doc_id long, text string"), frame([("x", "b")], "item_id string, text string")
+    assert [tuple(r) for r in lexical_search.search(docs, items).collect()] == searched([(1, "a b")], [("x", "b")])
+    assert lexical_search.search(docs.limit(0), items).count() == 0
+    assert lexical_search.search(docs, items.limit(0)).count() == 0
+
+
+def test_radix():
+    keys = np.random.default_rng(1).integers(0, 2**40, 5000)
+    assert (lexical_search.radix(keys) == np.argsort(keys, kind="stable")).all()
+    assert len(lexical_search.radix(keys[:0])) == 0
+
+
+def test_impacts_of_any_length():
+    """The product of a long text's terms and the number of documents may pass 64 bits."""
+    got = lexical_search.impacts(np.array([10**8]), np.array([0]), np.array([0]), np.array([7]), np.array([9000]), 10**12, 10**15)
+    assert got.tolist() == [9000 * (7 * 10**9 // (7000 + 20 * (50 + 50 * 10**8 * 10**12 // 10**15)))]
