@@ -230,3 +230,30 @@ _CLIP_EVIDENCE = f"""WITH {CLIPS}, x AS (SELECT clip, n, t, score, list_reverse(
     e AS (SELECT clip, {evidence("n", "t", "i", "16", "question", "score", "other", "12.0", "0.25")} AS ev FROM y)"""
 SQL["evidence_16"] = f"{_CLIP_EVIDENCE} SELECT clip, {joined('list_sort(ev.ids)')} AS ids FROM e"
 SQL["evidence_anchors"] = f"{_CLIP_EVIDENCE} SELECT clip, {joined('ev.anchors')} AS anchors, len(ev.ids)::INT AS n FROM e"
+SQL["infer_phases"] = SQL["infer_evidence"]
+SQL["score_matrix_top5"] = f"""WITH v AS (SELECT label, vec_id, {_VECTORS} AS v FROM embeddings), u AS (SELECT label, vec_id, v, sqrt(list_dot_product(v, v)) AS size FROM v),
+    s AS (SELECT a.label AS "group", a.vec_id AS key, b.vec_id AS other, round(list_dot_product(a.v, b.v) / (a.size * b.size), 6) AS score FROM u a JOIN u b ON b.label = (a.label + 1) % 10)
+    SELECT "group", key, (row_number() OVER (PARTITION BY key ORDER BY score DESC, other))::INT AS rank, other, score FROM s QUALIFY rank <= 5"""
+
+
+def _linear(ids: str) -> str:
+    """Option scores of the linear model with the frames of ``ids``."""
+    logit = f"20 * list_avg(list_transform({ids}, lambda j: fr[j + 1][(length(question) + i) % 64 + 1]::DOUBLE))"
+    e = f"list_transform(range(0, len(choices)), lambda i: exp({logit}))"
+    return f"list_transform({e}, lambda v: v / list_sum({e}))"
+
+
+def _cosines(text: str) -> str:
+    return f"list_transform(range(0, n), lambda w: fr[w + 1][length({text}) % 64 + 1]::DOUBLE / size[w + 1])"
+
+
+SQL["infer_arrow_model"] = f"""WITH {MANIFEST}, v AS (SELECT label AS clip, vec_id, embedding FROM embeddings), e AS (SELECT clip, (max(vec_id) + 1)::DOUBLE AS e FROM v GROUP BY clip),
+    p AS (SELECT DISTINCT clip, vec_id, e FROM (SELECT clip, mid, min(vec_id) AS vec_id, min(e) AS e FROM (SELECT e.clip, e, (i + 0.5) * e / 64 AS mid FROM e, range(0, 64) r(i)) b JOIN v USING (clip) WHERE vec_id >= mid AND vec_id < e GROUP BY ALL)),
+    f AS (SELECT p.clip, list(p.vec_id::DOUBLE * 16 / e ORDER BY p.vec_id) AS times, list(embedding ORDER BY p.vec_id) AS fr, list(sqrt(list_dot_product({_VECTORS}, {_VECTORS})) ORDER BY p.vec_id) AS size, count(*) AS n FROM p JOIN v USING (clip, vec_id) GROUP BY p.clip),
+    g AS (SELECT m.*, f.*, {uniform("n", "8")} AS i1 FROM m JOIN f ON f.clip = m.doc_id % 10), a0 AS (SELECT *, {_linear("i1")} AS s1 FROM g), a AS (SELECT *, {margin("s1")} < 0.15 AND len(i1) < least(16, n) AS refined FROM a0),
+    b AS (SELECT *, list_slice({ranked("s1", "len(s1)")}, 1, 2) AS pair FROM a),
+    d AS (SELECT *, {_cosines("question")} AS rq, {_cosines("question || ' ' || choices[pair[1] + 1]")} AS ra, {_cosines("question || ' ' || choices[pair[2] + 1]")} AS rb FROM b),
+    x AS (SELECT *, CASE WHEN refined THEN {evidence("n", "times", "i1", "16", "rq", "ra", "rb", "1.0", "0.25")} END AS ev FROM d),
+    r AS (SELECT *, list_sort(ev.ids) AS i2, CASE WHEN refined THEN {_linear("list_sort(ev.ids)")} END AS s2, CASE WHEN refined THEN 1 + len(choices) ELSE 0 END AS queries FROM x), {finish()}
+    SELECT id, prediction, correct, round({margin("s1")}, 6) AS initial_margin, refined, queries::INT AS selector_queries, input_tokens, frame_presentations, final_frames,
+        {joined("i1")} AS first_frames, coalesce({joined("i2")}, '') AS second_frames, {digits("scores")} AS scores, true AS measured, 'float64' AS dtype FROM t"""

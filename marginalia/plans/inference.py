@@ -44,36 +44,61 @@ def with_mock_pool(manifest: DataFrame, candidates: int) -> DataFrame:
     return manifest.withColumn("times", F.transform(selectors.indices(candidates), lambda i: F.col("start") + 0.25 * i))
 
 
-def _relevance(scorer: Scorer, text: Column, name: str) -> Column:
-    """A scorer's row for a text; it must have a finite score for each frame."""
-    fits = lambda row: F.coalesce((F.size(row) == F.size("times")) & selectors.finite(row), F.lit(False))
-    return selectors.let(scorer.relevance(text, F.col("times")), lambda row: F.when(fits(row), row).otherwise(F.raise_error(F.lit(f"scores of {name} must be finite, one for each frame"))))
+class ColumnModels:
+    """An answerer and a scorer of column functions, as steps of a plan."""
 
+    def __init__(self, answerer: Answerer | None = None, scorer: Scorer | None = None):
+        self.answerer, self.scorer = answerer or MockAnswerer(), scorer or MockScorer()
 
-def _call(name: str, answerer: Answerer, df: DataFrame, ids: str, max_tokens: int) -> DataFrame:
-    """Add the call record of answering with the frames of column ``ids``."""
-    stamps = F.transform(F.col(ids), lambda i: F.get(F.col("times"), i))
-    scores = answerer.scores(F.col("id"), F.col("question"), F.col("choices"), F.col(ids), stamps)
+    def score(self, df: DataFrame, texts: dict[str, Column], when: Column | None = None) -> DataFrame:
+        """Add a row of scores for each named text; it must have a finite score for each frame."""
+        for name, text in texts.items():
+            row = checked_row(self.scorer.relevance(text, F.col("times")), name)
+            df = df.withColumn(name, row if when is None else F.when(when, row))
+        return df
+
+    def call(self, df: DataFrame, name: str, ids: str, max_tokens: int) -> DataFrame:
+        """Add the call record of answering with the frames of column ``ids``."""
+        stamps = stamps_of(ids)
+        scores = self.answerer.scores(F.col("id"), F.col("question"), F.col("choices"), F.col(ids), stamps)
+        return df.withColumn(name, record(scores, self.answerer.tokens(F.col(ids)), ids, stamps, max_tokens))
+
+
+#: What a scorer's row was asked about.
+TEXTS = {"relevance": "the question", "rq": "the question", "ra": "the first option", "rb": "the second option"}
+
+
+def checked_row(row: Column, name: str) -> Column:
+    """A scorer's row for a text, which must have a finite score for each frame."""
+    fits = lambda x: F.coalesce((F.size(x) == F.size("times")) & selectors.finite(x), F.lit(False))
+    return selectors.let(row, lambda x: F.when(fits(x), x).otherwise(F.raise_error(F.lit(f"scores of {TEXTS[name]} must be finite, one for each frame"))))
+
+
+def stamps_of(ids: str) -> Column:
+    return F.transform(F.col(ids), lambda i: F.get(F.col("times"), i))
+
+
+def record(scores: Column, tokens: Column, ids: str, stamps: Column, max_tokens: int) -> Column:
+    """A call's record, checked; null where there are no frames."""
     checked = selectors.let(scores, lambda s: F.when(answers.valid(s, F.size("choices")), s).otherwise(F.raise_error(F.lit("an answerer must return one finite probability per choice, together 1"))))
-    tokens = answerer.tokens(F.col(ids))
     tokens = F.when(tokens <= max_tokens, tokens).otherwise(F.raise_error(F.lit(f"an input has more than {max_tokens} tokens")))  # never cut
-    record = F.struct(checked.alias("scores"), tokens.alias("input_tokens"), F.col(ids).alias("frame_indices"), stamps.alias("timestamps"))
-    return df.withColumn(name, F.when(F.col(ids).isNotNull(), record))
+    return F.when(F.col(ids).isNotNull(), F.struct(checked.alias("scores"), tokens.alias("input_tokens"), F.col(ids).alias("frame_indices"), stamps.alias("timestamps")))
 
 
-def _first(df: DataFrame, config: Config, scorer: Scorer) -> DataFrame:
+def first_frames(df: DataFrame, config: Config, models: ColumnModels) -> DataFrame:
+    """Frames of the first call, as ``ids1``."""
     n, none = F.size("times"), F.lit(None).cast("string")
     if config.method in ("uniform", "evidence", "uniform_refine"):
         frames = config.frames if config.method == "uniform" else config.initial_frames
         return df.withColumn("ids1", selectors.uniform(n, frames)).withColumn("aks_status", none)
-    df = df.withColumn("relevance", _relevance(scorer, F.col("question"), "the question"))
+    df = models.score(df, {"relevance": F.col("question")})
     if config.method == "clip_topk":
         return df.withColumn("ids1", selectors.topk(F.col("relevance"), config.frames)).withColumn("aks_status", none)
     found = selectors.segment_quota(F.col("relevance"), config.frames, config.aks_t1, config.aks_t2, config.aks_depth)
     return df.withColumn("segments", found).withColumn("ids1", F.col("segments.ids")).withColumn("aks_status", F.col("segments.status"))
 
 
-def _second(df: DataFrame, config: Config, scorer: Scorer) -> DataFrame:
+def second_frames(df: DataFrame, config: Config, models: ColumnModels) -> DataFrame:
     """Frames of the second call, null where there is none."""
     empty = F.array().cast("array<int>")
     if config.method == "uniform_refine":
@@ -82,24 +107,32 @@ def _second(df: DataFrame, config: Config, scorer: Scorer) -> DataFrame:
     if config.method == "evidence":
         df = df.withColumn("competitors", F.when(F.col("refined"), answers.competitors(F.col("call1.scores"))))
         text = lambda i: F.concat_ws(" ", "question", F.get(F.col("choices"), F.get(F.col("competitors"), F.lit(i))))
-        for name, of in (("rq", F.col("question")), ("ra", text(0)), ("rb", text(1))):
-            df = df.withColumn(name, F.when(F.col("refined"), _relevance(scorer, of, {"rq": "the question", "ra": "the first option", "rb": "the second option"}[name])))
+        df = models.score(df, {"rq": F.col("question"), "ra": text(0), "rb": text(1)}, F.col("refined"))
         found = selectors.evidence(F.col("times"), F.col("ids1"), config.frames, F.col("rq"), F.col("ra"), F.col("rb"), config.neighbor_seconds, config.relevance_weight)
         df = df.withColumn("found", F.when(F.col("refined"), found))
         return df.withColumn("ids2", F.col("found.ids")).withColumn("anchors", F.coalesce("found.anchors", empty))
     return df.withColumn("ids2", F.lit(None).cast("array<int>")).withColumn("anchors", empty).withColumn("competitors", F.lit(None).cast("array<int>"))
 
 
+def gated(df: DataFrame, config: Config) -> DataFrame:
+    """Add ``initial_margin`` and ``refined``, whether a second call follows."""
+    df = df.withColumn("initial_margin", answers.margin(F.col("call1.scores")))
+    gate = (F.col("initial_margin") < config.margin_threshold) & (F.size("ids1") < F.least(F.lit(config.frames), F.size("times")))
+    return df.withColumn("refined", gate if config.method in ("evidence", "uniform_refine") else F.lit(False))
+
+
 def infer(pool: DataFrame, config: Config, answerer: Answerer | None = None, scorer: Scorer | None = None) -> DataFrame:
     """The trace of every row of ``pool(id, question, choices, times, ...)``, its other columns kept.
 
     At most two calls. The answer column, if there, is never read.
     """
-    answerer, scorer = answerer or MockAnswerer(), scorer or MockScorer()
-    df = _call("call1", answerer, _first(pool, config, scorer), "ids1", config.max_input_tokens).withColumn("initial_margin", answers.margin(F.col("call1.scores")))
-    gate = (F.col("initial_margin") < config.margin_threshold) & (F.size("ids1") < F.least(F.lit(config.frames), F.size("times")))
-    df = df.withColumn("refined", gate if config.method in ("evidence", "uniform_refine") else F.lit(False))
-    df = _call("call2", answerer, _second(df, config, scorer), "ids2", config.max_input_tokens)
+    models = ColumnModels(answerer, scorer)
+    df = gated(models.call(first_frames(pool, config, models), "call1", "ids1", config.max_input_tokens), config)
+    return traced(models.call(second_frames(df, config, models), "call2", "ids2", config.max_input_tokens), config, pool.columns)
+
+
+def traced(df: DataFrame, config: Config, kept: list[str]) -> DataFrame:
+    """The trace of rows whose calls are made, and the columns ``kept``."""
     df = df.withColumn("calls", F.filter(F.array("call1", "call2"), lambda c: c.isNotNull())).withColumn("scores", F.element_at("calls", -1)["scores"])
     queries = F.lit(1 if config.method in ("clip_topk", "aks") else 0)
     if config.method == "evidence":
@@ -121,18 +154,20 @@ def infer(pool: DataFrame, config: Config, answerer: Answerer | None = None, sco
         "frame_presentations": total(lambda c: F.size(c["frame_indices"])),
         "final_frames": F.size(F.element_at("calls", -1)["frame_indices"]),
     }
-    kept = [c for c in pool.columns if c not in trace and c != "times"]
-    return df.select(*kept, *[value.alias(name) for name, value in trace.items()])
+    return df.select(*[c for c in kept if c not in trace and c != "times"], *[value.alias(name) for name, value in trace.items()])
 
 
 def results(manifest: DataFrame, config: Config, elapsed: Column | None = None, node: str = "local") -> DataFrame:
     """Result rows of a run with the stand-in models over a mock pool."""
-    traced = infer(with_mock_pool(manifest, config.candidate_frames), config)
-    gib = F.lit(None).cast("double")
-    return traced.select(
+    found, gib = infer(with_mock_pool(manifest, config.candidate_frames), config), F.lit(None).cast("double")
+    return result_rows(found, F.lit(0.0) if elapsed is None else elapsed, gib, gib, F.struct(F.lit(node).alias("node"), F.lit("float32").alias("resolved_dtype")))
+
+
+def result_rows(found: DataFrame, elapsed: Column, allocated: Column, reserved: Column, execution: Column) -> DataFrame:
+    """A trace as result rows, in the order of their file format."""
+    return found.select(
         "id", "video", "dataset", "split", "question_type", "answer", "start",
         F.when(F.col("answer").isNotNull(), F.col("prediction") == F.col("answer")).alias("correct"),
         *["method", "prediction", "candidate_frames", "selector_queries", "input_tokens", "frame_presentations", "final_frames", "initial_margin", "refined", "scores", "calls", "anchors", "competitors", "aks_status"],
-        (F.lit(0.0) if elapsed is None else elapsed).alias("elapsed_seconds"), gib.alias("peak_vram_allocated_gib"), gib.alias("peak_vram_reserved_gib"),
-        F.struct(F.lit(node).alias("node"), F.lit("float32").alias("resolved_dtype")).alias("execution"),
+        elapsed.alias("elapsed_seconds"), allocated.alias("peak_vram_allocated_gib"), reserved.alias("peak_vram_reserved_gib"), execution.alias("execution"),
     )

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia import views
 from marginalia.config import Config
 from marginalia.functions import answers, selectors, text
-from marginalia.operators import compare, frames, metrics, rules, subset
-from marginalia.plans import inference
+from marginalia.operators import compare, frames, metrics, rules, score_matrix, subset
+from marginalia.plans import inference, phases
+from marginalia.plans.linear import LinearModel
 from marginalia.schema import EXPORT, MANIFEST
 from marginalia.sources import annotations, journal, scratch
 from marginalia.sources import manifest as manifests
@@ -315,9 +316,9 @@ def mock_relevance_matrix(spark, sf_dir):
 # -- gated inference
 
 
-def _trace(df: DataFrame) -> DataFrame:
+def _trace(df: DataFrame, *more: Column) -> DataFrame:
     call = lambda k: listed(F.get(F.col("calls"), F.lit(k))["frame_indices"])
-    return df.select("id", "prediction", "correct", six("initial_margin"), "refined", "selector_queries", "input_tokens", "frame_presentations", "final_frames", call(0).alias("first_frames"), F.coalesce(call(1), F.lit("")).alias("second_frames"), numbers(F.col("scores")).alias("scores"))
+    return df.select("id", "prediction", "correct", six("initial_margin"), "refined", "selector_queries", "input_tokens", "frame_presentations", "final_frames", call(0).alias("first_frames"), F.coalesce(call(1), F.lit("")).alias("second_frames"), numbers(F.col("scores")).alias("scores"), *more)
 
 
 @query
@@ -345,6 +346,47 @@ def infer_segments(spark, sf_dir):
     return views.run(spark, sf_dir, "aks").groupBy("aks_status", "selector_queries").agg(F.count("*").alias("n"))
 
 
+@query
+def infer_phases(spark, sf_dir):
+    """The gated evidence run in two phases: only refined rows are in the second."""
+    rows = views.manifest(spark, sf_dir).drop("doc_id", "n_chars")
+    config = Config(backend="mock", method="evidence", margin_threshold=1.0, limit=0)
+    found = phases.infer(inference.with_mock_pool(rows, config.candidate_frames), config, inference.ColumnModels())
+    gib = F.lit(None).cast("double")
+    return _trace(inference.result_rows(found, F.lit(0.0), gib, gib, F.struct(F.lit("local").alias("node"))))
+
+
+def _vector_clips(spark, sf_dir):
+    """Labels of vectors as clips: up to 64 frames of each, evenly over its vectors, and their times."""
+    vectors = views.table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), F.col("vec_id").cast("double").alias("t"), F.col("embedding").alias("frame"))
+    clips = vectors.groupBy("clip").agg(F.lit(0.0).alias("start"), (F.max("t") + 1).alias("end"))
+    pool = frames.candidate_pool(vectors, clips, 64).join(clips.select("clip", "end"), "clip")
+    return pool.select("clip", (F.row_number().over(Window.partitionBy("clip").orderBy("t")) - 1).alias("idx"), (F.col("t") * 16 / F.col("end")).alias("t"), "frame")
+
+
+def model_run(spark, sf_dir, method="evidence"):
+    """A run of the linear model over all questions, each about the frames of one label."""
+    pool = scratch.written(_vector_clips(spark, sf_dir), "frames")
+    times = pool.groupBy("clip").agg(F.array_sort(F.collect_list("t")).alias("times"))  # 64 at most
+    rows = views.manifest(spark, sf_dir).withColumn("clip", (F.col("doc_id") % 10).cast("int")).drop("doc_id", "n_chars").join(times, "clip")
+    return phases.results(rows, Config(backend="mock", method=method, limit=0), phases.ArrowModels(LinearModel, pool.drop("t")))
+
+
+@query
+def infer_arrow_model(spark, sf_dir):
+    """Two phases with a model in Arrow functions, its scores, its scorer, and that it was measured."""
+    found = model_run(spark, sf_dir)
+    measured = (F.col("elapsed_seconds") > 0) & (F.col("peak_vram_allocated_gib") > 0) & (F.col("peak_vram_reserved_gib") > 0) & F.col("execution.node").isNotNull()
+    return _trace(found, F.coalesce(measured, F.lit(False)).alias("measured"), F.col("execution.resolved_dtype").alias("dtype"))
+
+
+@query
+def score_matrix_top5(spark, sf_dir):
+    """All vectors of one label with all of the next: each one's five of highest cosine."""
+    vectors = views.table(spark, sf_dir, "embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    return score_matrix.top(vectors, vectors.withColumn("group", (F.col("group") + 9) % 10), 5, digits=6)
+
+
 # -- metrics
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,3 +52,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     store, at = place(spark, path)
     store.deleteOnExit(at)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
+
+    The files outlive any executor, and go when the application's file system handle closes.
+    """
+    path = fresh(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
