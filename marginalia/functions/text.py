@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _SPACE = r"(?U)^\s+|\s+$"
 VIDEO_EXTENSIONS = ("mp4", "avi", "mkv", "webm")
@@ -34,9 +37,36 @@ def is_video(path: Column) -> Column:
 
 
 def json_text(x: Column) -> Column:
-    """A string as a JSON string (not for control characters without a short escape)."""
-    quoted = F.to_json(F.array(x))
-    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+    """A string as a JSON string: quotes, backslashes and control characters escaped, all else as it is."""
+    plain = F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    full = plain
+    for i in range(32):
+        full = F.replace(full, F.lit(chr(i)), F.lit(json.dumps(chr(i))[1:-1]))
+    return F.concat(F.lit('"'), F.when(F.rlike(x, F.lit("[\\x00-\\x1f]")), full).otherwise(plain), F.lit('"'))
+
+
+def canonical_json(x: Column, kind: T.DataType) -> Column:
+    """A value as JSON text with sorted keys: structs, maps, arrays, strings, whole numbers, truth values and nulls.
+
+    Numbers with a point are refused: their shortest text differs between engines.
+    """
+    if isinstance(kind, T.StructType):
+        fields = [F.concat(F.lit(json.dumps(f.name, ensure_ascii=False) + ": "), canonical_json(x[f.name], f.dataType)) for f in sorted(kind.fields, key=lambda f: f.name)]
+        text = F.when(x.isNotNull(), F.concat(F.lit("{"), F.concat_ws(", ", *fields), F.lit("}")))
+    elif isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise TypeError("keys must be strings")
+        one = lambda e: F.concat(json_text(e["key"]), F.lit(": "), canonical_json(e["value"], kind.valueType))
+        text = F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_entries(x)), one), ", "), F.lit("}"))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(x, lambda e: canonical_json(e, kind.elementType)), ", "), F.lit("]"))
+    elif isinstance(kind, T.StringType):
+        text = json_text(x)
+    elif isinstance(kind, (T.IntegralType, T.BooleanType)):
+        text = x.cast("string")
+    else:
+        raise TypeError(f"{kind.simpleString()} has no canonical JSON text here")
+    return F.coalesce(text, F.lit("null"))
 
 
 def subset_key(id: Column, seed: int) -> Column:

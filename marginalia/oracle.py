@@ -257,3 +257,5 @@ SQL["infer_arrow_model"] = f"""WITH {MANIFEST}, v AS (SELECT label AS clip, vec_
     r AS (SELECT *, list_sort(ev.ids) AS i2, CASE WHEN refined THEN {_linear("list_sort(ev.ids)")} END AS s2, CASE WHEN refined THEN 1 + len(choices) ELSE 0 END AS queries FROM x), {finish()}
     SELECT id, prediction, correct, round({margin("s1")}, 6) AS initial_margin, refined, queries::INT AS selector_queries, input_tokens, frame_presentations, final_frames,
         {joined("i1")} AS first_frames, coalesce({joined("i2")}, '') AS second_frames, {digits("scores")} AS scores, true AS measured, 'float64' AS dtype FROM t"""
+SQL["canonical_json_rows"] = f"""WITH {MANIFEST} SELECT id, sha256('{{"answer": ' || coalesce(answer::VARCHAR, 'null') || ', "choices": [' || array_to_string(list_transform(choices, lambda c: '"' || c || '"'), ', ')
+    || '], "counts": {{"a": ' || length(question) || ', "z": ' || doc_id || '}}, "id": ' || to_json(id)::VARCHAR || ', "open": ' || ("end" IS NULL)::VARCHAR || ', "question": ' || to_json(question)::VARCHAR || '}}') AS row_sha256 FROM m"""

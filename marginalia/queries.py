@@ -162,6 +162,14 @@ def ids_digest(spark, sf_dir):
     return subset.subset_digest(views.manifest(spark, sf_dir))
 
 
+@query
+def canonical_json_rows(spark, sf_dir):
+    """Each manifest row's digest, of its JSON text with sorted keys."""
+    rows = views.manifest(spark, sf_dir).select("id", "question", "choices", "answer", F.create_map(F.lit("z"), F.col("doc_id"), F.lit("a"), F.length("question").cast("long")).alias("counts"), F.isnull("end").alias("open"))
+    whole = F.struct(*rows.columns)
+    return rows.select("id", F.sha2(text.canonical_json(whole, rows.select(whole.alias("x")).schema["x"].dataType).cast("binary"), 256).alias("row_sha256"))
+
+
 @query
 def pending_anti_join(spark, sf_dir):
     rows = views.manifest(spark, sf_dir)

@@ -12,6 +12,7 @@ import json
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from marginalia.operators import metrics
 from marginalia.schema import EVENT, EXPORT
 from marginalia.sources import scratch
+from marginalia.sources.commits import CommitLog, create_once
 
 
 def elsewhere(path: str | Path) -> bool:
@@ -83,6 +85,7 @@ class Journal:
     def __init__(self, spark: SparkSession, folder: str, schema):
         self.spark, self.folder, self.schema = spark, str(folder), schema
         self.path, self.events_path = f"{folder}/results", f"{folder}/events"
+        self.commits = CommitLog(spark, self.path, f"{folder}/commits")
 
     def open(self, contract: dict, resume: bool) -> None:
         """Start a run, or go on with one of the same contract."""
@@ -92,6 +95,7 @@ class Journal:
                 raise FileNotFoundError("no run to resume")
             store, folder = scratch.place(self.spark, self.folder)
             store.mkdirs(folder)
+            self.commits.begin()
             atomic_json(at, contract)
         elif not resume:
             raise FileExistsError(f"{self.folder} holds a run; resume it")
@@ -102,16 +106,35 @@ class Journal:
         return json.loads(self.spark.read.text(f"{self.folder}/contract.json", wholetext=True).first()[0])
 
     def results(self) -> DataFrame:
-        if not scratch.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], self.schema)
+        """The rows of all commits (of a journal without a log, all its files)."""
+        if self.commits.begun() or not scratch.exists(self.spark, self.path):
+            return self.commits.read(self.schema)
         return self.spark.read.schema(self.schema).parquet(self.path)
 
     def done(self) -> DataFrame:
         return self.results().select("id")
 
-    def put(self, rows: DataFrame) -> None:
-        """Commit rows; those whose id is committed already are left out, so a repeated batch does no harm."""
-        rows.join(self.done(), "id", "left_anti").dropDuplicates(["id"]).select(*self.schema.names).write.mode("append").parquet(self.path)
+    def put(self, rows: DataFrame, batch: str | None = None, new: bool = False) -> bool:
+        """Commit rows, as one batch; says whether it did.
+
+        A batch whose name is committed already is left out, and so are rows whose id is, unless the caller
+        knows that all ids are ``new``. So a repeated batch does no harm.
+        """
+        batch = batch or uuid.uuid4().hex
+        if self.commits.has(batch):
+            return False
+        if not self.commits.begun() and scratch.exists(self.spark, self.path):
+            self._adopt()
+        if not new:
+            rows = rows.join(self.done(), "id", "left_anti").dropDuplicates(["id"])
+        return self.commits.commit(batch, rows.select(*self.schema.names))
+
+    def _adopt(self) -> None:
+        """Bring the files of a journal that was written without a log under one."""
+        store, at = scratch.place(self.spark, self.path)
+        names = [s.getPath().getName() for s in store.listStatus(at) if s.getPath().getName().endswith(".parquet")]
+        create_once(self.spark, f"{self.commits.log}/earlier.json", json.dumps(names))
+        self.commits.begin()
 
     def event(self, name: str, **detail: object) -> None:
         row = [(name, json.dumps(detail, sort_keys=True, allow_nan=False))]

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
+import contextlib
+import hashlib
 import platform
 import signal
+import threading
 import time
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyspark
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from marginalia.config import Config, fingerprint
+from marginalia.operators.numbering import numbered
 from marginalia.operators.subset import pending, subset, subset_digest
 from marginalia.plans.inference import results
-from marginalia.sources import journal, manifest as manifests
+from marginalia.sources import journal, scratch
+from marginalia.sources import manifest as manifests
 
 COMPLETE, PARTIAL = 0, 75
 MAX_SECONDS = 165_600.0
@@ -33,11 +41,35 @@ def contract(config: Config, manifest: DataFrame, selected: DataFrame) -> dict:
     }
 
 
+def steps(waiting: DataFrame, size: int, most: int, path: str) -> tuple[int, DataFrame]:
+    """How many rows wait, and the first ``most`` of them (0: all) in steps of ``size``, in order of video, start and id.
+
+    They are sorted and numbered once and written by step, so that a step reads its own rows and no others.
+    """
+    placed = numbered(waiting, "video", "start", "id", path=f"{path}/numbered")
+    count = placed.count()
+    some = placed.where(F.col("position") < most) if most else placed
+    some.withColumn("step", F.floor(F.col("position") / size).cast("long")).drop("position").write.partitionBy("step").parquet(f"{path}/steps")
+    return count, waiting.sparkSession.read.schema(waiting.schema.add("step", "long")).parquet(f"{path}/steps")
+
+
+@contextlib.contextmanager
+def signals(stop: list[int]) -> Iterator[None]:
+    """Note signals to stop instead of obeying them at once."""
+    numbers = [getattr(signal, n) for n in ("SIGTERM", "SIGINT", "SIGUSR1") if hasattr(signal, n)]
+    before = {n: signal.signal(n, lambda got, _: stop.append(got)) for n in numbers}
+    try:
+        yield
+    finally:
+        for n, handler in before.items():
+            signal.signal(n, handler)
+
+
 def run(spark: SparkSession, config: Config, manifest_path: str, folder: str, resume: bool = False, max_seconds: float = MAX_SECONDS, max_new: int = 0, step: int = 100_000, infer: Callable[[DataFrame, Config], DataFrame] = results) -> int:
     """Run or resume; returns 0 if all rows are committed, else 75.
 
-    Rows are committed in steps of ``step``; a signal or the time limit ends the session after the step
-    under way. The export is written in any case.
+    What is pending is found and numbered once; rows are committed in steps of ``step``. A signal or the time limit
+    ends the session after the step under way. The export is written in any case.
     """
     if max_seconds <= 0 or max_new < 0:
         raise ValueError("max_seconds must be positive, max_new 0 or more")
@@ -45,38 +77,104 @@ def run(spark: SparkSession, config: Config, manifest_path: str, folder: str, re
     selected = subset(table, config.limit, config.seed)
     schema = infer(selected.limit(0), config).schema
     stop: list[int] = []
-    numbers = [getattr(signal, n) for n in ("SIGTERM", "SIGINT", "SIGUSR1") if hasattr(signal, n)]
-    before = {n: signal.signal(n, lambda got, _: stop.append(got)) for n in numbers}
-    began, committed = time.monotonic(), 0
-    try:
-        with journal.lock(folder):
-            book = journal.Journal(spark, folder, schema)
-            terms = contract(config, table, selected)
-            book.open(terms, resume)
-            try:
-                waiting = pending(selected, book.done()).count()
-                if waiting:
-                    book.event("session_start", pending=waiting, resume=resume)
-                while waiting and not stop and time.monotonic() - began < max_seconds and not (max_new and committed >= max_new):
-                    size = min(step, waiting, max_new - committed if max_new else waiting)
-                    book.put(infer(pending(selected, book.done(), size), config))
-                    committed, waiting = committed + size, waiting - size
-                book.event("session_end", new_results=committed, signals=stop, wall_seconds=time.monotonic() - began)
-            except Exception as error:
-                book.event("error", type=type(error).__name__, message=str(error)[:2000])
-                raise
-            finally:
-                summary = journal.export(folder, terms, book.results())
-        return COMPLETE if summary["complete"] else PARTIAL
-    finally:
-        for n, handler in before.items():
-            signal.signal(n, handler)
+    began, committed, session = time.monotonic(), 0, uuid.uuid4().hex
+    with signals(stop), journal.lock(folder):
+        book = journal.Journal(spark, folder, schema)
+        terms = contract(config, table, selected)
+        book.open(terms, resume)
+        try:
+            waiting, todo = steps(pending(selected, book.done(), ordered=False), step, max_new, scratch.fresh(spark, "pending"))
+            if waiting:
+                book.event("session_start", pending=waiting, resume=resume)
+            some = min(waiting, max_new) if max_new else waiting
+            for k in range(-(-some // step)):
+                if stop or time.monotonic() - began >= max_seconds:
+                    break
+                rows = todo.where(F.col("step") == k).drop("step")
+                book.put(infer(rows, config), f"{session}-{k:08d}", new=True)  # pending, and this is the only writer
+                committed += min(step, some - k * step)
+            book.event("session_end", new_results=committed, signals=stop, wall_seconds=time.monotonic() - began)
+        except Exception as error:
+            book.event("error", type=type(error).__name__, message=str(error)[:2000])
+            raise
+        finally:
+            summary = journal.export(folder, terms, book.results())
+    return COMPLETE if summary["complete"] else PARTIAL
 
 
-def stream(source: DataFrame, config: Config, book: journal.Journal, checkpoint: str, infer: Callable[[DataFrame, Config], DataFrame] = results):
+def stream(source: DataFrame, config: Config, book: journal.Journal, checkpoint: str, infer: Callable[[DataFrame, Config], DataFrame] = results, stop: list[int] | None = None, name: str | None = None) -> StreamingQuery:
     """A streaming session over manifest rows: takes what is there, commits each micro-batch once, and ends.
 
-    A repeated batch is anti-joined with the journal, so a result is committed exactly once per id.
+    A batch is committed under the checkpoint's and its own number, so a repeated one is left out; rows whose ids are
+    in the journal already are left out too. With ``stop``, a batch that begins after something was put into the list
+    is refused untouched, and comes again when the stream is resumed.
     """
-    commit = lambda rows, _: book.put(infer(rows, config))
-    return source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    key = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+    def commit(rows: DataFrame, number: int) -> None:
+        if stop:
+            raise Stopped(f"signal {stop[0]}")
+        book.put(infer(rows, config), f"stream-{key}-{number:012d}")
+
+    query = source.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    return (query.queryName(name) if name else query).start()
+
+
+class Stopped(Exception):
+    """Ends a stream between two batches."""
+
+
+class Events(StreamingQueryListener):
+    """Writes the events of one named stream to its journal."""
+
+    def __init__(self, book: journal.Journal, name: str):
+        self.book, self.name, self.run, self.rows, self.batches = book, name, None, 0, 0
+        self.ended = threading.Event()
+
+    def onQueryStarted(self, event):
+        if event.name == self.name:
+            self.run = event.runId
+            self.book.event("session_start", stream=self.name)
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if p.name == self.name and p.numInputRows:
+            self.batches, self.rows = self.batches + 1, self.rows + p.numInputRows
+            self.book.event("batch", batch=p.batchId, rows=p.numInputRows, milliseconds=dict(p.durationMs).get("triggerExecution"))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if self.run is not None and event.runId == self.run:
+            error = event.exception or ""
+            if error and "Stopped: signal" not in error:
+                self.book.event("error", type=event.errorClassOnException or "stream", message=error[:2000])
+            else:
+                self.book.event("session_end", batches=self.batches, rows=self.rows, stopped=bool(error))
+            self.ended.set()
+
+
+def run_stream(source: DataFrame, config: Config, book: journal.Journal, checkpoint: str, infer: Callable[[DataFrame, Config], DataFrame] = results, max_seconds: float = MAX_SECONDS, stop: list[int] | None = None) -> int:
+    """A streaming session with its events in the journal; a signal or the time limit ends it between two batches.
+
+    Returns 0 if all that was there is committed, else 75.
+    """
+    spark, stop, name = source.sparkSession, [] if stop is None else stop, f"session-{uuid.uuid4().hex}"
+    events, began = Events(book, name), time.monotonic()
+    spark.streams.addListener(events)
+    try:
+        with signals(stop):
+            query = stream(source, config, book, checkpoint, infer, stop, name)
+            try:
+                while not query.awaitTermination(0.2):
+                    if time.monotonic() - began >= max_seconds and not stop:
+                        stop.append(0)
+            except StreamingQueryException as error:
+                if "Stopped: signal" not in str(error):
+                    raise
+                return PARTIAL
+            return COMPLETE
+    finally:
+        events.ended.wait(30)  # the listener's events come by another thread
+        spark.streams.removeListener(events)
