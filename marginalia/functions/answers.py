@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marginalia.functions.selectors import finite, indices, let
+from marginalia.functions.text import three_decimals
 
 
 def argmax(scores: Column) -> Column:
@@ -70,6 +71,11 @@ def prompt(question: Column, choices: Column) -> Column:
     return F.concat(F.lit(head), question, F.lit("\n"), F.array_join(lettered, "\n"), F.lit("\nAnswer:"))
 
 
+def captions(times: Column) -> Column:
+    """The text before each frame of an input of many images (fixed wording)."""
+    return F.transform(times, lambda t: F.concat(F.lit("Frame at "), three_decimals(t), F.lit("s:")))
+
+
 def timeline(times: Column) -> Column:
     """Frame times on a virtual timeline of one frame a second, so that uneven ones survive."""
     return F.struct(F.size(times).alias("total_num_frames"), F.lit(1.0).alias("fps"), times.alias("frames_indices"), (F.array_max(times) + 0.001).alias("duration"))

@@ -78,3 +78,30 @@ def ids_digest(ids: Column) -> Column:
     """SHA-256 of the JSON list of sorted ids."""
     listed = F.array_join(F.transform(F.array_sort(ids), json_text), ", ")
     return F.sha2(F.concat(F.lit("["), listed, F.lit("]")).cast("binary"), 256)
+
+
+def three_decimals(x: Column) -> Column:
+    """A number with three decimals, rounded by its exact binary value, halves to even.
+
+    A double under 2^53 is its 53 bits m over a power of two, 2^s; a thousand m fits a long, so shifts and
+    comparisons of longs give the thousandths exactly. Numbers of 2^63 and more are refused.
+    """
+    size = F.abs(x.cast("double"))
+    guess = F.floor(F.log2(size)).cast("int")
+    power = lambda k: F.pow(F.lit(2.0), k)
+    k = F.when(power(guess) > size, guess - 1).when(power(guess + 1) <= size, guess + 1).otherwise(guess)
+    shift = F.greatest(F.lit(1), F.least(F.lit(63), 52 - k))
+    parts = F.struct(shift.alias("s"), (size * power(shift)).cast("long").alias("m"))
+
+    def rounded(p: Column) -> Column:
+        n, s = p["m"] * 1000, p["s"]
+        down = F.call_function("shiftright", n, s)
+        rest, half = n - F.call_function("shiftleft", down, s), F.call_function("shiftleft", F.lit(1).cast("long"), s - 1)
+        return down + ((rest > half) | ((rest == half) & (down % 2 == 1))).cast("long")
+
+    one = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    text = lambda whole, part: F.concat(whole.cast("string"), F.lit("."), F.lpad(part.cast("string"), 3, "0"))
+    under = one(one(parts, rounded), lambda n: text(F.floor(n / 1000).cast("long"), n % 1000))
+    plain = F.when(size < 2.0**-12, "0.000").when(size < 2.0**52, under).when(size < 2.0**63, text(size.cast("long"), F.lit(0))).otherwise(F.raise_error(F.lit("too large for three decimals")))
+    sign = F.when(F.startswith(x.cast("double").cast("string"), F.lit("-")), "-").otherwise("")
+    return F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf"))).when(x.isNotNull(), F.concat(sign, plain))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.operators.metrics import percentiles
+from marginalia.operators.numbering import numbered
+from marginalia.sources.scratch import written
 
 # Settings that two comparable runs share.
 SAME = ("backend", "model_id", "revision", "prompt_version", "max_image_pixels", "candidate_frames")
@@ -71,10 +73,9 @@ def portable_draws(by_video: DataFrame, iterations: int = ITERATIONS, seed: int
 
     Slots come from the videos' own ranks, so draws are spread over the cluster and joined by rank.
     """
-    spark = by_video.sparkSession
-    ranked = by_video.rdd.map(lambda r: (r["first_id"], r["diff"], r["n"])).sortBy(lambda r: r[0]).zipWithIndex().map(lambda x: (x[1], x[0][1], x[0][2]))
-    slots = spark.createDataFrame(ranked, "slot long, diff long, n long")
-    total = by_video.agg(F.count("*").alias("videos"))
+    by_video = written(by_video.select("first_id", "diff", "n"), "clusters")  # computed once
+    slots = numbered(by_video, "first_id", name="slot")
+    total = slots.agg(F.count("*").alias("videos"))
     each = slots.select("slot").join(F.broadcast(total)).select("slot", "videos", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
     bits = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), "iteration", "slot").cast("binary"), 256), 1, 8), 16, 10).cast("long")
     drawn = each.select("iteration", (bits % F.col("videos")).alias("slot")).groupBy("iteration", "slot").agg(F.count("*").alias("times"))

@@ -259,3 +259,33 @@ SQL["infer_arrow_model"] = f"""WITH {MANIFEST}, v AS (SELECT label AS clip, vec_
         {joined("i1")} AS first_frames, coalesce({joined("i2")}, '') AS second_frames, {digits("scores")} AS scores, true AS measured, 'float64' AS dtype FROM t"""
 SQL["canonical_json_rows"] = f"""WITH {MANIFEST} SELECT id, sha256('{{"answer": ' || coalesce(answer::VARCHAR, 'null') || ', "choices": [' || array_to_string(list_transform(choices, lambda c: '"' || c || '"'), ', ')
     || '], "counts": {{"a": ' || length(question) || ', "z": ' || doc_id || '}}, "id": ' || to_json(id)::VARCHAR || ', "open": ' || ("end" IS NULL)::VARCHAR || ', "question": ' || to_json(question)::VARCHAR || '}}') AS row_sha256 FROM m"""
+SQL["session_in_steps"] = SQL["resume_equals_whole"]
+
+
+def segments(name: str, source: str, k: int, t1: float, depth: int) -> str:
+    """CTEs up to ``name(clip, ids, status)``: segments of ``source(clip, score, n)`` halved in turn until their best stand out, and their quotas."""
+    part = "list_slice(q, lo + 1, hi)"
+    quota = f"greatest(1, floor({k} / pow(2, d)))::INT"
+    lead = f"list_sum(list_slice(list_reverse_sort({part}), 1, {quota})) / least({quota}, hi - lo) - list_sum({part}) / (hi - lo)"
+    split = f"d < deepest AND hi - lo >= 2 AND NOT {lead} > {t1}"
+    best = f"list_slice(list_transform(list_sort(list_transform(range(lo, hi), lambda i: struct_pack(s := -q[i + 1], i := i))), lambda r: r.i::INT), 1, floor({k} / pow(2, d))::INT)"
+    return f"""{name}_x AS (SELECT clip, n, n <= {k} OR list_max(score) = list_min(score) AS flat, least({depth}, floor(log2(n) + 1e-9))::INT AS deepest,
+            list_transform(score, lambda x: (x - list_min(score)) / (list_max(score) - list_min(score))) AS q FROM {source}),
+        {name}_s(clip, lo, hi, d) AS (SELECT clip, 0, n::INT, 0 FROM {name}_x WHERE NOT flat
+            UNION ALL SELECT clip, CASE h WHEN 0 THEN lo ELSE (lo + hi) // 2 END, CASE h WHEN 0 THEN (lo + hi) // 2 ELSE hi END, d + 1 FROM {name}_s JOIN {name}_x USING (clip), (SELECT unnest([0, 1]) AS h) WHERE {split}),
+        {name}_p AS (SELECT clip, list_sort(list_distinct(flatten(list({best})))) AS ids FROM {name}_s JOIN {name}_x USING (clip) WHERE NOT ({split}) GROUP BY clip),
+        {name} AS (SELECT clip, CASE WHEN flat OR len(ids) = 0 THEN {uniform("n", str(k))} ELSE ids END AS ids,
+            CASE WHEN flat THEN 'short_or_constant_uniform' WHEN len(ids) = 0 THEN 'zero_quota_uniform' WHEN deepest <> {depth} THEN 'depth_capped_short_clip' ELSE 'upstream' END AS status FROM {name}_x LEFT JOIN {name}_p USING (clip))"""
+
+
+_RECURSIVE_CLIPS = CLIPS.strip()
+SQL["segment_quota_adaptive"] = f"""WITH RECURSIVE {_RECURSIVE_CLIPS}, {segments("a", "c", 16, 0.8, 4)}, {segments("b", "c", 16, 0.3, 4)}
+    SELECT clip, {joined("a.ids")} AS ids, a.status AS status, {joined("b.ids")} AS low_ids FROM a JOIN b USING (clip)"""
+SQL["aks_guards"] = f"""WITH RECURSIVE {_RECURSIVE_CLIPS}, g0 AS (SELECT clip, list_slice(score, 1, clip % 40 + 1) AS part FROM c),
+    g AS (SELECT clip, CASE WHEN clip % 5 = 0 THEN list_transform(part, lambda x: 0.5::DOUBLE) ELSE part END AS score, len(part) AS n FROM g0), {segments("a", "g", 8, 0.8, 4)}, {segments("b", "c", 8, 9.0, 4)}
+    SELECT clip, a.status AS status, len(a.ids)::INT AS n, len(b.ids)::INT AS n_zero, b.status AS zero_status FROM a JOIN b USING (clip)"""
+SQL["infer_segments"] = f"""WITH RECURSIVE {MANIFEST.strip()}, l AS (SELECT length(question) AS clip, count(*) AS rows FROM m GROUP BY 1),
+    c AS (SELECT clip, 64 AS n, list_transform(range(0, 64), lambda w: sin(w * 0.7::DOUBLE + clip)) AS score FROM l), {segments("a", "c", 16, 0.8, 5)}
+    SELECT status AS aks_status, 1::INT AS selector_queries, sum(rows)::BIGINT AS n FROM a JOIN l USING (clip) GROUP BY 1"""
+_CAPTIONS = "list_transform(t, lambda x: 'Frame at ' || printf('%.3f', x * 3600) || 's:')"
+SQL["frame_captions"] = f"WITH {CLIPS} SELECT clip, sha256(array_to_string({_CAPTIONS}, chr(10))) AS captions_sha256, array_to_string(list_slice({_CAPTIONS}, 1, 3), '|') AS first FROM c"

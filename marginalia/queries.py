@@ -14,7 +14,7 @@ from marginalia.operators import compare, frames, metrics, rules, score_matrix,
 from marginalia.plans import inference, phases
 from marginalia.plans.linear import LinearModel
 from marginalia.schema import EXPORT, MANIFEST
-from marginalia.sources import annotations, journal, scratch
+from marginalia.sources import annotations, files, journal, scratch
 from marginalia.sources import manifest as manifests
 from marginalia.streaming import resume
 
@@ -236,6 +236,14 @@ def aks_guards(spark, sf_dir):
     return clips.select("clip", found["status"].alias("status"), F.size(found["ids"]).alias("n"), F.size(zero["ids"]).alias("n_zero"), zero["status"].alias("zero_status"))
 
 
+@query
+def segment_quota_adaptive(spark, sf_dir):
+    """Segments that stand out stay whole, by the protocol's own thresholds."""
+    found = selectors.segment_quota(F.col("score"), 16, depth=4)
+    low = selectors.segment_quota(F.col("score"), 16, t1=0.3, depth=4)
+    return _clips(spark, sf_dir).select("clip", listed(found["ids"]).alias("ids"), found["status"].alias("status"), listed(low["ids"]).alias("low_ids"))
+
+
 @query
 def segment_quota(spark, sf_dir):
     found = selectors.segment_quota(F.col("score"), 16, t1=9.0, depth=4)
@@ -313,6 +321,12 @@ def frame_timeline(spark, sf_dir):
     return _clips(spark, sf_dir).select("clip", line["total_num_frames"].alias("n"), line["fps"].alias("fps"), six("duration", line["duration"]))
 
 
+@query
+def frame_captions(spark, sf_dir):
+    """What is said before each frame, in seconds."""
+    return _clips(spark, sf_dir).select("clip", F.sha2(F.array_join(answers.captions(F.transform("t", lambda t: t * 3600)), "\n").cast("binary"), 256).alias("captions_sha256"), F.array_join(F.slice(answers.captions(F.transform("t", lambda t: t * 3600)), 1, 3), "|").alias("first"))
+
+
 @query
 def mock_relevance_matrix(spark, sf_dir):
     rows = views.manifest(spark, sf_dir)
@@ -506,6 +520,26 @@ def resume_equals_whole(spark, sf_dir):
     return book.results().select("id", "prediction", "correct", "refined", "input_tokens", "final_frames", numbers(F.col("scores")).alias("scores"))
 
 
+@query
+def file_digests(spark, sf_dir):
+    """The digest of every file of the tables."""
+    return files.digests(spark, sf_dir).select("file", "length", "sha256")
+
+
+@query
+def session_in_steps(spark, sf_dir):
+    """The same run by two sessions of several steps each, of which the first is ended early."""
+    folder = scratch.fresh(spark, "session")
+    rows = views.manifest(spark, sf_dir).select(*MANIFEST.names)
+    rows.write.option("ignoreNullFields", "false").json(f"{folder}/manifest")
+    config = Config(backend="mock", method="evidence", margin_threshold=1.0, limit=0)
+    step = max(1, rows.count() // 5)
+    for more in ({"max_new": 2 * step}, {"resume": True}):
+        resume.run(spark, config, f"{folder}/manifest", f"{folder}/run", step=step, **more)
+    _, found = journal.read_run(spark, f"{folder}/run", inference.results(rows.limit(0), config).schema)
+    return found.select("id", "prediction", "correct", "refined", "input_tokens", "final_frames", numbers(F.col("scores")).alias("scores"))
+
+
 @query
 def manifest_json_lines(spark, sf_dir):
     """A manifest written as JSON lines and read again with its checks."""

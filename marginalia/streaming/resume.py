@@ -56,7 +56,8 @@ def steps(waiting: DataFrame, size: int, most: int, path: str) -> tuple[int, Dat
 @contextlib.contextmanager
 def signals(stop: list[int]) -> Iterator[None]:
     """Note signals to stop instead of obeying them at once."""
-    numbers = [getattr(signal, n) for n in ("SIGTERM", "SIGINT", "SIGUSR1") if hasattr(signal, n)]
+    here = threading.current_thread() is threading.main_thread()  # only there can signals be taken
+    numbers = [getattr(signal, n) for n in ("SIGTERM", "SIGINT", "SIGUSR1") if here and hasattr(signal, n)]
     before = {n: signal.signal(n, lambda got, _: stop.append(got)) for n in numbers}
     try:
         yield

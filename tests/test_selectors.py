@@ -89,3 +89,27 @@ def test_answers(spark):
     row = one(spark, tie=answers.argmax(s(0.2, 0.4, 0.4)), pair=answers.competitors(s(0.2, 0.4, 0.4)), margin=answers.margin(s(0.1, 0.6, 0.3)), ok=answers.valid(s(0.5, 0.5), 2), nan=answers.valid(s(float("nan"), 0.4), 2), short=answers.valid(s(1.0), 2), over=answers.valid(s(1.5, -0.5), 2))
     assert (row.tie, row.pair, round(row.margin, 9)) == (1, [1, 2], 0.3)
     assert (row.ok, row.nan, row.short, row.over) == (True, False, False, False)
+
+
+def test_adaptive_segments_of_seeded_scores(spark):
+    """The split itself, with the protocol's thresholds and lower ones, against a recursion over lists."""
+    rng = random.Random(7)
+    arrays = [[rng.random() for _ in range(64)] for _ in range(20)] + [[rng.random() ** 9 for _ in range(50 + i)] for i in range(10)] + [[5.0] + [0.0] * 39, [0.5] * 64, [0.1, 0.2, 0.3]]
+
+    def parts(q, lo, hi, d, deepest, t1, k):
+        some = sorted(q[lo:hi], reverse=True)
+        quota = max(1, int(k / 2**d))
+        if d == deepest or hi - lo < 2 or sum(some[:quota]) / min(quota, len(some)) - sum(q[lo:hi]) / len(some) > t1:
+            return sorted(range(lo, hi), key=lambda i: (-q[i], i))[: int(k / 2**d)]
+        mid = (lo + hi) // 2
+        return parts(q, lo, mid, d + 1, deepest, t1, k) + parts(q, mid, hi, d + 1, deepest, t1, k)
+
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(arrays)], "i int, s array<double>").repartition(3)
+    for k, t1, depth in ((16, 0.8, 4), (16, 0.3, 4), (8, 0.2, 3), (16, 0.4, 5)):
+        for r in df.select("s", selectors.segment_quota(F.col("s"), k, t1=t1, depth=depth).alias("x")).collect():
+            if len(r.s) <= k or min(r.s) == max(r.s):
+                assert r.x.status == "short_or_constant_uniform"
+                continue
+            q = [(x - min(r.s)) / (max(r.s) - min(r.s)) for x in r.s]
+            want = sorted(set(parts(q, 0, len(q), 0, depth, t1, k)))
+            assert (r.x.ids, r.x.status) == (want, "upstream") if want else r.x.status == "zero_quota_uniform"
