@@ -43,7 +43,9 @@ def digests(spark: SparkSession, root: str, whole: int | None = None) -> DataFra
     """
     local = _qualified(spark, root).startswith("file:")
     whole = whole or (WHOLE if local else WHOLE_ELSEWHERE)
-    files = inside(listed(spark, root), root) if local else listed(spark, root)
+    files = listed(spark, root)
+    if local:
+        require_inside(files.select("path"), root)
     small = files.where(F.col("length") <= whole).select("file", "length", F.sha2("content", 256).alias("sha256"))
 
     def run(batches):
@@ -62,12 +64,12 @@ def digests(spark: SparkSession, root: str, whole: int | None = None) -> DataFra
     return small.unionByName(large.mapInArrow(run, "file string, length long, sha256 string"))
 
 
-def inside(files: DataFrame, root: str) -> DataFrame:
-    """Local files, each checked to lie below ``root`` when all links are followed."""
+def require_inside(paths: DataFrame, root: str) -> None:
+    """Raise unless all local files lie below ``root`` when links are followed."""
     true_root = os.path.realpath(re.sub("^file:(//)?", "", root))
-    check = F.udf(lambda path: os.path.commonpath([true_root, os.path.realpath(re.sub("^file:/*", "/", path))]) == true_root, "boolean")  # a row a file
-    wrong = F.raise_error(F.concat(F.lit("a link leads out of the folder: "), "path"))
-    return files.withColumn("path", F.when(check("path"), F.col("path")).otherwise(wrong))
+    below = F.udf(lambda path: os.path.commonpath([true_root, os.path.realpath(re.sub("^file:/*", "/", path))]) == true_root, "boolean")  # a row a file
+    if wrong := paths.where(~below("path")).limit(5).collect():
+        raise ValueError("a link leads out of the folder: " + ", ".join(r["path"] for r in wrong))
 
 
 def resolved(rows: DataFrame, found: DataFrame, column: str = "video") -> DataFrame:
