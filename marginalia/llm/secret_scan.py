@@ -1,9 +1,10 @@
 """Secret scans: fixed patterns, and two character Markov models compared by log-likelihood ratio.
 
 One model is trained on labelled random strings, one on labelled ordinary identifiers; a run of key
-characters whose mean log-likelihood ratio per character passes a threshold is a secret. The patterns'
-spans (``assign, access, hex``) always stay; the models add spans (``markov``) where no pattern's span is,
-also in what those spans leave of a run.
+characters whose mean log-likelihood ratio per character passes a threshold is a secret (``markov``). In any
+other run the highest-scoring segments are secrets (``part``), so that a key is found behind or before ordinary
+characters. The patterns' spans (``assign, access, hex``) always stay; the models add spans where no pattern's
+span is, also in what those spans leave of a run.
 Whole texts are scanned, one Arrow function per partition, no shuffle.
 
 Defined cases: a null text counts as empty and has no spans; a null id stays null; repeated rows are
@@ -18,6 +19,7 @@ import hashlib
 import random
 import re
 import string
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.common import bound_batches, lean, slices, texts_of
 
-KINDS = ("assign", "access", "hex", "markov")
+KINDS = ("assign", "access", "hex", "markov", "part")
 # The three patterns of the contract.
 ASSIGN = re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -39,6 +41,9 @@ LEAST = 20
 CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 #: Mean log-likelihood ratio in nats a character above which a candidate is a secret.
 THRESHOLD = 0.6
+#: A segment of a run: each character's ratio, at most ``CLIP`` either way, counts less ``OFFSET``; one that comes to ``SEGMENT`` is
+#: a secret, and ends where the sum is ``DROP`` below its best. Chosen on labelled strings the models were not trained on.
+OFFSET, CLIP, SEGMENT, DROP = 0.3, 3.0, 18.0, 9.0
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
 #: Words the ordinary identifiers of the training sample are made of.
 WORDS = (
@@ -70,6 +75,7 @@ def labelled_samples(seed: int = 7, n: int = 4000) -> list[tuple[str, int]]:
         out.append((rng.choice(["-", "=", "_", "/", "+", "-=", "a", "x", "0"]) * rng.randint(10, 40), 0))
         out.append(("".join(rng.choices("0123456789", k=rng.randint(6, 30))), 0))
         out.append((f"{rng.randrange(1990, 2030)}-{rng.randrange(1, 13):02}-{rng.randrange(1, 29):02}/{rng.randrange(10**4)}", 0))
+    out += [(c * rng.randint(10, 60), 0) for c in ALPHABET for _ in range(30 * n // 4000)]
     return out
 
 
@@ -96,15 +102,41 @@ _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, len(ALPHABET) + 1)
 
 
-def llr(text: str, order: int = 2, block: int = 1 << 16) -> float:
-    """Mean log-likelihood ratio per character, random strings over ordinary identifiers."""
-    ratio, size, total = models(order), len(ALPHABET) + 1, 0.0
+def ratios(text: str, order: int = 2, block: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Log-likelihood ratios of a run's characters, random strings over ordinary identifiers, a block at a time."""
+    ratio, size = models(order), len(ALPHABET) + 1
     before = np.zeros(order, np.int64)
     for at in range(0, len(text), block):
         x = np.concatenate([before, _CODE[np.frombuffer(text[at : at + block].encode(), np.uint8)]])
         context = sum(x[i : len(x) - order + i] * size ** (order - 1 - i) for i in range(order))
-        total, before = total + float(ratio[context, x[order:]].sum()), x[len(x) - order :]
-    return total / len(text)
+        yield ratio[context, x[order:]]
+        before = x[len(x) - order :]
+
+
+def llr(text: str, order: int = 2, block: int = 1 << 16) -> float:
+    """Mean log-likelihood ratio per character."""
+    return sum(float(r.sum()) for r in ratios(text, order, block)) / len(text)
+
+
+def segments(text: str, least: int = LEAST) -> list[tuple[int, int]]:
+    """The highest-scoring segments of a run, of at least ``least`` characters, in one pass."""
+    out: list[tuple[int, int]] = []
+    start, end, at, total, best = 0, 0, 0, 0.0, 0.0
+
+    def close() -> None:
+        if best >= SEGMENT and end - start >= least:
+            out.append((start, end))
+
+    for block in ratios(text):
+        for value in np.clip(block, -CLIP, CLIP).tolist():
+            at, total = at + 1, total + value - OFFSET
+            if total > best:
+                best, end = total, at
+            elif total <= 0 or total < best - DROP:
+                close()
+                start, total, best = at, 0.0, 0.0
+    close()
+    return out
 
 
 def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
@@ -130,8 +162,12 @@ def spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]
         j = i
         while a < end:
             s, e = base[j] if j < len(base) and base[j][0] < end else (end, end)
-            if s - a >= LEAST and llr(text[a:s]) > threshold:
-                added.append((a, 3, s))
+            if s - a >= LEAST:
+                run = text[a:s]
+                if llr(run) > threshold:
+                    added.append((a, 3, s))
+                else:
+                    added += [(a + x, 4, a + y) for x, y in segments(run)]
             a, j = e, j + 1
     return sorted(found + added)
 
@@ -141,20 +177,20 @@ def _joined(found) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``id_col, n_assign, n_access, n_hex, n_markov, base_sha256, spans`` for every row."""
+    """``id_col, n_assign, n_access, n_hex, n_markov, n_part, base_sha256, spans`` for every row."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 every = [spans(x, threshold) for x in texts_of(part)]
-                counts = [pa.array([sum(s[1] == k for s in x) for x in every], pa.int64()) for k in range(4)]
+                counts = [pa.array([sum(s[1] == k for s in x) for x in every], pa.int64()) for k in range(len(KINDS))]
                 sha = [hashlib.sha256(_joined(s for s in x if s[1] < 3).encode()).hexdigest() for x in every]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *counts, pa.array(sha, pa.string()), pa.array([_joined(x) for x in every], pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_markov", "base_sha256", "spans"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), *counts, pa.array(sha, pa.string()), pa.array([_joined(x) for x in every], pa.string())], ["id", "n_assign", "n_access", "n_hex", "n_markov", "n_part", "base_sha256", "spans"])
 
     bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(lean(run), f"id {kind}, n_assign long, n_access long, n_hex long, n_markov long, n_part long, base_sha256 string, spans string").withColumnRenamed("id", id_col)
 
 
 def redact_text(text: str, threshold: float = THRESHOLD, mark: str = "[REDACTED]") -> str:
