@@ -1,8 +1,8 @@
 """Encoding many texts with a tokenizer file by encoding each distinct piece once.
 
 Texts are cut where the tokenizer itself always cuts, so the ids of a text are the ids of its pieces in
-order. Unseen pieces of a batch are encoded together, in batches balanced by bytes; frequent pieces are
-remembered between batches, up to a bound.
+order. Unseen pieces of a batch are encoded together, in batches balanced by bytes; a long piece is cut again
+where letters, digits and signs meet. Frequent pieces are remembered between batches, up to a bound of bytes.
 """
 
 from __future__ import annotations
@@ -21,10 +21,18 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Pieces of up to so many characters, all Latin letters, digits, signs, spaces or line ends, are cut into words here; all others go to the library whole.
 LONG_PIECE = 256
 BATCH_BYTES = 1 << 16
+#: A piece the library is given is cut at the first safe place after so many characters; longer ones are not remembered.
+CUT, REMEMBERED = 1024, 64
+#: Bytes that remembered pieces may take in a worker, as estimated; ``ENTRY`` is an entry's own.
+HELD_BYTES, ENTRY = 96 << 20, 200
 #: Byte 0 as byte-level vocabularies spell it. No simple piece holds it, so it can stand between words.
 MARK = " \u0100 "
 _SPACE_CUT = re.compile(r"(?= \S)")
 _PLAIN = re.compile(f"[\n !-~\xa1-\xac\xae-\u024f]{{0,{LONG_PIECE}}}\\Z").match
+#: Between a letter or digit and another kind of character every pre-tokenizer here cuts (marks may join a letter); of characters
+#: whose kind no version of Unicode changes.
+_OLD, _SIGNS = r"[\x00-\u9fff\uac00-\ud7a3]", r"[!-~\u2010-\u205e\u3001-\u303f\uff01-\uff5e]"
+_SAFE = regex.compile(rf"(?V1)(?<=[\p{{L}}&&{_OLD}])(?=[{_SIGNS}--\p{{L}}--\p{{M}}])|(?<=[\p{{N}}&&{_OLD}])(?=[{_SIGNS}--\p{{N}}--\p{{M}}])")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _SPACED = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
@@ -73,10 +81,11 @@ class PieceEncoder:
 
     ``style`` is found from the file: ``words`` (white space dropped, lower-cased words), ``spaced``
     (byte-level, a space belongs to the word after it) or ``whole`` (no cut is known to be safe; texts are
-    encoded whole). ``limit`` bounds the remembered pieces; beyond it the less used half is forgotten.
+    encoded whole). ``limit`` and ``held_bytes`` bound the remembered pieces; beyond either the less used half and all
+    long ones are forgotten. A batch of texts adds at most some tens of times its bytes before that.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 300_000, held_bytes: int = HELD_BYTES):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -89,7 +98,8 @@ class PieceEncoder:
         if len(mark) != 1:
             self.style = "whole"
         self.mark = mark[0]
-        self.limit, self.serial = limit, itertools.count()
+        self.limit, self.held_bytes, self.serial = limit, held_bytes, itertools.count()
+        self.parts = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self._forget()
 
     @staticmethod
@@ -111,6 +121,24 @@ class PieceEncoder:
         self.used = np.zeros(0, np.int64)  # of pieces
         self.piece_words = _Ragged(np.int32)
         self.word_ids = _Ragged(np.uint32)
+        self.keys = 0  # bytes of pieces and words
+
+    def held(self) -> int:
+        """Bytes of what is remembered."""
+        return self.keys + ENTRY * (len(self.memo) + len(self.words)) + self.piece_words.flat.nbytes + self.word_ids.flat.nbytes
+
+    def _whole(self, text: str) -> list[str]:
+        """A text for the library in parts that it would cut itself; special strings stay whole."""
+        if len(text) <= CUT or self.style == "whole":
+            return [text]
+        out = []
+        for part in self.parts.split(text) if self.parts else [text]:
+            at = 0
+            while len(part) - at > CUT and (m := _SAFE.search(part, at + CUT)):
+                out.append(part[at : m.start()])
+                at = m.start()
+            out.append(part[at:])
+        return [x for x in out if x]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and the bounds of each text in them (one more than texts)."""
@@ -126,7 +154,7 @@ class PieceEncoder:
         return np.diff(np.concatenate([[0], np.cumsum(self.word_ids.sizes()[words])])[ends[bounds]])
 
     def _slots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.memo) > self.limit:
+        if len(self.memo) > self.limit or self.held() > self.held_bytes:
             self._shrink()
         get, all_slots, bounds = self.memo.__getitem__, [], [0]
         for text in texts:
@@ -175,10 +203,12 @@ class PieceEncoder:
             if cut and _PLAIN(text) and not ("<" in text and any(x in text for x in self.special)):
                 found = list(map(get, cut.findall(text.lower() if lower else text)))
             else:
-                whole.append(text)
-                found = [get(("whole", next(self.serial)))]
+                parts = self._whole(text)
+                whole += parts
+                found = [get(("whole", next(self.serial))) for _ in parts]
             flat += found
             sizes.append(len(found))
+            self.keys += len(piece) if type(piece) is bytes else 2 * len(piece)
         self.piece_words.append(flat, sizes)
         queue, self.words.queue = self.words.queue, []
         new = [w for w in queue if type(w) is str]
@@ -200,9 +230,10 @@ class PieceEncoder:
         self.word_ids.append(np.concatenate(parts), [len(x) for x in parts])
 
     def _shrink(self) -> None:
-        """Keep the more used half of the pieces, and their words."""
+        """Keep the more used half of the pieces, and their words; no long ones."""
         pieces, words, used, piece_words, word_ids = list(self.memo), list(self.words), self.used, self.piece_words, self.word_ids
         keep = np.flatnonzero(used > np.partition(used, len(used) // 2)[len(used) // 2])
+        keep = keep[[len(pieces[i]) <= REMEMBERED for i in keep.tolist()]] if len(keep) else keep
         self._forget()
         flat, ends = piece_words.take(keep)
         kept, flat = np.unique(flat, return_inverse=True)
@@ -210,6 +241,7 @@ class PieceEncoder:
             self.memo[pieces[i]]
         for i in kept.tolist():
             self.words[words[i]]
+        self.keys = sum(2 * len(x) for x in self.memo)
         self.memo.queue, self.words.queue = [], []
         self.piece_words.append(flat, np.diff(ends))
         ids, ends = word_ids.take(kept)
