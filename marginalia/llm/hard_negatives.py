@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import bound_batches, lean, meet, written
-from marginalia.llm.topk_search import _Best, _select
+from marginalia.llm.topk_search import _Best, _select, exact
 
 SCALE, POSITIVES, NEGATIVES, BAND = 256, 5, 3, (50, 95)
 #: Bytes of a block of anchors and of candidates as dense matrices; rows of a leaf.
@@ -84,15 +84,9 @@ def _farthest(w: np.ndarray, point: np.ndarray) -> int:
     return int(((w - point) ** 2).sum(1).argmax())
 
 
-def exact(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
-    """Inner products of whole numbers held as doubles; ``limit`` bounds the product of any two norms."""
-    if limit < 2.0**52:
-        return a @ b.T
-    whole = np.vectorize(int, otypes=[object])
-    scores = whole(a) @ whole(b).T
-    if abs(scores.max()) > HIGHEST or abs(scores.min()) > HIGHEST:
-        raise ValueError("a score does not fit 64 bits")
-    return scores.astype(np.int64)
+def products(a: np.ndarray, b: np.ndarray, limit: float) -> np.ndarray:
+    """Exact inner products of whole numbers held as doubles; ``limit`` bounds the product of any two norms."""
+    return a @ b.T if limit < 2.0**52 else exact(a, b)
 
 
 class Search:
@@ -134,7 +128,7 @@ class Search:
     def _score(self, a: int, rows: Tree, c: int) -> None:
         mine, best = self.tree, self.best[a]
         i, j = slice(mine.start[a], mine.end[a]), slice(rows.start[c], rows.end[c])
-        scores = exact(mine.w[i], rows.w[j], mine.norm[a] * rows.norm[c])
+        scores = products(mine.w[i], rows.w[j], mine.norm[a] * rows.norm[c])
         out = -np.inf if scores.dtype == np.float64 else LOWEST - 1
         fit = (mine.ids[i, None] != rows.ids[None, j]) & ((mine.labels[i, None] == rows.labels[None, j]) == self.same)
         low, high = self.low[i].reshape(-1, 1), self.high[i].reshape(-1, 1)

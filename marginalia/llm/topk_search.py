@@ -8,8 +8,9 @@ executors: queries and candidates are dealt into blocks, every pair of blocks is
 in each group the queries come first and the candidates stream past them. Any number of queries is exact.
 
 Defined cases: a vector that is null, or holds a null or non-finite component, takes no part, nor does a
-row with a null id; vectors of unlike length are scored over the terms both have; weights whose scores might
-not fit 64 bits are refused with an error; ties go to the smaller id; repeated rows are candidates each, and
+row with a null id; vectors of unlike length are scored over the terms both have; a score that does not fit
+64 bits is refused with an error (where weights are so large that one might, scores are whole numbers of any
+size); ties go to the smaller id; repeated rows are candidates each, and
 a query's own id is never one; empty tables give no rows; other columns are not read.
 """
 
@@ -22,12 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import bound_batches, lean
+from marginalia.llm.common import bound_batches, lean, written
 
 SCALE = 64
 #: Bytes of a block of queries as a dense matrix, and candidates of a block where both are dealt.
 QUERY_BYTES, CANDIDATES = 32 << 20, 1 << 18
 ROWS, COLUMNS = 128, 4096
+TOO_LARGE = "does not fit 64 bits"
 
 
 def weights(vector: Column, scale: int = SCALE) -> Column:
@@ -37,8 +39,8 @@ def weights(vector: Column, scale: int = SCALE) -> Column:
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """Ragged rows as a dense matrix of ``width`` terms."""
-    out = np.zeros((len(column), width), np.int64)
+    """Ragged rows as a dense matrix of ``width`` terms, of the rows' kind."""
+    out = np.zeros((len(column), width), np.float64 if pa.types.is_floating(column.type.value_type) else np.int64)
     ends = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False)
     size = np.diff(ends)
@@ -51,6 +53,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Scores of all queries against all candidates, one term after the other, from sparse postings."""
+    if queries.dtype == np.float64:
+        return exact(queries, candidates)
     bound = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(1, queries.shape[1])
     kind = np.float32 if bound < 1 << 24 else np.int64  # both exact
     scores = np.zeros((len(queries), len(candidates)), kind)
@@ -71,6 +75,15 @@ def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     return scores
 
 
+def exact(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers held as doubles, in whole numbers of any size."""
+    whole = np.vectorize(int, otypes=[object])
+    scores = whole(queries) @ whole(candidates).T
+    if scores.size and max(scores.max(), -scores.min()) > np.iinfo(np.int64).max:
+        raise ValueError(f"a score {TOO_LARGE}")
+    return scores.astype(np.int64)
+
+
 class _Best:
     """The best k of each query so far; of equal scores the smaller ids."""
 
@@ -162,6 +175,31 @@ def _cells(batch: pa.RecordBatch):
         yield from zip(edges, edges[1:], strict=False)
 
 
+def _best(rows: DataFrame, known, block: int, candidate_block: int, width: int, k: int) -> DataFrame:
+    """The result for ``rows(id, w, q)``."""
+    spark = rows.sparkSession
+    if known["queries"] > block:
+        every = _dealt(rows, -(-known["queries"] // block), max(1, -(-known["rows"] // candidate_block)), width, k)
+    elif known["queries"]:
+        asked = rows.where("q").select("id", "w").toArrow()  # at most a block
+        shared = spark.sparkContext.broadcast((asked["id"].to_numpy(), np.concatenate([_matrix(x, width) for x in asked["w"].chunks])))
+        every = rows.select("id", "w").mapInArrow(lean(lambda batches: _searched(*shared.value, batches, k)), "query_id long, vec_id long, score long")
+    else:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _large(rows: DataFrame, known, block: int, candidate_block: int, width: int, k: int) -> DataFrame:
+    """The same with weights as doubles, which hold any of them, and whole numbers of any size; done at once, so that it raises here."""
+    try:
+        return written(_best(rows, known, block, candidate_block, width, k), "large-scores")
+    except Exception as error:
+        if TOO_LARGE in str(error):
+            raise ValueError(f"a score {TOO_LARGE}") from error
+        raise
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE, query_block: int | None = None, candidate_block: int = CANDIDATES) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k best other rows of every row where ``is_query``.
 
@@ -173,17 +211,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), weights(F.col(vector_col), scale).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q"), largest.alias("largest")).where("w is not null and id is not null")
     known = rows.agg(F.count_if("q").alias("queries"), F.count("*").alias("rows"), F.max(F.size("w")).alias("width"), F.max("largest").alias("largest")).first()
     width = max(1, known["width"] or 0)
-    if (known["largest"] or 0.0) ** 2 * width >= 2.0**62:
-        raise ValueError(f"components as large as {known['largest'] / scale:.3g} can have scores beyond 64 bits")
     block = query_block or max(1, QUERY_BYTES // (8 * width))
+    if (known["largest"] or 0.0) ** 2 * width >= 2.0**62:
+        product = lambda x: F.lit(scale) * x.cast("double")
+        double = F.transform(F.col(vector_col), lambda x: F.when(F.abs(product(x)) < 2.0**53, F.floor(product(x)).cast("double")).otherwise(product(x)))
+        doubles = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(weights(F.col(vector_col), scale).isNotNull(), double).alias("w"), F.coalesce(is_query, F.lit(False)).alias("q")).where("w is not null and id is not null")
+        each = doubles.select("q", F.posexplode("w").alias("term", "x")).groupBy("term").agg(F.max(F.when(F.col("q"), F.abs("x"))).alias("q"), F.max(F.abs("x")).alias("c"))
+        if each.agg(F.sum(F.coalesce("q", F.lit(0.0)) * F.col("c")).alias("s")).first()["s"] >= 2.0**62 or known["largest"] >= 2.0**62:
+            return _large(doubles, known, block, candidate_block, width, k)
     rows = rows.drop("largest")
-    if known["queries"] > block:
-        every = _dealt(rows, -(-known["queries"] // block), max(1, -(-known["rows"] // candidate_block)), width, k)
-    elif known["queries"]:
-        asked = rows.where("q").select("id", "w").toArrow()  # at most a block
-        shared = spark.sparkContext.broadcast((asked["id"].to_numpy(), np.concatenate([_matrix(x, width) for x in asked["w"].chunks])))
-        every = rows.select("id", "w").mapInArrow(lean(lambda batches: _searched(*shared.value, batches, k)), "query_id long, vec_id long, score long")
-    else:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return _best(rows, known, block, candidate_block, width, k)

@@ -154,3 +154,17 @@ def test_chains():
         value = lambda c: S.K * len(c) - S.GAP * (x[c[-1]] + y[c[-1]] - x[c[0]] - y[c[0]])
         if max(best.values()) > S.K:
             assert abs(value(found[0]) - max(best.values())) < 1e-9
+
+
+@pytest.mark.parametrize("block", [None, 1])
+def test_top_k_of_large_components(frame, block):
+    """Finite components of any size take part as long as scores fit; by Python's whole numbers."""
+    rows = [(0, [1.0, 2.0]), (20, [0.5, 1.0]), (1, [1e8, 0.0]), (2, [3.0, -4.0]), (40, [0.0, 1e-3]), (3, [1e30, 1.0]), (4, [-2e15, 5.0])]
+    some = [r for r in rows if r[0] != 3]
+    score = lambda a, b: sum(int(np.floor(64 * x)) * int(np.floor(64 * y)) for x, y in zip(a, b, strict=True))
+    for given, queries in ((some[:-1], (0, 20, 40)), (some, (0, 20, 40)), ([(0, [0.0, 2.0]), (3, [1e30, 1.0]), (1, [5.0, 1.0])], (0,))):
+        got = topk_search.top_k(frame([(*r, 1) for r in given], "vec_id long, embedding array<double>, w int"), F.col("vec_id") % 20 == 0, 5, query_block=block).collect()
+        want = [(q, r + 1, i, -s) for q in queries for r, (s, i) in enumerate(sorted((-score(dict(given)[q], v), i) for i, v in given if i != q))]
+        assert sorted(map(tuple, got)) == sorted(want)
+    with pytest.raises(ValueError, match="64 bits"):
+        topk_search.top_k(frame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
