@@ -106,11 +106,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     hits = F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i).isin(every))
     some = some.select(id_col, "asked", "lines", "g", _once(hits).alias("hits"))
 
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
     def of_template(t: Column) -> Column:
         at = F.filter("hits", lambda i: F.array_contains(t["grams"], F.get("g", i)))
-        ends = lambda i: F.filter(at, lambda j: (j >= i + t["low"] - 1) & (j < i + 2 * t["high"]))
+        return bound(at, lambda at: bound(F.transform(at, lambda i: F.array_position(t["grams"], F.get("g", i))), lambda which: bound(placed(t, at, which), lambda hits: windows(t, hits))))
+
+    def placed(t: Column, at: Column, which: Column) -> Column:
+        """Each hit's place, and the number of the last hit before it, among as many as a window may hold, of the same bigram."""
+        some = lambda k: F.least(k, 2 * t["high"])
+        back = lambda i, k: F.array_position(F.reverse(F.slice(which, k - some(k) + 1, some(k))), F.get(which, k)).cast("int")
+        return F.transform(at, lambda i, k: bound(back(i, k), lambda p: F.struct(i.alias("at"), F.when(p > 0, k - p).otherwise(-1).alias("last"))))
+
+    def windows(t: Column, hits: Column) -> Column:
+        """Windows that fit. One that ends with a bigram it holds already is never better than a shorter one."""
         window = lambda i, j: F.named_struct(F.lit("less"), -_dice(F.array_distinct(F.slice("g", i + 1, j - i + 1)), t), F.lit("place"), t["place"], F.lit("start"), i, F.lit("end"), j, F.lit("license"), t["license"])
-        return F.filter(F.flatten(F.transform(at, lambda i: F.transform(ends(i), lambda j: window(i, j)))), lambda x: x["less"] <= -threshold)
+        # a window that fits has as many hits as distinct bigrams at least: only some of the next can end it
+        ends = lambda h, k: F.filter(F.slice(hits, k + t["low"], 2 * t["high"]), lambda x: (x["at"] >= h["at"] + t["low"] - 1) & (x["at"] < h["at"] + 2 * t["high"]) & (x["last"] < k))
+        return F.flatten(F.transform(hits, lambda h, k: F.filter(F.transform(ends(h, k), lambda x: window(h["at"], x["at"])), lambda x: x["less"] <= -threshold)))
 
     some = some.select(id_col, "asked", "lines", _once(F.array_sort(F.flatten(F.transform("asked", of_template)))).alias("found"))
     # what fits a line fits the text, so only the templates asked for can
