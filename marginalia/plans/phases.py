@@ -27,6 +27,8 @@ from marginalia.sources.scratch import written
 
 #: Bytes of frames and texts that a model is given at once.
 BATCH_BYTES = 8 << 20
+#: Bytes of frames, or of their features, that are sent to every worker.
+BROADCAST_BYTES = 16 << 20
 COST = "struct<seconds:double,allocated:double,reserved:double,node:string,dtype:string>"
 
 
@@ -72,13 +74,15 @@ def _bytes(column: pa.Array) -> np.ndarray:
 class ArrowModels:
     """A model in Arrow functions as steps of a plan over rows of unique ids.
 
-    ``frames(clip, idx, frame)`` has each clip's frames, ``clip`` the rows' column that names theirs. A clip that
+    ``frames(clip, idx, frame)`` has each clip's frames, ``clip`` the rows' column that names theirs. Frames of at
+    most ``broadcast_bytes`` in all are sent to the workers. More are joined with the rows that ask for them: a clip that
     many rows ask about is met in as many parts as they need (``per_part`` frames asked of a clip in one), so that no
     task joins all of them.
     """
 
-    def __init__(self, load: Callable[[], Model], frames: DataFrame, clip: str = "clip", batch_bytes: int = BATCH_BYTES, per_part: int = 1 << 20):
-        self.load, self.clip, self.batch_bytes, self.per_part = load, clip, batch_bytes, per_part
+    def __init__(self, load: Callable[[], Model], frames: DataFrame, clip: str = "clip", batch_bytes: int = BATCH_BYTES, per_part: int = 1 << 20, broadcast_bytes: int = BROADCAST_BYTES):
+        self.load, self.clip, self.batch_bytes, self.per_part, self.broadcast_bytes = load, clip, batch_bytes, per_part, broadcast_bytes
+        self._sent: dict[str, object] = {}
         self.frames = frames.select("clip", "idx", F.col("frame").cast("array<float>").alias("frame"))
         self.key, self._features = uuid.uuid4().hex, None
 
@@ -105,23 +109,48 @@ class ArrowModels:
         met = asked.join(held, ["clip", "idx", "part"], "left")
         return met.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "frame"))).alias("s")).select("id", F.col("s.frame").alias("shown"))
 
+    def _small(self, rows: DataFrame, column: str):
+        """A broadcast of ``{clip: {idx: vector}}`` of ``rows(clip, idx, column)`` if they are small, else None; found out once."""
+        if column not in self._sent:
+            size = rows.agg(F.sum(F.size(column) * (4 if column == "frame" else 8) + 64).alias("n")).first()["n"] or 0
+            found = None
+            if size <= self.broadcast_bytes:
+                clips: dict = {}
+                for r in rows.select("clip", "idx", column).toArrow().to_batches():
+                    for clip, idx, v in zip(r.column("clip").to_pylist(), r.column("idx").to_pylist(), r.column(column).to_numpy(zero_copy_only=False), strict=True):
+                        clips.setdefault(clip, {})[idx] = np.asarray(v)
+                found = rows.sparkSession.sparkContext.broadcast(clips)
+            self._sent[column] = found
+        return self._sent[column]
+
     def call(self, df: DataFrame, name: str, ids: str, max_tokens: int) -> DataFrame:
         """Add the call record of answering with the frames of column ``ids``, and what it cost as ``<name>_cost``."""
-        given = df.withColumn("stamps", stamps_of(ids)).join(self._shown(df, ids), "id")
+        given, sent, clip_col = df.withColumn("stamps", stamps_of(ids)), self._small(self.frames, "frame"), self.clip
+        given = given.withColumn("shown", F.lit(None).cast("array<array<float>>")).where(F.col(ids).isNotNull()) if sent else given.join(self._shown(df, ids), "id")
         model, limit, host = self.model(), self.batch_bytes, socket.gethostname
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                shown = batch.column("shown")
-                sizes = 4 * np.diff(pc.list_flatten(shown).offsets.to_numpy()[shown.offsets.to_numpy() - shown.offsets[0].as_py()]) + _bytes(batch.column("question"))
-                for part in balanced(batch, sizes, limit):
-                    yield answered(part)
+        def frames_of(batch: pa.RecordBatch) -> tuple[list, np.ndarray]:
+            """The frames of each row, and their bytes."""
+            if sent:
+                clips = sent.value
+                found = [[clips.get(c, {}).get(i) for i in some] for c, some in zip(batch.column(clip_col).to_pylist(), batch.column(ids).to_pylist(), strict=True)]
+                return found, np.array([sum(f.nbytes for f in x if f is not None) for x in found], np.int64)
+            shown = batch.column("shown")
+            return shown.to_pylist(), 4 * np.diff(pc.list_flatten(shown).offsets.to_numpy()[shown.offsets.to_numpy() - shown.offsets[0].as_py()])
 
-        def answered(part: pa.RecordBatch) -> pa.RecordBatch:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+                shown, size = frames_of(batch)
+                at = 0
+                for part in balanced(batch, size + _bytes(batch.column("question")), limit):
+                    yield answered(part, shown[at : at + part.num_rows])
+                    at += part.num_rows
+
+        def answered(part: pa.RecordBatch, shown: list) -> pa.RecordBatch:
             loaded = model()
-            columns = [part.column(c).to_pylist() for c in ("id", "question", "choices", "shown", "stamps")]
-            for row, shown in zip(columns[0], columns[3], strict=True):
-                if any(x is None for x in shown):
+            columns = [*[part.column(c).to_pylist() for c in ("id", "question", "choices")], shown, part.column("stamps").to_pylist()]
+            for row, some in zip(columns[0], shown, strict=True):
+                if any(x is None for x in some):
                     raise ValueError(f"a frame of {row} is missing")
             asked = [Asked(i, q, c, np.array(f, np.float32), t) for i, q, c, f, t in zip(*columns, strict=True)]
             loaded.reset_peak()
@@ -157,6 +186,8 @@ class ArrowModels:
     def score(self, df: DataFrame, texts: dict[str, Column], when: Column | None = None) -> DataFrame:
         """Add a row of scores for each named text: its cosine with every frame of the row's clip, in order."""
         model, limit = self.model(), self.batch_bytes
+        if sent := self._small(self.features(), "vector"):
+            return self._scored(df, texts, when, sent)
         rows = df if when is None else df.where(when)
         asked = rows.select("id", F.col(self.clip).alias("clip"), F.explode(F.array(*[F.struct(F.lit(n).alias("name"), t.alias("text")) for n, t in texts.items()])).alias("t")).select("id", "clip", "t.*")
 
@@ -178,6 +209,43 @@ class ArrowModels:
         return out
 
 
+    def _scored(self, df: DataFrame, texts: dict[str, Column], when: Column | None, sent) -> DataFrame:
+        """The same with all features at hand: no row is moved."""
+        model, clip_col, names = self.model(), self.clip, list(texts)
+        for name, text in texts.items():
+            df = df.withColumn(f"_{name}", text if when is None else F.when(when, text))
+
+        def run(batches):
+            units: dict = {}
+
+            def unit(clip) -> np.ndarray:
+                if clip not in units:
+                    found = sent.value.get(clip, {})
+                    m = np.stack([found[i] for i in sorted(found)]) if found else np.zeros((0, 1))
+                    units[clip] = m / np.sqrt((m * m).sum(1))[:, None]
+                return units[clip]
+
+            for batch in (b.slice(a, 256) for b in batches for a in range(0, b.num_rows, 256)):
+                clips, more = batch.column(clip_col).to_pylist(), []
+                for name in names:
+                    asked = batch.column(f"_{name}").to_pylist()
+                    some = [i for i, x in enumerate(asked) if x is not None]
+                    vectors = model().encode([asked[i] for i in some]) if some else []
+                    scores = [None] * len(asked)
+                    for i, v in zip(some, vectors, strict=True):
+                        frames = unit(clips[i])
+                        scores[i] = frames @ (v / np.sqrt(v @ v)) if len(frames) else np.zeros(0)
+                    more.append(pa.array(scores, pa.list_(pa.float64())))
+                kept = [c for c in batch.schema.names if c not in [f"_{n}" for n in names]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *more], [*kept, *names])
+
+        plain = df.drop(*[f"_{n}" for n in names])
+        out = df.mapInArrow(run, plain.select("*", *[F.lit(None).cast("array<double>").alias(n) for n in names]).schema)
+        for name in names:
+            out = out.withColumn(name, checked_row(F.col(name), name) if when is None else F.when(when, checked_row(F.col(name), name)))
+        return out
+
+
 def infer(pool: DataFrame, config: Config, models: ColumnModels | ArrowModels) -> DataFrame:
     """The trace of every row of ``pool``, as of ``inference.infer``; the answerer sees each row once, and again only where the gate says so."""
     one = written(gated(models.call(first_frames(pool, config, models), "call1", "ids1", config.max_input_tokens), config), "first-calls")

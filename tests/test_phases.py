@@ -36,11 +36,11 @@ def counting(folder):
     return Counting
 
 
-@pytest.mark.parametrize("method", ["evidence", "uniform_refine", "uniform", "clip_topk", "aks"])
-def test_second_calls_only_where_uncertain(clips, tmp_path, method):
+@pytest.mark.parametrize(("method", "sent"), [("evidence", 0), ("evidence", 1 << 20), ("uniform_refine", 0), ("uniform", 1 << 20), ("clip_topk", 0), ("clip_topk", 1 << 20), ("aks", 1 << 20)])
+def test_second_calls_only_where_uncertain(clips, tmp_path, method, sent):
     frames, rows = clips
     config = Config(backend="mock", method=method, frames=8, initial_frames=4, candidate_frames=20)
-    got = phases.infer(rows, config, phases.ArrowModels(counting(tmp_path), frames, batch_bytes=4000, per_part=7)).collect()
+    got = phases.infer(rows, config, phases.ArrowModels(counting(tmp_path), frames, batch_bytes=4000, per_part=7, broadcast_bytes=sent)).collect()
     calls = [x.split() for x in (tmp_path / "calls").read_text().splitlines()]
     assert len(got) == 60 and len({r.id for r in got}) == 60
     assert len(calls) == 60 + sum(r.refined for r in got)
@@ -62,7 +62,16 @@ def test_equal_to_one_plan(spark, clips):
         assert one == two
 
 
-def test_frames_and_answers_are_checked(clips):
+def test_frames_sent_or_joined(clips):
+    """Small tables of frames are sent to the workers, large ones joined: with the same result."""
+    frames, rows = clips
+    config = Config(backend="mock", method="evidence", frames=8, initial_frames=4, candidate_frames=20)
+    found = [phases.infer(rows, config, phases.ArrowModels(LinearModel, frames, broadcast_bytes=n)).drop("call1_cost", "call2_cost").orderBy("id").collect() for n in (0, 1 << 20)]
+    assert [(r.id, r.prediction, r.refined, r.calls[-1].frame_indices) for r in found[0]] == [(r.id, r.prediction, r.refined, r.calls[-1].frame_indices) for r in found[1]]
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_frames_and_answers_are_checked(clips, sent):
     frames, rows = clips
     config = Config(backend="mock", method="uniform", frames=8, initial_frames=4, candidate_frames=20)
 
@@ -70,14 +79,14 @@ def test_frames_and_answers_are_checked(clips):
         def answer(self, asked):
             return [([float("nan")] * len(a.choices), n) for a, (_, n) in zip(asked, super().answer(asked), strict=True)]
 
-    for models, message in ((phases.ArrowModels(Broken, frames), "probability"), (phases.ArrowModels(LinearModel, frames.where("idx < 19")), "missing")):
+    for models, message in ((phases.ArrowModels(Broken, frames), "probability"), (phases.ArrowModels(LinearModel, frames.where("idx < 19"), broadcast_bytes=sent), "missing")):
         with pytest.raises(Exception, match=message):
             phases.infer(rows, config, models).collect()
     with pytest.raises(Exception, match="more than 150 tokens"):
         phases.infer(rows, Config(backend="mock", method="uniform", max_input_tokens=150), phases.ArrowModels(LinearModel, frames)).collect()
     short = Config(backend="mock", method="clip_topk", frames=8, initial_frames=4, candidate_frames=20)
     with pytest.raises(Exception, match="must be finite"):
-        phases.infer(rows, short, phases.ArrowModels(LinearModel, frames.where("idx < 19"))).collect()
+        phases.infer(rows, short, phases.ArrowModels(LinearModel, frames.where("idx < 19"), broadcast_bytes=sent)).collect()
     assert phases.infer(rows.limit(0), config, phases.ArrowModels(LinearModel, frames)).count() == 0
 
 
