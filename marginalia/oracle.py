@@ -170,7 +170,7 @@ SQL: dict[str, str] = {
     "hash_subset_all": f"WITH {MANIFEST} SELECT id, substr({KEY}, 1, 16) AS key FROM m",
     "ids_digest": f"WITH {MANIFEST} SELECT sha256('[' || string_agg(to_json(id)::VARCHAR, ', ' ORDER BY id) || ']') AS ids_sha256, count(*) AS n FROM m",
     "pending_anti_join": f"WITH {MANIFEST} SELECT id, video, start FROM m WHERE NOT {KEY}[1] < '8'",
-    "uniform_indices": f"WITH g AS (SELECT n::INT AS n, k::INT AS k FROM range(1, 70) a(n), (SELECT unnest([1, 2, 8, 16, 32]) AS k)) SELECT n, k, {joined(uniform('n', 'k'))} AS ids FROM g",
+    "uniform_indices": f"WITH {CLIPS}, g AS (SELECT clip, n::INT AS n, k::INT AS k FROM c, (SELECT unnest([1, 2, 8, 16, 32]) AS k)) SELECT clip, n, k, {joined(uniform('n', 'k'))} AS ids FROM g",
     "topk_frames": f"WITH {FRAMES} SELECT clip, (row_number() OVER (PARTITION BY clip ORDER BY score DESC, idx))::INT AS rank, idx, round(score, 6) AS score FROM f QUALIFY rank <= 8",
     "topk_frames_array": f"WITH {CLIPS} SELECT clip, {joined('list_sort(list_slice(' + ranked('score', 'n') + ', 1, 8))')} AS ids FROM c",
     "topk_by_cosine": f"""WITH v AS (SELECT vec_id, label, {_VECTORS} AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE vec_id = 0),
@@ -221,7 +221,7 @@ SQL: dict[str, str] = {
     "resume_equals_whole": f"{run('evidence')} SELECT id, prediction, correct, refined, input_tokens, final_frames, {digits('scores')} AS scores FROM t",
 }
 SQL["manifest_json_lines"] = SQL["manifest_build"]
-SQL["annotations_csv"] = SQL["annotations_parquet"] = f"""WITH {MANIFEST} SELECT 'nextqa:val:' || video || ':' || doc_id AS id, video AS video_key, 'say "' || doc_id || '", then?' AS question,
+SQL["annotations_csv"] = SQL["annotations_parquet"] = f"""WITH {MANIFEST} SELECT 'nextqa:val:' || video || ':' || doc_id AS id, video AS video_key, 'say "' || question || '", then?' AS question,
         'choice, 0|choice, 1|choice, 2|choice, 3|choice, 4' AS choices, answer, question_type FROM m WHERE dataset = 'nextqa'"""
 SQL["annotations_json_array"] = SQL["adapter_nested_choices"]
 SQL["journal_sorted_scan"] = f"{run('uniform')} SELECT id, prediction, correct, input_tokens, final_frames FROM t"

@@ -16,11 +16,12 @@ from typing import NamedTuple, Protocol
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.config import Config
 from marginalia.operators import score_matrix
+from marginalia.operators.frames import candidate_pool
 from marginalia.plans.inference import ColumnModels, checked_row, first_frames, gated, record, result_rows, second_frames, stamps_of, traced
 from marginalia.schema import CALL
 from marginalia.sources.scratch import written
@@ -268,3 +269,35 @@ def results(pool: DataFrame, config: Config, models: ArrowModels) -> DataFrame:
     seconds = sum((F.coalesce(c["seconds"], F.lit(0.0)) for c in costs), F.lit(0.0))
     last = F.coalesce(*reversed(costs))
     return result_rows(found, seconds, most("allocated"), most("reserved"), F.struct(last["node"].alias("node"), last["dtype"].alias("resolved_dtype")))
+
+
+def pool(manifest: DataFrame, frames: DataFrame, candidates: int) -> tuple[DataFrame, DataFrame]:
+    """``manifest`` with ``clip`` and ``times``, and ``clip, idx, frame`` of its clips, from ``frames(video, t, frame)``.
+
+    A clip is what a question is about: a video from start to end (null: to its last frame). It has the first frame
+    at or after each of ``candidates`` evenly spaced times. A question whose clip has no frame raises.
+    """
+    last = frames.groupBy("video").agg(F.max("t").alias("last"))  # an end leaves out the frame there
+    asked = manifest.select("video", "start", "end").distinct().join(last, "video", "left").select("video", _clip().alias("clip"), "start", F.coalesce("end", F.col("last") + 1).alias("end"))
+    met = frames.join(asked.select("video", "clip"), "video").select("clip", "t", "frame")
+    picked = candidate_pool(met, asked.select("clip", "start", "end"), candidates)
+    numbered = picked.select("clip", (F.row_number().over(Window.partitionBy("clip").orderBy("t")) - 1).alias("idx"), "t", "frame")  # candidates a clip at most
+    held = written(numbered, "pool")
+    times = held.groupBy("clip").agg(F.array_sort(F.collect_list("t")).alias("times"))
+    rows = manifest.withColumn("clip", _clip()).join(times, "clip", "left")
+    missing = F.raise_error(F.concat(F.lit("no frames for "), "id"))
+    return rows.withColumn("times", F.when(F.col("times").isNotNull(), F.col("times")).otherwise(missing)), held.drop("t")
+
+
+def _clip() -> Column:
+    return F.concat_ws("|", "video", F.col("start").cast("string"), F.col("end").cast("string"))
+
+
+def runner(load: Callable[[], Model], frames: DataFrame) -> Callable[[DataFrame, Config], DataFrame]:
+    """Result rows of a manifest's rows with a model and a table of frames, as sessions take it."""
+
+    def infer_rows(manifest: DataFrame, config: Config) -> DataFrame:
+        rows, held = pool(manifest, frames, config.candidate_frames)
+        return results(rows, config, ArrowModels(load, held))
+
+    return infer_rows

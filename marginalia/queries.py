@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,7 +140,7 @@ def unresolved_anti(spark, sf_dir):
 
 @query
 def annotation_ids_semi(spark, sf_dir):
-    """Annotations with a video, counted by video: one digest per distinct video, joined back."""
+    """Annotations with a video, counted by video."""
     return _keyed(spark, sf_dir).join(_index(spark, sf_dir), "stem", "left_semi").groupBy("stem").agg(F.count("*").alias("n"))
 
 
@@ -186,8 +187,8 @@ def _clips(spark, sf_dir):
 
 @query
 def uniform_indices(spark, sf_dir):
-    n = spark.range(1, 70).select(F.col("id").cast("int").alias("n")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 8, 16, 32)])))
-    return n.select("n", "k", listed(selectors.uniform(F.col("n"), F.col("k"))).alias("ids"))
+    n = _clips(spark, sf_dir).select("clip", F.size("t").alias("n")).withColumn("k", F.explode(F.array(*[F.lit(k) for k in (1, 2, 8, 16, 32)])))
+    return n.select("clip", "n", "k", listed(selectors.uniform(F.col("n"), F.col("k"))).alias("ids"))
 
 
 @query
@@ -549,10 +550,10 @@ def manifest_json_lines(spark, sf_dir):
 
 
 def _flat_file(spark, sf_dir, kind):
-    """Flat annotations as a file of a kind: questions are the documents' ids here, as line ends don't survive all dialects."""
+    """Flat annotations as a file of a kind, their questions whole texts in quotes."""
     folder = scratch.fresh(spark, "annotations")
     rows = views.manifest(spark, sf_dir).where("dataset = 'nextqa'")
-    flat = rows.select("video", F.col("doc_id").cast("string").alias("qid"), F.concat(F.lit('say "'), "doc_id", F.lit('", then?')).alias("question"), F.coalesce(F.col("answer").cast("string"), F.lit("")).alias("answer"), F.col("question_type").alias("type"), *[F.lit(f"choice, {i}").alias(f"a{i}") for i in range(5)])
+    flat = rows.select("video", F.col("doc_id").cast("string").alias("qid"), F.concat(F.lit('say "'), "question", F.lit('", then?')).alias("question"), F.coalesce(F.col("answer").cast("string"), F.lit("")).alias("answer"), F.col("question_type").alias("type"), *[F.lit(f"choice, {i}").alias(f"a{i}") for i in range(5)])
     if kind == "csv":
         flat.write.csv(folder, header=True, quote='"', escape='"', emptyValue="")
         found = annotations.read_csv(spark, folder)
@@ -572,13 +573,20 @@ def annotations_parquet(spark, sf_dir):
     return _flat_file(spark, sf_dir, "parquet")
 
 
+def _arrays(batches):
+    """JSON arrays of the texts of a batch each."""
+    for batch in batches:
+        if batch.num_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(["[" + ",".join(batch.column("j").to_pylist()) + "]"])], ["value"])
+
+
 @query
 def annotations_json_array(spark, sf_dir):
-    """Nested annotations written as one JSON array, with a field that must not be read."""
+    """Nested annotations written as JSON arrays, with a field that must not be read."""
     folder = scratch.fresh(spark, "annotations")
     rows = _nested(spark, sf_dir).withColumn("situations", F.struct(F.lit(1).alias("leak")))
-    one = rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
-    one.write.text(folder)  # a fixture: an array is one file
+    arrays = rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).mapInArrow(_arrays, "value string")
+    arrays.write.option("maxRecordsPerFile", 1).text(folder)  # an array is one file
     found = annotations.nested(annotations.read_nested(spark, folder), "val")
     return found.select("id", "video_key", F.array_join("choices", "|").alias("choices"), "answer", "question_type", "start", "end")
 

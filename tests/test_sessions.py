@@ -158,3 +158,36 @@ def test_a_stopped_stream_goes_on(spark, tmp_path):
     assert kinds.count("session_start") == 3 and kinds.count("batch") == 4 and kinds.count("error") == 1
     assert sorted(d["stopped"] for e, d in events if e == "session_end") == [False, True]
     assert sum(d["rows"] for e, d in events if e == "batch") == 12
+
+
+def test_run_with_a_named_model(spark, tmp_path):
+    """The command line's way: a model by name, frames from a table, two sessions, measured rows."""
+    import random
+
+    from marginalia import cli
+    from marginalia.plans import phases
+
+    gen = random.Random(5)
+    made = [(f"q{i:02d}", "nextqa", "val", f"v{i % 3}.mp4", "0" * 64, "what " * (1 + i % 5), ["a", "b", "c"], i % 3, "TN", float(i % 2), None if i % 4 else 9.0) for i in range(12)]
+    spark.createDataFrame(made, MANIFEST).write.option("ignoreNullFields", "false").json(str(tmp_path / "manifest"))
+    frames = spark.createDataFrame([(f"v{v}.mp4", t / 4, [gen.gauss(0, 0.05) for _ in range(64)]) for v in range(3) for t in range(50)], "video string, t double, frame array<float>")
+    config = Config(backend="mock", method="evidence", frames=8, initial_frames=4, candidate_frames=16, limit=0)
+    infer = phases.runner(cli.loader("marginalia.plans.linear:LinearModel"), frames)
+    run = lambda **more: resume.run(spark, config, str(tmp_path / "manifest"), str(tmp_path / "run"), infer=infer, step=4, **more)
+    assert run(max_new=4) == resume.PARTIAL
+    assert run(resume=True) == resume.COMPLETE
+    _, found = journal.read_run(spark, str(tmp_path / "run"), infer(spark.createDataFrame([], MANIFEST), config).schema)
+    got = {r.id: r for r in found.collect()}
+    assert len(got) == 12 and all(r.elapsed_seconds > 0 and r.peak_vram_allocated_gib > 0 and r.execution.node and r.execution.resolved_dtype == "float64" for r in got.values())
+    summary = json.loads((tmp_path / "run/summary.json").read_text())
+    assert summary["complete"] and summary["peak_vram_allocated_gib"] > 0 and summary["resolved_dtype"] == "float32"
+    for r in got.values():
+        start, end = float(int(r.id[1:]) % 2), 9.0 if int(r.id[1:]) % 4 == 0 else 13.25
+        times = [t / 4 for t in range(50) if start <= t / 4 < end]
+        middles = [start + (i + 0.5) * (end - start) / 16 for i in range(16)]
+        want = sorted({next(t for t in times if t >= m) for m in middles if any(t >= m for t in times)})
+        assert r.candidate_frames == len(want) and set(r.calls[0].timestamps) <= set(want)
+    with pytest.raises(ValueError, match="module:Class"):
+        cli.loader("marginalia")
+    with pytest.raises(Exception, match="no frames for"):
+        phases.pool(spark.createDataFrame(made, MANIFEST), frames.where("video <> 'v1.mp4'"), 16)[0].select("times").collect()
