@@ -3,6 +3,11 @@ hold benchmark passages go, secrets are redacted, and what is left is packed int
 
 ``STAGES`` lists the stages in order; each takes ``(spark, docs, sf_dir)`` and is written as Parquet before
 the next one reads it. All stages but the last return the columns of ``documents``.
+
+Defined cases, in every stage: a null text counts as empty, and stays null in the rows that stay; rows with a null
+id, repeated rows, and rows that share an id are rows each; columns beyond those of ``documents`` pass through
+untouched, whatever their names; an empty table gives an empty one; texts may be of any length. What each stage does
+with such rows is said below.
 """
 
 from __future__ import annotations
@@ -15,27 +20,34 @@ from marginalia.llm.common import table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that the classifier, trained on the labelled rows among them, rejects."""
+    """Drop the rows that the classifier, trained on the labelled rows among them, rejects.
+
+    An empty text is judged like any other, by the model's score of no words. Labels of ids that are not there, or
+    that are labelled both ways, are left out; with labels of one kind only, or none, all rows are scored alike.
+    """
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of similar documents: five-word shingles, a Jaccard coefficient of 0.8 or more."""
+    """Keep one row of each group of similar documents: five-word shingles, a Jaccard coefficient of 0.8 or more.
+
+    Rows without words are like no other and stay. Of a group the row of the smallest id stays, null last; of equals the first.
+    """
     return jaccard_join.keep_one(docs, size=5, threshold=(80, 100))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that are contaminated by a benchmark item."""
+    """Drop the rows that are contaminated by a benchmark item. Rows without words have no hit and stay."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace the secrets in all texts."""
+    """Replace the secrets in all texts. No row goes; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences."""
+    """The pieces of the training sequences. A row without text is its end token alone; rows of one id are packed each."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
