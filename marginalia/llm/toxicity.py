@@ -1,9 +1,8 @@
 """Toxicity: a logistic word model regularised by counterfactuals of identity terms.
 
 In every labelled text of the sample that names a group, each identity term is swapped for other terms
-and for none; the squared change of the score is part of the loss, so naming a group moves a score little,
-whichever group it is. Words are kept if their share differs clearly between the labels (the ``WORDS`` clearest
-at most). The sample is bounded (``bound`` rows of each label) and is weighted back to the labels' real
+and for none; the squared change of the score, as log odds (the model is linear in its words), is part of the
+loss, so naming a group moves a score little, whichever group it is. Words are kept if their share differs clearly between the labels. The sample is bounded (``bound`` rows of each label) and is weighted back to the labels' real
 shares; every row of it is learned from, near copies (of one label, found by minima over word pairs and
 checked by their words) with one row's weight together.
 
@@ -29,20 +28,21 @@ from marginalia.llm.common import bound_batches, hashes_of, held_out, label_coun
 #: Labelled rows learned from, of each label.
 BOUND = 3000
 CUT = 0.5
-#: Words kept: at most so many, in at least so many texts, with at least so clear a difference.
-WORDS, LEAST, CLEAR = 3000, 3, 3.5
+#: Words kept: in at least so many texts, with at least so clear a difference.
+LEAST, CLEAR = 3, 3.5
 #: Minima of a text's word pairs of which near copies share one, and the least Jaccard coefficient of their words.
 MINIMA, COPY = 8, 0.8
 PENALTY = 10.0
 # Terms that name groups of people, to be swapped for one another.
 IDENTITY = (
-    "women men woman man girls boys female male gay lesbian straight bisexual transgender queer heterosexual homosexual "
-    "black white asian african european american latino hispanic arab indian chinese japanese mexican turkish polish "
-    "christian christians muslim muslims jewish jews hindu hindus buddhist buddhists catholic catholics atheist atheists protestant sikh "
-    "immigrant immigrants refugee refugees foreigner foreigners migrant migrants deaf blind disabled autistic elderly old young teenagers "
-    "frauen männer schwule lesben juden christen muslime ausländer flüchtlinge behinderte "
-    "mujeres hombres judíos cristianos musulmanes inmigrantes refugiados negros blancos "
-    "femmes hommes juifs chrétiens musulmans immigrés réfugiés noirs blancs"
+    "women men woman man girl girls boy boys female females male males gay gays lesbian lesbians straight bisexual bisexuals transgender trans queer heterosexual homosexual homosexuals "
+    "black blacks white whites asian asians african africans european europeans american americans latino latinos latina latinas hispanic hispanics arab arabs indian indians "
+    "chinese japanese korean koreans mexican mexicans turkish turk turks polish pole poles russian russians roma gypsy gypsies "
+    "christian christians muslim muslims muslimah jewish jew jews hindu hindus buddhist buddhists catholic catholics atheist atheists protestant protestants sikh sikhs "
+    "immigrant immigrants refugee refugees foreigner foreigners migrant migrants deaf blind disabled autistic elderly old young teenager teenagers "
+    "frau frauen mann männer schwuler schwule lesbe lesben jude juden jüdisch christ christen muslim muslime muslimin ausländer flüchtling flüchtlinge behinderte türke türken "
+    "mujer mujeres hombre hombres judío judíos cristiano cristianos musulmán musulmanes inmigrante inmigrantes refugiado refugiados negro negros blanco blancos "
+    "femme femmes homme hommes juif juifs chrétien chrétiens musulman musulmans immigré immigrés réfugié réfugiés noir noirs blanc blancs"
 ).split()
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -128,7 +128,6 @@ class Model:
         c = np.stack([np.bincount(at[label == k], weight[label == k], len(every)) for k in (0, 1)]) + 0.5
         z = (np.log(c[1] / (n[1] + 1 - c[1])) - np.log(c[0] / (n[0] + 1 - c[0]))) / np.sqrt((1 / c).sum(0))
         clear = np.flatnonzero((c.sum(0) >= LEAST + 1) & (np.abs(z) >= CLEAR))
-        clear = clear[np.argsort(-np.abs(z[clear]), kind="stable")][:WORDS]
         return np.union1d(every[clear], np.intersect1d(every, self.identity))
 
     def _swaps(self, columns: list[np.ndarray], rng) -> tuple[np.ndarray, np.ndarray]:
