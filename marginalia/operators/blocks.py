@@ -29,10 +29,11 @@ def runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, pa.Rec
         yield tuple(batch.column(c)[x].as_py() for c in keys), batch.slice(x, y - x)
 
 
-def meet(held: DataFrame, streamed: DataFrame, keys: list[str], run: Run, schema: str, tasks: int | None = None) -> DataFrame:
+def meet(held: DataFrame, streamed: DataFrame, keys: list[str], run: Run, schema: str, tasks: int | None = None, wrap: Callable = lambda f: f) -> DataFrame:
     """``run(held rows, streamed batches)`` for each value of ``keys`` that both sides have.
 
     Both sides have the key columns. The keys must bound how many held rows share them; streamed ones may be any number.
+    ``wrap`` goes around the Arrow function of each task.
     """
     side = "_side"
     every = held.withColumn(side, F.lit(0)).unionByName(streamed.withColumn(side, F.lit(1)), allowMissingColumns=True)
@@ -49,4 +50,4 @@ def meet(held: DataFrame, streamed: DataFrame, keys: list[str], run: Run, schema
                 some.append(part)
 
     tasks = tasks or int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return every.repartition(tasks, *keys).sortWithinPartitions(*keys, side).mapInArrow(met, schema)
+    return every.repartition(tasks, *keys).sortWithinPartitions(*keys, side).mapInArrow(wrap(met), schema)

@@ -15,6 +15,7 @@ import pyspark
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from marginalia.config import Config, fingerprint
@@ -50,7 +51,7 @@ def steps(waiting: DataFrame, size: int, most: int, path: str) -> tuple[int, Dat
     count = placed.count()
     some = placed.where(F.col("position") < most) if most else placed
     some.withColumn("step", F.floor(F.col("position") / size).cast("long")).drop("position").write.partitionBy("step").parquet(f"{path}/steps")
-    return count, waiting.sparkSession.read.schema(waiting.schema.add("step", "long")).parquet(f"{path}/steps")
+    return count, waiting.sparkSession.read.schema(T.StructType([*waiting.schema.fields, T.StructField("step", T.LongType())])).parquet(f"{path}/steps")
 
 
 @contextlib.contextmanager
