@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import itertools
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -14,7 +13,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.sources.scratch import fresh
+from marginalia.operators import blocks
+from marginalia.sources.scratch import written  # noqa: F401
 
 #: Rows of one Arrow batch are handled in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
@@ -51,17 +51,6 @@ def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return lean_run
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
-
-    The files outlive any executor, and go when the application's file system handle closes.
-    """
-    spark = df.sparkSession
-    path = fresh(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as no column of ``df`` has (whatever the case)."""
     taken = {c.lower() for c in df.columns}
@@ -123,36 +112,17 @@ def each(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
-def meet(left: DataFrame, right: DataFrame, key: str, left_blocks: int, right_blocks: int, run: Callable[[pa.Table, Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def meet(left: DataFrame, right: DataFrame, key: str, left_blocks: int, right_blocks: int, run: blocks.Run, schema: str) -> DataFrame:
     """``run(block of left, batches of right)`` for each pair of blocks, on the executors.
 
     The left rows, one of each ``key``, are dealt by its hash, the right ones by their own. A pair is one group of
     a shuffle, in which the left rows come first and are held, and the right ones stream past them.
     """
     block = lambda n, *of: F.pmod(F.xxhash64(*of), F.lit(n))
-    a = left.select("*", block(left_blocks, key).alias("_a"), each(right_blocks).alias("_b"), F.lit(0).alias("_side"))
-    b = right.select("*", each(left_blocks).alias("_a"), block(right_blocks, *right.columns).alias("_b"), F.lit(1).alias("_side"))
-
-    def cells(batch):
-        if batch.num_rows:
-            keys = np.stack([batch.column(c).to_numpy() for c in ("_a", "_b", "_side")])
-            edges = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            yield from ((tuple(keys[:, x].tolist()), batch.slice(x, y - x)) for x, y in zip(edges, edges[1:], strict=False))
-
-    def met(batches):
-        parts = (cell for batch in batches for cell in cells(batch))
-        for _, group in itertools.groupby(parts, lambda p: p[0][:2]):
-            held = []
-            for (_, _, side), part in group:
-                if side:
-                    if held:
-                        yield from run(pa.Table.from_batches(held), itertools.chain([part], (p for _, p in group)))
-                    break
-                held.append(part)
-
+    a = left.select("*", block(left_blocks, key).alias("_a"), each(right_blocks).alias("_b"))
+    b = right.select("*", each(left_blocks).alias("_a"), block(right_blocks, *right.columns).alias("_b"))
     tasks = min(left_blocks * right_blocks, 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    every = a.unionByName(b, allowMissingColumns=True)
-    return every.repartition(tasks, "_a", "_b").sortWithinPartitions("_a", "_b", "_side").mapInArrow(lean(met), schema)
+    return blocks.meet(a, b, ["_a", "_b"], run, schema, tasks, lean)
 
 
 def held_out(doc_id: Column) -> Column:
