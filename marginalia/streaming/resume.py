@@ -42,16 +42,20 @@ def contract(config: Config, manifest: DataFrame, selected: DataFrame) -> dict:
     }
 
 
-def steps(waiting: DataFrame, size: int, most: int, path: str) -> tuple[int, DataFrame]:
+def steps(selected: DataFrame, done: DataFrame, size: int, most: int, path: str) -> tuple[int, DataFrame]:
     """How many rows wait, and the first ``most`` of them (0: all) in steps of ``size``, in order of video, start and id.
 
-    They are sorted and numbered once and written by step, so that a step reads its own rows and no others.
+    Only ids and what orders them are sorted and numbered, once; then rows are written by step, so that a step reads its
+    own rows and no others.
     """
-    placed = numbered(waiting, "video", "start", "id", path=f"{path}/numbered")
+    keys = pending(selected.select("id", "video", "start"), done, ordered=False)
+    placed = numbered(keys, "video", "start", "id", path=f"{path}/numbered")
     count = placed.count()
     some = placed.where(F.col("position") < most) if most else placed
-    some.withColumn("step", F.floor(F.col("position") / size).cast("long")).drop("position").write.partitionBy("step").parquet(f"{path}/steps")
-    return count, waiting.sparkSession.read.schema(T.StructType([*waiting.schema.fields, T.StructField("step", T.LongType())])).parquet(f"{path}/steps")
+    step = some.select("id", F.floor(F.col("position") / size).cast("long").alias("step"))
+    selected.join(step, "id").select(*selected.columns, "step").repartition("step").write.partitionBy("step").parquet(f"{path}/steps")
+    schema = T.StructType([*selected.schema.fields, T.StructField("step", T.LongType())])
+    return count, selected.sparkSession.read.schema(schema).parquet(f"{path}/steps")
 
 
 @contextlib.contextmanager
@@ -85,7 +89,7 @@ def run(spark: SparkSession, config: Config, manifest_path: str, folder: str, re
         terms = contract(config, table, selected)
         book.open(terms, resume)
         try:
-            waiting, todo = steps(pending(selected, book.done(), ordered=False), step, max_new, scratch.fresh(spark, "pending"))
+            waiting, todo = steps(selected, book.done(), step, max_new, scratch.fresh(spark, "pending"))
             if waiting:
                 book.event("session_start", pending=waiting, resume=resume)
             some = min(waiting, max_new) if max_new else waiting
