@@ -79,14 +79,18 @@ def _whole(batches):
 def components(edges: DataFrame, one_task: int = ONE_TASK, rounds: int = 60) -> DataFrame:
     """``node, component`` (its smallest node) for every node of ``edges(a, b)``.
 
-    Every partition first keeps a forest of its own edges. If few enough are left, one task joins the
-    forests. Otherwise every round hangs each node under its smallest neighbour and jumps to that one's own
+    Every partition first keeps a forest of its own edges, and fewer tasks join those forests as long as that
+    leaves a quarter fewer edges. If few enough are left, one task joins the rest. Otherwise every round hangs each node under its smallest neighbour and jumps to that one's own
     parent; an edge to another neighbour becomes an edge between the two. Each round is written to the
     shared folder. Minima are taken before the shuffle; a hub's rows are left to the adaptive skew join.
     """
     apart = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("p"))
     now = written(apart.mapInArrow(lean(_forests), "u long, p long"), "forests")
-    if now.count() <= one_task:
+    before, n = None, now.count()
+    while n > one_task > 0 and (before is None or 4 * n <= 3 * before):  # forests of several tasks have many edges in common
+        now = written(now.repartition(-(-n // (2 * one_task)), "u", "p").mapInArrow(lean(_whole), "u long, p long"), "forests")
+        before, n = n, now.count()
+    if n <= one_task:
         return _stars(written(now.repartition(1).mapInArrow(lean(_whole), "u long, p long"), "forest"))
     now = now.distinct()
     for _ in range(rounds):

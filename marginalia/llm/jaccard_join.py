@@ -23,7 +23,7 @@ of shingles, classes by a 64-bit hash of the set.
 
 from __future__ import annotations
 
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ THRESHOLD = (85, 100)
 CHUNK_CLASSES = 1000
 CHUNK_SHINGLES = 4_000_000
 PIVOTS = 4
-#: Rows of a few numbers (at most 40 bytes each) that are broadcast; more are joined by shuffle.
+#: Rows of a few numbers (at most 40 bytes each) that are broadcast at once; more meet texts in several parts, and each other by shuffle.
 BROADCAST_IDS = 500_000
 #: Documents, or classes of large blocks, whose shingles are counted, and how many of them must have a common one; rounds of cutting large blocks again.
 SAMPLE, COMMON, CUTS = 4096, 8, 2
@@ -160,7 +160,8 @@ def _signed(sets: dict[int, np.ndarray], buckets: int, threshold: tuple[int, int
         yield _rows(edges.shape[1], a=edges[0], b=edges[1], bucket=(edges[0] % buckets).astype(np.int32))
     cut = np.searchsorted((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(cut))
-    yield _rows(len(full), bucket=full.astype(np.int32), x=[sig[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
+    short = sig.astype(np.uint32)  # the bucket is of the other half; two that are taken for one make a block larger, no link
+    yield _rows(len(full), bucket=full.astype(np.int32), x=[short[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
 
 
 def _met(signed: DataFrame, partitions: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _met(signed: DataFrame, partitions: int) -> DataFrame:
             yield from rows.filter(is_doc).to_batches()
             plain, packed = rows.filter(pc.invert(pc.or_(is_doc, packed))), rows.filter(packed)
             yield from rows_of(edges.add(plain.column("a").to_numpy(), plain.column("b").to_numpy()))
-            sig, node = (np.frombuffer(b"".join(packed.column(c).to_pylist()), kind) for c, kind in (("x", np.uint64), ("y", np.int64)))
+            sig, node = (np.frombuffer(b"".join(packed.column(c).to_pylist()), kind) for c, kind in (("x", np.uint32), ("y", np.int64)))
             yield from rows_of(edges.add(*_hubs(sig, node)[2]))
         yield from rows_of(edges.rest())
 
@@ -406,8 +407,12 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
                 sets = [shingle_set(x, size) for x in texts_of(part)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "x"])
 
-    wanted = blocks.select(F.col("least").alias("wanted")).distinct()
-    sets = written(source.join(_small(wanted), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(lean(sets_of), "node long, x binary"), "sets")
+    def with_sets(some: DataFrame) -> DataFrame:
+        """Rows of classes (``node, least`` and more) with their sets, cut anew from texts that are not moved or kept."""
+        sets = lambda ids, k, n: _part(source, "id", k, n).join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("wanted")), "left_semi").select("text").mapInArrow(lean(sets_of), "node long, x binary")
+        parts = [(_part(some, "least", k, n), k, n) for n in [_parts(some)] for k in range(n)]
+        return reduce(DataFrame.unionByName, [sets(mine.select(F.col("least").alias("wanted")).distinct(), k, n).join(F.broadcast(mine), "node") for mine, k, n in parts])
+
     chunks = F.greatest(F.ceil(F.count("*") / chunk_classes), F.ceil(F.sum("n") / chunk_shingles))
     counted = lambda blocks: written(blocks.join(blocks.groupBy("block").agg(chunks.alias("chunks")), "block"), "members")
     members = counted(blocks)
@@ -415,34 +420,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         large = members.where("chunks > 1")
         if large.isEmpty():
             break
-        held = sets.join(_small(large.select("node", "block")), "node")
+        held = written(with_sets(large.select("node", "block", "least")), "held")
         common = common_shingles(held.select("node", "x"), "node", lambda batch: (np.frombuffer(x, np.uint64) for x in batch.column("x").to_pylist()))
         again = cut_again(held, threshold, seed, common).join(large.select("node", "least", "n"), "node").withColumnRenamed("component", "block")
         members = counted(members.where("chunks = 1").select("node", "block", "least", "n").unionByName(again.select("node", "block", "least", "n")))
-    sets = sets.join(_small(members), "node")
     is_hot = not members.where("chunks > 1").isEmpty()
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    dealt = members.select("node", "least", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
     fresh = lambda df: df.withColumn("label", F.lit(None).cast("long")).withColumn("native", F.lit(True))
-    work = fresh(sets.withColumn("chunk", chunk))
-    every_chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    work = fresh(with_sets(dealt))
+    every_chunk = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
     if is_hot:
-        hot = written(sets.where("chunks > 1"), "hot")  # read twice more
+        hot = dealt.where("chunks > 1")
         some = F.when(F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")) == 0, F.col("node"))
-        firsts = members.where("chunks > 1").groupBy("block").agg(*[F.min(F.when(F.pmod(F.col("node"), F.lit(PIVOTS)) == i, some)).alias(f"p{i}") for i in range(PIVOTS)])
+        firsts = hot.groupBy("block").agg(*[F.min(F.when(F.pmod(F.col("node"), F.lit(PIVOTS)) == i, some)).alias(f"p{i}") for i in range(PIVOTS)])
         firsts = firsts.select("block", F.explode(F.array(*[f"p{i}" for i in range(PIVOTS)])).alias("node"))
-        pivots = hot.join(firsts, ["block", "node"]).withColumn("chunk", every_chunk)
+        pivots = with_sets(written(hot.join(firsts, ["block", "node"]), "pivots")).withColumn("chunk", F.explode(every_chunk))
         work = work.unionByName(fresh(pivots))
     links = _linked(work, threshold, partitions)
     if is_hot:
         links = written(links, "links")
-        labelled = hot.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component").withColumn("chunk", chunk)
+        labelled = hot.join(components(links), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
         count = labelled.groupBy("block", "label").agg(F.count("*").alias("n"))
         largest = count.groupBy("block").agg(F.max_by("label", F.struct("n", "label")).alias("main"))
-        labelled = labelled.join(largest, "block")
+        labelled = with_sets(written(labelled.join(largest, "block"), "labelled"))
         # a class outside the main component meets the native ones of every other chunk; of two such, each meets the other
-        rest = labelled.where("label <> main").withColumn("own", F.col("chunk")).withColumn("chunk", every_chunk).where("chunk <> own").drop("own")
-        again = labelled.withColumn("native", F.lit(True)).unionByName(rest.withColumn("native", F.lit(False)))
-        links = links.unionByName(_linked(again, threshold, partitions))
+        met = F.when(F.col("label") == F.col("main"), F.array("chunk")).otherwise(every_chunk)
+        again = labelled.withColumn("met", met).withColumnRenamed("chunk", "own").withColumn("chunk", F.explode("met"))
+        links = links.unionByName(_linked(again.withColumn("native", F.col("chunk") == F.col("own")), threshold, partitions))
     linked = written(components(links).join(classes, "node").select("node", F.col("component").alias("part"), "least"), "linked")
     least = written(linked.groupBy("part").agg(F.min("least").alias("component")), "least")
     linked = linked.join(_small(least), "part").select("node", "part", "component")
@@ -457,6 +461,16 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
+def _parts(df: DataFrame) -> int:
+    """In how many parts the rows of ``df`` are broadcast."""
+    return max(1, -(-df.count() // BROADCAST_IDS))
+
+
+def _part(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    """The rows of part ``k`` of ``n`` by a key."""
+    return df if n == 1 else df.where(F.pmod(F.xxhash64(key, F.lit(7)), F.lit(n)) == k)
+
+
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
     """``id_col, n_shingles, component_id`` for every row."""
     return similar(docs, id_col, text_col, size, threshold).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
@@ -472,4 +486,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     first = F.min_by("row", F.struct(F.col("id").isNull(), "id", "row")).alias("stays")
     stays = written(found.groupBy("part").agg(first, F.count("*").alias("copies")).where("copies > 1").drop("copies"), "stays")
     gone = written(found.join(_small(stays), "part").where("row <> stays").select(F.col("row").alias(key)), "gone")
-    return docs.withColumn(key, F.monotonically_increasing_id()).join(_small(gone), key, "left_anti").select(*docs.columns)
+    kept, n = docs.withColumn(key, F.monotonically_increasing_id()), _parts(gone)
+    for k in range(n):  # texts are never moved
+        kept = kept.join(F.broadcast(_part(gone, key, k, n)), key, "left_anti")
+    return kept.select(*docs.columns)

@@ -128,3 +128,38 @@ def test_components(spark, rng):
     for one_task in (0, 10**6):
         got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(5), one_task=one_task).collect()}
         assert all(got[x] == want.get(x, x) for x in got) and set(want) <= set(got)
+
+
+def test_texts_are_not_moved(spark, frame, rows, monkeypatch):
+    """With more classes and rows than are broadcast at once, texts meet them part by part, and no join sorts texts."""
+    from marginalia.llm import jaccard_join as J
+
+    docs = frame(rows, "doc_id long, text string")
+    want = sorted(J.keep_one(docs).select("doc_id", "text").collect(), key=str)
+    plans, written = [], J.written
+    noted = lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name)
+    monkeypatch.setattr(J, "written", noted)
+    monkeypatch.setattr(J, "BROADCAST_IDS", 5)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = J.keep_one(docs, "doc_id", "text")
+        plans.append(kept._jdf.queryExecution().executedPlan().toString())
+        assert sorted(kept.select("doc_id", "text").collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    with_texts = [p for p in plans if "text#" in p]
+    assert with_texts and not any("SortMergeJoin" in p for p in with_texts)
+
+
+def test_forests_are_joined_before_rounds(spark, rng, monkeypatch):
+    """Edges that many tasks hold alike are reduced to one forest before any round over the cluster."""
+    from marginalia.llm import graph
+
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(2000)]
+    names, written = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, name: names.append(name) or written(df, name))
+    df = spark.createDataFrame(edges * 4, "a long, b long").repartition(8)
+    got = {r.node: r.component for r in graph.components(df, one_task=1000).collect()}
+    assert "edges" not in names
+    assert all(got[a] == got[b] for a, b in edges if a != b) and len(set(got.values())) <= 5
