@@ -28,6 +28,8 @@ HELD_BYTES, ENTRY = 96 << 20, 200
 #: Byte 0 as byte-level vocabularies spell it. No simple piece holds it, so it can stand between words.
 MARK = " \u0100 "
 _SPACE_CUT = re.compile(r"(?= \S)")
+#: Signs that often end a word.
+_ENDS = frozenset(",.;:?!")
 _PLAIN = re.compile(f"[\n !-~\xa1-\xac\xae-\u024f]{{0,{LONG_PIECE}}}\\Z").match
 #: Between a letter or digit and another kind of character every pre-tokenizer here cuts (marks may join a letter); of characters
 #: whose kind no version of Unicode changes.
@@ -198,7 +200,19 @@ class PieceEncoder:
         queue, self.memo.queue = self.memo.queue, []
         cut = {"words": _WORDS, "spaced": _SPACED, "whole": None}[self.style]
         lower, get, flat, sizes, whole = self.style == "words", self.words.__getitem__, [], [], []
+        size = 0
         for piece in queue:
+            size += len(piece) if type(piece) is bytes else 2 * len(piece)
+            if lower and type(piece) is bytes and len(piece) <= LONG_PIECE:
+                text = piece.decode("latin-1")  # lower-cased already
+                if text.isalpha():
+                    flat.append(get(text))
+                    sizes.append(1)
+                    continue
+                if text[-1] in _ENDS and text[:-1].isalpha():
+                    flat += (get(text[:-1]), get(text[-1]))
+                    sizes.append(2)
+                    continue
             text = self._text(piece)
             if cut and _PLAIN(text) and not ("<" in text and any(x in text for x in self.special)):
                 found = list(map(get, cut.findall(text.lower() if lower else text)))
@@ -208,11 +222,11 @@ class PieceEncoder:
                 found = [get(("whole", next(self.serial))) for _ in parts]
             flat += found
             sizes.append(len(found))
-            self.keys += len(piece) if type(piece) is bytes else 2 * len(piece)
+        self.keys += size
         self.piece_words.append(flat, sizes)
         queue, self.words.queue = self.words.queue, []
         new = [w for w in queue if type(w) is str]
-        spelled = [w.translate(_LETTERS) if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in new]
+        spelled = [w if w.isascii() and w.isalpha() else w.translate(_LETTERS) if w.isascii() else w.encode().decode("latin-1").translate(_LETTERS) for w in new]
         found, counts = [], []
         for group in _balanced(spelled, BATCH_BYTES):
             ids = np.array(self.model.encode_batch_fast([MARK.join(spelled[group])], add_special_tokens=False)[0].ids, np.uint32)
@@ -224,10 +238,13 @@ class PieceEncoder:
             self.word_ids.append(np.concatenate(found) if found else [], np.concatenate(counts) if counts else [])
             return
         # slots of words were given in the order of the queue, where whole pieces and words are mixed
-        ids, counts = np.concatenate([*found, np.zeros(0, np.uint32)]), np.concatenate([*counts, np.zeros(0, np.int64)])
-        ends, plain, rest = np.cumsum(counts), iter(range(len(new))), iter(done)
-        parts = [ids[ends[i] - counts[i] : ends[i]] if type(w) is str and (i := next(plain)) >= 0 else next(rest) for w in queue]
-        self.word_ids.append(np.concatenate(parts), [len(x) for x in parts])
+        is_word, lengths = np.array([type(w) is str for w in queue]), np.array([len(x) for x in done])
+        ids, counts = np.concatenate([*found, *done]), np.concatenate([*counts, lengths])
+        rows = np.empty(len(queue), np.int64)
+        rows[is_word], rows[~is_word] = np.arange(len(new)), np.arange(len(new), len(queue))
+        n = counts[rows]
+        start, ends = (np.cumsum(counts) - counts)[rows], np.cumsum(n)
+        self.word_ids.append(ids[np.arange(len(ids)) + np.repeat(start - (ends - n), n)], n)
 
     def _shrink(self) -> None:
         """Keep the more used half of the pieces, and their words; no long ones."""

@@ -43,3 +43,14 @@ def test_remembered_bytes(name):
     coder.held_bytes = 0
     coder.encode(["the same words again"])
     assert coder.held() < 1 << 20 and all(len(x) <= pieces.REMEMBERED for x in coder.memo)
+
+
+def test_plain_words_need_no_pattern(monkeypatch):
+    """Words of Latin letters, with a sign after them or not, are not searched for words again; ids stay the library's."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = ["Plain words, größer. Straße: ÀÉÎ! ªº µm; x?", "end", "ÿ, b!", "words plain, more"]
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)]
+    coder = pieces.PieceEncoder(path)
+    monkeypatch.setattr(pieces, "_WORDS", object())
+    ids, bounds = coder.encode(some)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == want
