@@ -46,14 +46,17 @@ def steps(selected: DataFrame, done: DataFrame, size: int, most: int, path: str)
     """How many rows wait, and the first ``most`` of them (0: all) in steps of ``size``, in order of video, start and id.
 
     Only ids and what orders them are sorted and numbered, once; then rows are written by step, so that a step reads its
-    own rows and no others.
+    own rows and no others. As many files are written as the session has shuffle partitions, or one a step if those are
+    more: few steps are then read and answered by all tasks.
     """
     keys = pending(selected.select("id", "video", "start"), done, ordered=False)
     placed = numbered(keys, "video", "start", "id", path=f"{path}/numbered")
     count = placed.count()
     some = placed.where(F.col("position") < most) if most else placed
     step = some.select("id", F.floor(F.col("position") / size).cast("long").alias("step"))
-    selected.join(step, "id").select(*selected.columns, "step").repartition("step").write.partitionBy("step").parquet(f"{path}/steps")
+    number = max(1, -(-(min(count, most) if most else count) // size))
+    share = F.pmod(F.xxhash64("id"), F.lit(-(-int(selected.sparkSession.conf.get("spark.sql.shuffle.partitions")) // number)))
+    selected.join(step, "id").select(*selected.columns, "step").repartition("step", share).write.partitionBy("step").parquet(f"{path}/steps")
     schema = T.StructType([*selected.schema.fields, T.StructField("step", T.LongType())])
     return count, selected.sparkSession.read.schema(schema).parquet(f"{path}/steps")
 

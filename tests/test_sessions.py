@@ -124,6 +124,21 @@ def test_pending_is_found_once(spark, manifest, tmp_path, monkeypatch):
 _pending = resume.pending
 
 
+def test_few_steps_are_read_by_many_tasks(spark, tmp_path):
+    """A step's rows lie in several files, so that more than one task reads and answers them; none is left out."""
+    done, table = spark.createDataFrame([], "id string"), spark.createDataFrame(rows(400), MANIFEST)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with partitions that are not small
+    try:
+        count, todo = resume.steps(table, done, 200, 0, str(tmp_path / "pending"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = {k: {p.name for p in (tmp_path / f"pending/steps/step={k}").glob("*.parquet")} for k in (0, 1)}
+    assert count == 400 and all(len(names) > 1 for names in files.values())
+    assert [r["count"] for r in todo.groupBy("step").count().orderBy("step").collect()] == [200, 200]
+    count, todo = resume.steps(table, done, 10, 25, str(tmp_path / "many"))  # three steps, the last of them half
+    assert [r["count"] for r in todo.groupBy("step").count().orderBy("step").collect()] == [10, 10, 5]
+
+
 def test_a_stopped_stream_goes_on(spark, tmp_path):
     """A stop between batches leaves whole batches; the events tell of start, batches, stop and error."""
     df = spark.createDataFrame(rows(), MANIFEST)
