@@ -1,0 +1,36 @@
+"""Arrow functions of bounded memory: how large their batches are, and what they give back."""
+
+from __future__ import annotations
+
+import ctypes
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import SparkSession
+
+#: What an Arrow batch may hold, unless the session says otherwise.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", f"{8 << 20}b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's own bound of an Arrow batch's bytes (64 MB), set a smaller one: texts may be long."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives freed memory back after each batch: all workers of an executor share its limit."""
+
+    def given(batches, trim):
+        for batch in batches:
+            yield batch
+            del batch
+            trim(0)
+
+    def lean_run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)  # only glibc has it
+        yield from run(given(batches, trim))
+        trim(0)
+
+    return lean_run

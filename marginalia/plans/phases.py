@@ -2,7 +2,7 @@
 
 The first call of every row is made and written; only rows that the gate lets through go to the second phase,
 whose calls are written too; their union is the run. A model is loaded once in each Python worker and gets
-batches of bounded bytes, with the frames of each row from a table of frames.
+batches of bounded bytes from Arrow batches that are bounded too, with the frames of each row from a table of frames.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from marginalia.config import Config
 from marginalia.operators import score_matrix
+from marginalia.operators.arrow import bound_batches, lean
 from marginalia.operators.frames import candidate_pool
 from marginalia.plans.inference import ColumnModels, checked_row, first_frames, gated, record, result_rows, second_frames, stamps_of, traced
 from marginalia.schema import CALL
@@ -165,7 +166,8 @@ class ArrowModels:
             return pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], *more.values()], [*kept, *more])
 
         schema = given.drop("shown").select("*", F.lit(None).cast("array<double>").alias("_scores"), F.lit(None).cast("int").alias("_tokens"), F.lit(None).cast(COST).alias(f"{name}_cost")).schema
-        out = given.mapInArrow(run, schema)
+        bound_batches(df.sparkSession)
+        out = given.mapInArrow(lean(run), schema)
         return out.withColumn(name, record(F.col("_scores"), F.col("_tokens"), ids, F.col("stamps"), max_tokens)).drop("_scores", "_tokens", "stamps")
 
     def features(self) -> DataFrame:
@@ -181,7 +183,7 @@ class ArrowModels:
                         yield pa.RecordBatch.from_arrays([batch.column("clip"), batch.column("idx"), pa.array(list(found.astype(np.float64)), pa.list_(pa.float64()))], ["clip", "idx", "vector"])
 
             kind = self.frames.schema["clip"].dataType.simpleString()
-            self._features = written(self.frames.select("clip", F.col("idx").cast("long").alias("idx"), "frame").mapInArrow(run, f"clip {kind}, idx long, vector array<double>"), "features")
+            self._features = written(self.frames.select("clip", F.col("idx").cast("long").alias("idx"), "frame").mapInArrow(lean(run), f"clip {kind}, idx long, vector array<double>"), "features")
         return self._features
 
     def score(self, df: DataFrame, texts: dict[str, Column], when: Column | None = None) -> DataFrame:
@@ -199,7 +201,8 @@ class ArrowModels:
                     yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("id", "clip", "name")], pa.array(list(found.astype(np.float64)), pa.list_(pa.float64()))], ["id", "clip", "name", "vector"])
 
         kind = self.frames.schema["clip"].dataType.simpleString()
-        encoded = asked.mapInArrow(run, f"id string, clip {kind}, name string, vector array<double>")
+        bound_batches(df.sparkSession)
+        encoded = asked.mapInArrow(lean(run), f"id string, clip {kind}, name string, vector array<double>")
         keyed = encoded.select("clip", F.concat_ws(":", "name", "id").alias("key"), "vector")
         found = score_matrix.rows(keyed, self.features(), group="clip", other="idx")
         found = found.select(F.substring_index("key", ":", 1).alias("name"), F.expr("substring(key, instr(key, ':') + 1)").alias("id"), "scores")
@@ -241,7 +244,8 @@ class ArrowModels:
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *more], [*kept, *names])
 
         plain = df.drop(*[f"_{n}" for n in names])
-        out = df.mapInArrow(run, plain.select("*", *[F.lit(None).cast("array<double>").alias(n) for n in names]).schema)
+        bound_batches(df.sparkSession)
+        out = df.mapInArrow(lean(run), plain.select("*", *[F.lit(None).cast("array<double>").alias(n) for n in names]).schema)
         for name in names:
             out = out.withColumn(name, checked_row(F.col(name), name) if when is None else F.when(when, checked_row(F.col(name), name)))
         return out
