@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import blocks
-from marginalia.operators.arrow import bound_batches, lean  # noqa: F401
 from marginalia.sources.scratch import written  # noqa: F401
 
 #: Rows of one Arrow batch are handled in slices of about this many text bytes.
 SLICE_BYTES = 4 << 20
+#: What an Arrow batch may hold, unless the session says otherwise.
+BATCH_KEY, BATCH_DEFAULT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b", f"{8 << 20}b"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +27,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Where the session has Spark's own bound of an Arrow batch's bytes (64 MB), set a smaller one: texts may be long."""
+    if spark.conf.get(BATCH_KEY) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """An Arrow function that gives freed memory back after each batch: all workers of an executor share its limit."""
+
+    def given(batches, trim):
+        for batch in batches:
+            yield batch
+            del batch
+            trim(0)
+
+    def lean_run(batches):
+        pa.set_memory_pool(pa.system_memory_pool())
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)  # only glibc has it
+        yield from run(given(batches, trim))
+        trim(0)
+
+    return lean_run
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with as many underscores before it as no column of ``df`` has (whatever the case)."""
     taken = {c.lower() for c in df.columns}
