@@ -129,6 +129,78 @@ def test_recall_of_passages_made_of_common_runs(frame, rng, vocabulary, rate):
     assert sum(found) >= (len(found) if not rate else 0.9 * len(found)), sum(found) / len(found)
 
 
+@pytest.mark.parametrize("holders", [4, 16, 40])
+def test_pairs_of_which_all_seeds_are_common(frame, rng, vocabulary, holders):
+    """Pairs that share 72 words, every 12th changed, while other texts hold each run of 11 equal words, one each."""
+    words = lambda n: rng.choices(vocabulary, k=n)
+    rows, want = [], set()
+    for _ in range(20):
+        passage = words(72)
+        copy = [f"x{rng.random()}" if i % 12 == 11 else w for i, w in enumerate(passage)]
+        want.add((len(rows), len(rows) + 1))
+        rows += [(len(rows) + i, " ".join(words(40) + x + words(40))) for i, x in enumerate((passage, copy))]
+        for start in range(0, 72, 12):
+            rows += [(len(rows) + i, " ".join(words(30) + passage[start : start + 11] + words(30))) for i in range(holders)]
+    got = S.passages(frame(rows, "doc_id long, text string")).collect()
+    assert {(min(r.doc_id, r.other_id), max(r.doc_id, r.other_id)) for r in got} == want
+
+
+def test_common_seeds_lose_no_pair(rng):
+    """Against all pairs: texts with a common seed that nothing connects, and with another near it, are paired or of classes that are."""
+    lines = [[rng.getrandbits(62) for _ in range(rng.randint(2, 6))] for _ in range(6)]
+    seeds = []
+    for node in range(150):
+        at = rng.randint(0, 30)
+        for line in rng.sample(lines, 2):
+            for s in line:
+                at += rng.randint(5, 7) if rng.random() < 0.1 else 6
+                seeds.append((s if rng.random() < 0.9 else rng.getrandbits(62), node, at))
+            at += rng.choice([10, 20])
+    key, node, at = (np.array(x, kind) for x, kind in zip(zip(*seeds, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+    _, (k, n, a, c) = S.first_places(key, node, at)
+    key, node, at, size, far, near = S.neighbours(k, n, a, c)
+    by_seed = np.argsort(key, kind="stable")
+    edges = [(i, j) for i, j in zip(by_seed, by_seed[1:], strict=False) if key[i] == key[j] and rng.random() < 0.3]
+    met = {}
+    for part in S.refined(key, node, at, size, far, near, *np.array(edges).T):
+        for x, y, p, _ in zip(*(v.tolist() for v in part), strict=True):
+            assert x > y
+            met.setdefault((x, y), set()).add(p)
+    near_of = [frozenset(zip(u.tolist(), d.tolist(), strict=True)) for u, d in zip(np.split(near, np.cumsum(size)[:-1]), np.split(far, np.cumsum(size)[:-1]), strict=True)]
+    checked = 0
+    for s in set(key.tolist()):
+        own = np.flatnonzero(key == np.uint64(s)).tolist()
+        held = {}
+        for i in own:
+            for u, _ in near_of[i]:
+                held.setdefault(u, set()).add(i)
+        sign = {i: frozenset(x for x in near_of[i] if len(held[x[0]]) > S.RARE) for i in own}
+        parent = {i: i for i in own}
+
+        def root(of, i):
+            while of[i] != i:
+                i = of[i]
+            return i
+
+        for i, j in edges:
+            if i in parent:
+                parent[root(parent, i)] = root(parent, j)
+        whole = dict(parent)
+        for of in {sign[i]: [j for j in own if sign[j] == sign[i]] for i in own}.values():
+            for i in of:
+                whole[root(whole, i)] = root(whole, of[0])
+        for u, of in held.items():
+            for i in of:
+                for j in of:
+                    if node[i] > node[j] and root(parent, i) != root(parent, j):
+                        checked += 1
+                        if len(of) <= S.RARE:
+                            assert len(met[node[i], node[j]]) > 1
+                        else:  # what stands for i with what stands for j, or a way from class to class
+                            assert root(whole, i) == root(whole, j) or any(len(met.get((max(node[v], node[w]), min(node[v], node[w])), ())) > 1 for v in own if sign[v] == sign[i] for w in own if sign[w] == sign[j])
+    assert checked > 1000
+
+
 def test_odd_passages(frame, odd_docs, rng, vocabulary):
     """Clashing columns, and a long text that holds a short one's passage far inside."""
     assert S.passages(odd_docs).where("doc_id <> 4 or other_id <> 4").count() == 0
