@@ -201,6 +201,42 @@ def test_common_seeds_lose_no_pair(rng):
     assert checked > 1000
 
 
+def test_alike_classes_make_few_pairs(rng):
+    """Near copies of many kinds meet in two rounds: a few pairs a class, then, of what those don't connect, every two classes that share a near seed."""
+    lines = [[rng.getrandbits(62) for _ in range(12)] for _ in range(2)]  # texts of one line align, those of two don't
+    seeds = [(s if not i or rng.random() < 0.6 else rng.getrandbits(62), n, 6 * i) for n in range(1200) for i, s in enumerate([1, 2, *lines[n % 2]])]
+    key, node, at = (np.array(x, kind) for x, kind in zip(zip(*seeds, strict=True), (np.uint64, np.int64, np.int64), strict=True))
+    _, (k, n, a, c) = S.first_places(key, node, at)
+    lists = S.neighbours(k, n, a, c)
+    own = np.flatnonzero(lists[0] == 1)
+    entry = S._spread((np.cumsum(lists[3]) - lists[3])[own], lists[3][own].astype(np.int64))
+    lists = [*(v[own] for v in lists[:4]), *(v[entry] for v in lists[4:])]
+    none = np.zeros(0, np.int64)
+    pairs_of = lambda parts: {p for part in parts for p in zip(part[0].tolist(), part[1].tolist(), strict=True)}
+    whole = pairs_of(S.refined(*lists, none, none))
+    kept = []
+    first = pairs_of(S.refined(*lists, none, none, kept))
+    (classes,) = kept
+    chosen = set(classes[1].tolist())
+    few = S.ORDERS * len(chosen) + 2 * len(own)
+    assert len(chosen) > 300 and len(whole) > 10 * few and len(first) < few
+
+    place = {v: i for i, v in enumerate(classes[1].tolist())}
+    linked = [(place[x], place[y]) for x, y in first if x in place and y in place and x % 2 == y % 2]
+    for block in (S.BLOCK, 50):
+        second = [p for columns in S.blocks_left(*classes, *np.array(linked).T, block) for p in S.block_pairs(*columns)]
+        root = S._connected(len(chosen), *np.array(linked).T)
+        want = {(x, y) for x, y in whole if x in chosen and y in chosen and root[place[x]] != root[place[y]]}
+        assert want <= pairs_of(second) and all(root[place[x]] != root[place[y]] for x, y in pairs_of(second))
+        assert sum(x % 2 == y % 2 for x, y in pairs_of(second)) < len(chosen)
+
+
+def test_buckets_by_bytes(frame, spark):
+    texts = frame([("x" * 1000,), ("é" * 500,), (None,)], "text string")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [S.bucket_count(texts, size) for size in (10**6, 2000 // n, 100)] == [n, n, n * -(-2000 // (100 * n))] and S.bucket_count(texts.where("false")) == n
+
+
 def test_odd_passages(frame, odd_docs, rng, vocabulary):
     """Clashing columns, and a long text that holds a short one's passage far inside."""
     assert S.passages(odd_docs).where("doc_id <> 4 or other_id <> 4").count() == 0
