@@ -44,7 +44,9 @@ PIVOTS = 4
 #: Rows of a few numbers (at most 40 bytes each) that are broadcast at once; more meet texts in several parts, and each other by shuffle.
 BROADCAST_IDS = 500_000
 #: Documents, or classes of large blocks, whose shingles are counted, and how many of them must have a common one; rounds of cutting large blocks again.
-SAMPLE, COMMON, CUTS = 4096, 8, 2
+SAMPLE, COMMON, CUTS = 16384, 8, 2
+#: Bytes of a signature that are kept besides its bucket.
+SHORT = 5
 #: Buckets of signatures for each shuffle partition.
 BUCKETS = 4
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
@@ -160,10 +162,17 @@ def _signed(sets: dict[int, np.ndarray], buckets: int, threshold: tuple[int, int
         yield _rows(edges.shape[1], a=edges[0], b=edges[1], bucket=(edges[0] % buckets).astype(np.int32))
     cut = np.searchsorted((sig >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(cut))
-    short = sig.astype(np.uint32)  # the bucket is of the other half; two that are taken for one make a block larger, no link
+    short = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SHORT]  # the bucket is of the highest bits; two that are taken for one make a block larger, no link
     yield _rows(len(full), bucket=full.astype(np.int32), x=[short[cut[k] : cut[k + 1]].tobytes() for k in full], y=[hub[cut[k] : cut[k + 1]].tobytes() for k in full])
 
 
+def _whole(short: bytes) -> np.ndarray:
+    """Signatures of ``SHORT`` bytes each as numbers."""
+    out = np.zeros((len(short) // SHORT, 8), np.uint8)
+    out[:, :SHORT] = np.frombuffer(short, np.uint8).reshape(-1, SHORT)
+    return out.view("<u8")[:, 0]
+
+
 def _met(signed: DataFrame, partitions: int) -> DataFrame:
     """Rows of documents as they are, and a forest of the edges between classes that share a signature, bucket by bucket."""
 
@@ -175,8 +184,8 @@ def _met(signed: DataFrame, partitions: int) -> DataFrame:
             yield from rows.filter(is_doc).to_batches()
             plain, packed = rows.filter(pc.invert(pc.or_(is_doc, packed))), rows.filter(packed)
             yield from rows_of(edges.add(plain.column("a").to_numpy(), plain.column("b").to_numpy()))
-            sig, node = (np.frombuffer(b"".join(packed.column(c).to_pylist()), kind) for c, kind in (("x", np.uint32), ("y", np.int64)))
-            yield from rows_of(edges.add(*_hubs(sig, node)[2]))
+            sig, node = (b"".join(packed.column(c).to_pylist()) for c in ("x", "y"))
+            yield from rows_of(edges.add(*_hubs(_whole(sig), np.frombuffer(node, np.int64))[2]))
         yield from rows_of(edges.rest())
 
     return signed.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), _DDL).select("id", "row", "n", "a", "b")
@@ -216,9 +225,13 @@ def cut_again(sets: DataFrame, threshold: tuple[int, int], seed: int, common: np
     return components(_met(sets.select("node", "block", "x").mapInArrow(lean(sign), _DDL), partitions).select("a", "b"))
 
 
-def common_shingles(rows: DataFrame, key: str, sets_of, sample: int = SAMPLE, least: int = COMMON) -> np.ndarray:
-    """Sorted shingles that at least ``least`` of a sample's sets have; the sample is chosen by hash of ``key``, the sets are counted on the executors."""
-    chosen = F.broadcast(rows.select(key).distinct().orderBy(F.xxhash64(key, F.lit(5)), key).limit(sample))
+def sampled(rows: DataFrame, key: str, sample: int = SAMPLE) -> DataFrame:
+    """Values of ``key``, at most ``sample``, chosen by hash."""
+    return F.broadcast(rows.select(key).distinct().orderBy(F.xxhash64(key, F.lit(5)), key).limit(sample))
+
+
+def common_shingles(rows: DataFrame, sets_of, least: int = COMMON) -> np.ndarray:
+    """Sorted shingles that at least ``least`` of the sets of a sample have; they are counted on the executors."""
 
     def count(batches):
         for batch in batches:
@@ -227,7 +240,7 @@ def common_shingles(rows: DataFrame, key: str, sets_of, sample: int = SAMPLE, le
                 shingle, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(n, pa.int64())], ["s", "n"])
 
-    counts = rows.join(chosen, key, "left_semi").mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counts = rows.mapInArrow(lean(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return np.sort(counts.select("s").toArrow()["s"].to_numpy().view(np.uint64))
 
 
@@ -396,7 +409,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     bound_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"))
     texts_sets = lambda batch: (shingle_set(x, size) for part in slices(batch, "text") for x in texts_of(part))
-    seen = written(survey(source, size, threshold, common_shingles(source, "row", texts_sets)), "survey")
+    common = common_shingles(source.join(sampled(source, "row"), "row", "left_semi"), texts_sets)
+    seen = written(survey(source, size, threshold, common), "survey")
     rows = seen.where("n is not null").select("id", "row", "n", F.col("a").alias("node"))
     classes = written(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("n").alias("n")), "classes")
     blocks = written(components(seen.where("n is null").select("a", "b")).join(classes, "node").withColumnRenamed("component", "block"), "blocks")
@@ -420,9 +434,10 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         large = members.where("chunks > 1")
         if large.isEmpty():
             break
-        held = written(with_sets(large.select("node", "block", "least")), "held")
-        common = common_shingles(held.select("node", "x"), "node", lambda batch: (np.frombuffer(x, np.uint64) for x in batch.column("x").to_pylist()))
-        again = cut_again(held, threshold, seed, common).join(large.select("node", "least", "n"), "node").withColumnRenamed("component", "block")
+        # sets are cut from the texts for the sample and for all, rather than kept: a block may hold most of them
+        some = with_sets(written(large.join(sampled(large, "node"), "node", "left_semi").select("node", "least"), "sampled"))
+        common = common_shingles(some.select("x"), lambda batch: (np.frombuffer(x, np.uint64) for x in batch.column("x").to_pylist()))
+        again = cut_again(with_sets(large.select("node", "block", "least")), threshold, seed, common).join(large.select("node", "least", "n"), "node").withColumnRenamed("component", "block")
         members = counted(members.where("chunks = 1").select("node", "block", "least", "n").unionByName(again.select("node", "block", "least", "n")))
     is_hot = not members.where("chunks > 1").isEmpty()
     dealt = members.select("node", "least", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,11 +56,24 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Writes within delete their shuffle files as they end; else those stay until the driver's JVM happens to collect what refers to them."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     The files outlive any executor, and go when the application's file system handle closes.
     """
     path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
+    with freeing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

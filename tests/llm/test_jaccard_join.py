@@ -163,3 +163,38 @@ def test_forests_are_joined_before_rounds(spark, rng, monkeypatch):
     got = {r.node: r.component for r in graph.components(df, one_task=1000).collect()}
     assert "edges" not in names
     assert all(got[a] == got[b] for a, b in edges if a != b) and len(set(got.values())) <= 5
+
+
+def test_signatures_of_one_half_are_told_apart():
+    """Signatures of a bucket whose lower 32 bits are the same don't meet."""
+    sig = np.array([5, 5 + (1 << 35), 5, (1 << 39) + 7], np.uint64)
+    short = sig.view(np.uint8).reshape(-1, 8)[:, : J.SHORT].tobytes()
+    assert J._whole(short).tolist() == sig.tolist()
+    assert J._hubs(J._whole(short), np.array([10, 20, 30, 40]))[2].T.tolist() == [[30, 10]]
+
+
+def test_sets_of_large_blocks_are_not_kept(frame, rng, vocabulary, monkeypatch):
+    """However many classes a large block has, no file of their sets is written."""
+    line = rng.choices(vocabulary, k=25)
+    rows = [(i, " ".join(line + rng.choices(vocabulary, k=25))) for i in range(30)]
+    columns, written = [], J.written
+    monkeypatch.setattr(J, "written", lambda df, name: columns.append((name, df.columns)) or written(df, name))
+    got = J.similar(frame(rows, "doc_id long, text string"), size=5, threshold=(80, 100), chunk_classes=4).collect()
+    assert sorted(((r["id"], r["n"], r["component"]) for r in got), key=str) == brute(rows, 5, (80, 100))
+    assert "sampled" in [name for name, _ in columns] and not [name for name, c in columns if "x" in c]
+
+
+def test_written_frees_its_shuffle(spark):
+    """Shuffle files go when the table is written, not when the driver collects garbage."""
+    import time
+
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    data = lambda: {disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())}
+    before = {x for x in data() if x.startswith("shuffle_")}
+    assert J.written(spark.range(1000).repartition(4, "id"), "shuffled").count() == 1000
+    left = lambda: {x for x in data() if x.startswith("shuffle_")} - before
+    end = time.monotonic() + 10
+    shuffles = lambda: {x.split("_")[1] for x in left()}
+    while len(shuffles()) > 1 and time.monotonic() < end:  # that of the count stays
+        time.sleep(0.1)
+    assert len(shuffles()) <= 1
