@@ -532,7 +532,8 @@ def session_in_steps(spark, sf_dir):
     """The same run by two sessions of several steps each, of which the first is ended early."""
     folder = scratch.fresh(spark, "session")
     rows = views.manifest(spark, sf_dir).select(*MANIFEST.names)
-    rows.write.option("ignoreNullFields", "false").json(f"{folder}/manifest")
+    with scratch.freeing(spark):
+        rows.write.option("ignoreNullFields", "false").option("compression", "gzip").json(f"{folder}/manifest")
     config = Config(backend="mock", method="evidence", margin_threshold=1.0, limit=0)
     step = max(1, rows.count() // 5)
     for more in ({"max_new": 2 * step}, {"resume": True}):

@@ -68,6 +68,16 @@ def freeing(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def removed(spark: SparkSession, path: str) -> Iterator[None]:
+    """Delete what has been written at ``path`` within, in whatever way it ends."""
+    try:
+        yield
+    finally:
+        store, at = place(spark, path)
+        store.delete(at, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet in the shared folder and read it back.
 

@@ -78,7 +78,8 @@ def run(spark: SparkSession, config: Config, manifest_path: str, folder: str, re
     """Run or resume; returns 0 if all rows are committed, else 75.
 
     What is pending is found and numbered once; rows are committed in steps of ``step``. A signal or the time limit
-    ends the session after the step under way. The export is written in any case.
+    ends the session after the step under way. The export is written in any case. What is written or shuffled on the
+    way is deleted when it has been used.
     """
     if max_seconds <= 0 or max_new < 0:
         raise ValueError("max_seconds must be positive, max_new 0 or more")
@@ -87,12 +88,13 @@ def run(spark: SparkSession, config: Config, manifest_path: str, folder: str, re
     schema = infer(selected.limit(0), config).schema
     stop: list[int] = []
     began, committed, session = time.monotonic(), 0, uuid.uuid4().hex
-    with signals(stop), journal.lock(folder):
+    todo_path = scratch.fresh(spark, "pending")
+    with signals(stop), journal.lock(folder), scratch.freeing(spark), scratch.removed(spark, todo_path):
         book = journal.Journal(spark, folder, schema)
         terms = contract(config, table, selected)
         book.open(terms, resume)
         try:
-            waiting, todo = steps(selected, book.done(), step, max_new, scratch.fresh(spark, "pending"))
+            waiting, todo = steps(selected, book.done(), step, max_new, todo_path)
             if waiting:
                 book.event("session_start", pending=waiting, resume=resume)
             some = min(waiting, max_new) if max_new else waiting

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.config import Config, preset
 from marginalia.plans import inference
 from marginalia.schema import MANIFEST
-from marginalia.sources import commits, journal
+from marginalia.sources import commits, journal, scratch
 from marginalia.streaming import resume
 
 SCHEMA = "id string, v long"
@@ -206,3 +206,14 @@ def test_run_with_a_named_model(spark, tmp_path):
         cli.loader("marginalia")
     with pytest.raises(Exception, match="no frames for"):
         phases.pool(spark.createDataFrame(made, MANIFEST), frames.where("video <> 'v1.mp4'"), 16)[0].select("times").collect()
+
+
+def test_a_session_leaves_no_scratch(spark, manifest, tmp_path, monkeypatch):
+    """A session's pending rows go with it, and so do shuffle files of what it writes; the setting for that does not stay."""
+    config, key = Config(backend="mock", method="uniform", limit=0), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    paths, fresh, within, before = [], scratch.fresh, [], spark.conf.get(key, None)
+    monkeypatch.setattr(scratch, "fresh", lambda spark, name: paths.append(fresh(spark, name)) or paths[-1])
+    infer = lambda df, config: within.append(spark.conf.get(key, None)) or inference.results(df, config)
+    assert resume.run(spark, config, manifest, str(tmp_path / "run"), step=5, infer=infer) == resume.COMPLETE
+    assert paths and not any(scratch.exists(spark, p) for p in paths)
+    assert within[1:] == ["true"] * 3 and spark.conf.get(key, None) == before
